@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_metrics",)
+MODULES = ("q_metrics", "q_features")
 
 
 def load_all() -> None:

@@ -218,7 +218,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                   (F.col("user_id") * 10 + F.col("event_id") % 10).alias("customer_id"),
                   (F.col("ts") - F.make_dt_interval(days=back)).alias("at"))
     sessions = b.where(F.col("event_type").isin("view", "click")).select(
-        (F.col("event_id") + 10_000_000_000_000).alias("session_id"),
+        F.col("event_id").alias("session_id"),
         F.col("customer_id").alias("prospect_id"), "customer_id",
         F.col("at").alias("session_start"), pick(F.col("k"), PLATFORMS).alias("platform"),
         pick(pid, DEVICES).alias("device_type"),

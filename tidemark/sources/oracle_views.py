@@ -139,7 +139,7 @@ g_base AS (SELECT event_id, event_type, value,
               CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k,
               user_id * 10 + event_id % 10 AS customer_id,
               ts - to_days(CAST({_BACK} AS INT)) AS moved_at FROM events),
-g_sessions AS (SELECT event_id + 10000000000000 AS session_id, customer_id AS prospect_id,
+g_sessions AS (SELECT event_id AS session_id, customer_id AS prospect_id,
               customer_id, moved_at AS session_start, {pick('k', ad.PLATFORMS)} AS platform,
               {pick('customer_id', ad.DEVICES)} AS device_type,
               {pick('k', ad.SOURCES)} AS traffic_source, k AS pages_viewed

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_metrics", "q_features")
+MODULES = ("q_metrics", "q_features", "q_quality", "q_conversion")
 
 
 def load_all() -> None:

@@ -16,6 +16,7 @@ from tidemark.functions.cols import (
     ratio,
     ts,
 )
+from tidemark.functions.lineage import cut
 from tidemark.operators.leads import check_rows, cutoff_overlap, frame_difference, truncated
 from tidemark.operators.metrics import single_feature_auc
 
@@ -217,6 +218,7 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
                   probe: str, horizon_days: int, train_runs: Sequence[str],
                   holdout_runs: Sequence[str], active_days: int = ACTIVE_DAYS,
                   auc_limit: float = 0.9) -> DataFrame:
+    dataset = cut(dataset)  # every check reads it
     keys = dataset.select(*KEYS)
     since = tables["customers"].select("customer_id", "customer_since")
     unborn = keys.join(since, "customer_id").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import days_between, fan_out, flag, plus_days, ratio, ts
+from tidemark.functions.lineage import cut
 from tidemark.operators.metrics import single_feature_auc
 
 PIPELINE_DAYS, HORIZON_DAYS = 90, 30
@@ -132,6 +133,7 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
                   holdout_runs: Sequence[str], pipeline_days: int = PIPELINE_DAYS,
                   auc_limit: float = 0.9) -> DataFrame:
     """Violations per check; every count must be zero."""
+    dataset = cut(dataset)  # every check reads it
     since = tables["customers"].select("prospect_id", "customer_since")
     keys = dataset.select(*KEYS)
     early = keys.join(since, "prospect_id").agg(

@@ -112,8 +112,7 @@ def row_ranks(df: DataFrame, score: str, entity: str, runs: Runs = (), name: str
     A tied score may hold any share of the rows, so the id range is bucketed as well and the
     window only ever sees one (run, score, id bucket).
     """
-    bounds = score_bounds(df, score)
-    id_bounds = id_range_bounds(df, entity)
+    bounds, id_bounds = rank_bounds(df, score, entity)
     id_bucket = f"_{name}_id"
     rows = df.withColumn(id_bucket, _id_bucket(F.col(entity), id_bounds))
     keys = [*runs, score, id_bucket]
@@ -126,6 +125,17 @@ def row_ranks(df: DataFrame, score: str, entity: str, runs: Runs = (), name: str
             .drop("_before", id_bucket))
 
 
+def rank_bounds(df: DataFrame, score: str, entity: str) -> tuple[list, list]:
+    """Score and id bounds, from a single scan where both are numeric."""
+    buckets = _default_buckets(df)
+    if dict(df.dtypes)[entity] not in ("bigint", "int", "double") or buckets < 2:
+        return score_bounds(df, score, buckets), id_range_bounds(df, entity, buckets)
+    probs = [i / buckets for i in range(1, buckets)]
+    found = df.select(F.col(score).cast("double").alias("s"), F.col(entity).cast("double").alias(
+        "e")).approxQuantile(["s", "e"], probs, 1.0 / (4 * buckets))
+    return sorted(set(found[0])), sorted(set(found[1]))
+
+
 def id_range_bounds(df: DataFrame, entity: str, buckets: int | None = None) -> list:
     """Ordered bounds of an id column of any type, from a bounded hash-ordered sample of ids."""
     buckets = buckets or _default_buckets(df)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import days_between, fan_out, flag, plus_days, ratio, ts
+from tidemark.functions.lineage import cut
 from tidemark.operators.churn import (
     CATEGORICAL,
     EMAIL_FEATURES,
@@ -113,6 +114,7 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
                   holdout_runs: Sequence[str], corr_limit: float = 0.9) -> DataFrame:
     """Violations per check, including the ledger reconciliation history + target."""
     from tidemark.operators.metrics import spearman
+    dataset = cut(dataset)  # every check reads it
     orders = tables["orders"]
     keys = dataset.select(*KEYS)
     since = tables["customers"].select("customer_id", "customer_since")

@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ("q_metrics", "q_features", "q_quality", "q_conversion")
+MODULES = ("q_metrics", "q_features", "q_quality", "q_conversion", "q_lifecycle",
+           "q_targeting")
 
 
 def load_all() -> None:

@@ -399,7 +399,7 @@ cf AS (SELECT act.*, cof.* EXCLUDE (run_cutoff, customer_id), category_count,
        FROM base JOIN act USING (run_cutoff, customer_id)
        JOIN cof USING (run_cutoff, customer_id) LEFT JOIN clf USING (run_cutoff, customer_id))
 """
-ORDER_ROUND = {"days_since_last_order": 6, "net_revenue_180d": 4, "avg_order_value": 6,
+ORDER_ROUND = {"days_since_last_order": 6, "net_revenue_180d": 4, "avg_order_value": 7,
                "discount_share": 6, "store_order_share": 6, "app_order_share": 6}
 CHURN_ROUND = {**ORDER_ROUND, "tenure_days": 6, "days_since_last_session": 6,
                "email_open_rate_90d": 6, "margin_180d": 4}
@@ -484,7 +484,7 @@ vf AS (SELECT act.* EXCLUDE (slow_resolution_contacts_180d, open_contacts),
        LEFT JOIN clf USING (run_cutoff, customer_id))
 """
 VORDER_ROUND = {"days_since_last_order": 6, "mean_days_between_orders": 6, "revenue_total": 4,
-                "revenue_90d": 4, "revenue_180d": 4, "revenue_365d": 4, "avg_order_value": 6,
+                "revenue_90d": 4, "revenue_180d": 4, "revenue_365d": 4, "avg_order_value": 7,
                 "max_order_value": 4, "items_per_order": 6, "discount_share": 6,
                 "store_order_share": 6, "app_order_share": 6}
 VALUE_ROUND = {**VORDER_ROUND, "tenure_days": 6, "days_since_last_session": 6,

@@ -1,0 +1,72 @@
+"""Churn scoring end to end: dataset, candidates, champion, refit, holdout scores."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions.cols import ts
+from tidemark.functions.lineage import cut
+from tidemark.operators import churn, metrics, models
+from tidemark.operators.timewin import SplitPlan
+
+NUMERIC, CATEGORICAL, LABEL = churn.NUMERIC, churn.CATEGORICAL, "churned"
+RULES = ("recency_rule", "rfm_cell_rate")
+LEARNED = ("logistic_regression", "gradient_boosting")
+
+
+@dataclass
+class ChurnRun:
+    data: DataFrame
+    selection: DataFrame
+    champion: str
+    model: PipelineModel | None
+    holdout: DataFrame
+    comparison: DataFrame
+
+
+def split(data: DataFrame, runs: tuple[str, ...]) -> DataFrame:
+    return data.where(F.col("run_cutoff").isin([ts(r) for r in runs]))
+
+
+def fit_learned(train: DataFrame, name: str, trees: int = 20) -> PipelineModel:
+    if name == "logistic_regression":
+        pipe = models.logistic_pipeline(NUMERIC, CATEGORICAL, LABEL, train.count())
+    else:
+        pipe = models.boosted_classifier(NUMERIC, CATEGORICAL, LABEL, trees, min_leaf=40)
+    return pipe.fit(train)
+
+
+def with_scores(train: DataFrame, rows: DataFrame, fitted: Mapping[str, PipelineModel]
+                ) -> DataFrame:
+    """Every candidate's score on ``rows``; rates and models come from ``train`` only."""
+    cell = models.rfm_cell(F.col("days_since_last_order"), F.col("orders_total"))
+    rates = models.smoothed_rates(train, cell, LABEL)
+    out = models.apply_rates(rows, rates, cell, "rfm_cell_rate").withColumn(
+        "recency_rule", models.recency_score(F.col("days_since_last_order")))
+    for name, model in fitted.items():
+        out = models.probability(model, out, name)
+    return out
+
+
+def run(tables: Mapping[str, DataFrame], plan: SplitPlan, trees: int = 20) -> ChurnRun:
+    """Fit on the fit runs, choose on validation, refit on both, score the holdout once."""
+    data = cut(churn.build_dataset(tables, plan.runs, plan.horizon_days))
+    fit, valid = split(data, plan.fit), split(data, plan.validation)
+    first = {n: fit_learned(fit, n, trees) for n in LEARNED}
+    scored = with_scores(fit, valid, first)
+    names = {n: n for n in (*RULES, *LEARNED)}
+    probabilistic = {n: n for n in names if n != "recency_rule"}
+    quality = metrics.probability_metrics(scored, probabilistic, LABEL).join(
+        metrics.discrimination(scored, names, LABEL).select("model", "roc_auc"), "model")
+    quality = cut(quality)  # a few rows
+    best = models.champion(quality, "log_loss", largest=False).first()["champion"]
+    train = split(data, plan.train)
+    final = {n: fit_learned(train, n, trees) for n in LEARNED}
+    holdout = cut(with_scores(train, split(data, plan.holdout), final))
+    table = models.comparison_table(holdout, names, LABEL, list(probabilistic), RULES, best)
+    return ChurnRun(data, quality, best, final.get(best), holdout, table)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cols import ratio, ts
+from tidemark.functions.cols import ratio
+from tidemark.functions.lineage import cut
 from tidemark.operators.monitoring import reference_percentile
 from tidemark.operators.ranking import row_ranks
 
@@ -116,6 +117,11 @@ def with_errors(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*broken)))
 
 
+def validate(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected); the rules run once, whatever is done with the two halves."""
+    return split_valid(cut(with_errors(df, rules)))
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with their errors): two filters over the same frame."""
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(
@@ -200,7 +206,7 @@ def batch_scores(spec: ScoringSpec, df: DataFrame, rules: Sequence[Rule],
     ``predict`` adds a ``score`` column (a fitted pipeline or a rule).
     """
     check_columns(spec, df)
-    checked = with_errors(dated(spec, df, cutoff), rules)
+    checked = cut(with_errors(dated(spec, df, cutoff), rules))
     invalid_share_gate(checked, max_invalid_share)
     valid, rejected = split_valid(checked)
     scored = predict(valid).select("run_cutoff", spec.entity, "score")

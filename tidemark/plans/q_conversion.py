@@ -13,7 +13,7 @@ from tidemark.sources import adapters as ad
 from tidemark.sources.oracle_views import with_views
 
 START, END = "2024-01-05", "2024-01-26"
-EXP, EXP_START, EXP_END = "EXP001", "2024-01-08", "2024-01-22"
+EXP, EXP_START, EXP_END = "EXP001", "2024-01-02", "2024-01-06"
 DIMS = ["device_type", "platform", "traffic_source", "visit_number"]
 
 DEPTH = """
@@ -200,7 +200,7 @@ def v25(spark, sf):
 UNITS = DEPTH + """,
 us AS (SELECT a.prospect_id, count(*) FILTER (session_start < assigned_at) AS prior_sessions,
     max(CASE WHEN customer_id IS NULL AND session_start >= assigned_at
-        AND session_start < TIMESTAMP '2024-01-22' THEN coalesce(depth, 0) END) AS deepest
+        AND session_start < TIMESTAMP '2024-01-06' THEN coalesce(depth, 0) END) AS deepest
   FROM j_assignments a JOIN j_sessions USING (prospect_id) LEFT JOIN sd USING (session_id)
   GROUP BY 1),
 u0 AS (SELECT a.prospect_id, variant, variant = 'treatment' AS treated, assigned_at, p.created_at,
@@ -209,7 +209,7 @@ u0 AS (SELECT a.prospect_id, variant, variant = 'treatment' AS treated, assigned
     CASE WHEN coalesce(prior_sessions, 0) = 0 THEN 'new lead' ELSE 'returning lead' END
       AS lead_type,
     date_diff('microsecond', p.created_at, assigned_at) / 86400e6::DOUBLE AS days_since_lead,
-    coalesce(customer_since >= assigned_at AND customer_since < TIMESTAMP '2024-01-22', false)
+    coalesce(customer_since >= assigned_at AND customer_since < TIMESTAMP '2024-01-06', false)
       AS converted, coalesce(deepest, 0) AS deepest
   FROM j_assignments a LEFT JOIN j_prospects p USING (prospect_id)
   LEFT JOIN j_customers c USING (prospect_id) LEFT JOIN us USING (prospect_id)),
@@ -461,7 +461,7 @@ def e13a(spark, sf):
     return rounded(ex.adjusted_subgroups(units(spark, sf), "converted"), 6)
 
 
-LOOKS = ["2024-01-10", "2024-01-15", "2024-01-22"]
+LOOKS = ["2024-01-03", "2024-01-04", "2024-01-06"]
 LOOK_SQL = UNITS + """,
 lk AS (SELECT week, cut, 'converted' AS metric, treated, CAST(coalesce(customer_since < cut AND
   converted, false) AS INT)::DOUBLE AS y FROM un, (SELECT unnest([1, 2, 3]) AS week, unnest([
@@ -500,9 +500,9 @@ def e16(spark, sf):
 
 @query("e17_planning", with_views("""
 SELECT count(*) AS expected_eligible_prospects, round(avg(CASE WHEN customer_since <
-  TIMESTAMP '2024-01-08' THEN 1.0::DOUBLE ELSE 0 END), 6) AS baseline_conversion
+  TIMESTAMP '2024-01-02' THEN 1.0::DOUBLE ELSE 0 END), 6) AS baseline_conversion
 FROM (SELECT DISTINCT prospect_id FROM j_sessions WHERE customer_id IS NULL
-      AND session_start >= TIMESTAMP '2024-01-01' AND session_start < TIMESTAMP '2024-01-08')
+      AND session_start >= TIMESTAMP '2024-01-01' AND session_start < TIMESTAMP '2024-01-02')
 LEFT JOIN j_customers USING (prospect_id)"""))
 def e17(spark, sf):
     t = ad.journey(spark, sf)
@@ -514,11 +514,11 @@ SELECT metric, round(a, 4) AS annual_eligible_prospects, round(d * 1000, 4) AS d
   round(lo * 1000, 4) AS ci_low_per_1000, round(hi * 1000, 4) AS ci_high_per_1000,
   round(d * a, 4) AS diff_per_year, round(lo * a, 4) AS ci_low_per_year,
   round(hi * a, 4) AS ci_high_per_year
-FROM (SELECT metric, (n_c + n_t) * 365 / 14.0::DOUBLE AS a, m_t - m_c AS d,
+FROM (SELECT metric, (n_c + n_t) * 365 / 4.0::DOUBLE AS a, m_t - m_c AS d,
              m_t - m_c - {Z} * {SE} AS lo, m_t - m_c + {Z} * {SE} AS hi FROM ps)""", PRIMARY))
 def e18(spark, sf):
     d = ex.two_proportions(primary(spark, sf))
-    return rounded(ex.business_translation(d, F.col("n_control") + F.col("n_treatment"), 14), 4)
+    return rounded(ex.business_translation(d, F.col("n_control") + F.col("n_treatment"), 4), 4)
 
 
 @query("e19_permutation_test")

@@ -87,7 +87,7 @@ j_experiments AS (SELECT '{_EXP['experiment_id']}' AS experiment_id,
               0.5::DOUBLE AS treatment_share),
 j_eligible AS (SELECT prospect_id, min(session_start) AS first_eligible_session FROM j_sessions
               WHERE customer_id IS NULL AND session_start >= TIMESTAMP '{_EXP['start']}'
-                AND session_start < TIMESTAMP '2024-01-22' GROUP BY 1),
+                AND session_start < TIMESTAMP '2024-01-06' GROUP BY 1),
 j_assignments AS (SELECT '{_EXP['experiment_id']}' AS experiment_id, prospect_id,
               CASE WHEN CAST('0x' || substr(sha256('{_EXP['experiment_id']}:' ||
                    CAST(prospect_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.5

@@ -24,13 +24,18 @@ def plus_days(c: str | Column, days: int) -> Column:
     return as_col(c) + F.expr(f"INTERVAL '{int(days)}' DAY")
 
 
+def micros(c: str | Column) -> Column:
+    """Microseconds as a plain long, so that ages are integer arithmetic."""
+    return F.unix_micros(as_col(c).cast("timestamp"))
+
+
 def days_between(start: str | Column, end: str | Column) -> Column:
     """Fractional days, microsecond exact."""
-    return F.timestamp_diff("MICROSECOND", as_col(start), as_col(end)) / F.lit(86_400e6)
+    return (micros(end) - micros(start)) / F.lit(86_400e6)
 
 
 def hours_between(start: str | Column, end: str | Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", as_col(start), as_col(end)) / F.lit(3_600e6)
+    return (micros(end) - micros(start)) / F.lit(3_600e6)
 
 
 def day_of(c: str | Column) -> Column:

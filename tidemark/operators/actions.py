@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import first_match, order_of, ratio
-from tidemark.operators.ranking import row_ranks
+from tidemark.operators.ranking import several_ranks
 
 # Fixed values.
 TIERS = (("Top 5%", 0.05), ("Next 15%", 0.20), ("Next 30%", 0.50), ("Bottom 50%", 1.0))
@@ -34,9 +34,9 @@ class ActionRules:
             raise ValueError("at-risk thresholds must be shares or probabilities")
 
 
-def with_rank_share(df: DataFrame, value: str, entity: str, name: str) -> DataFrame:
-    """Add rank and population size; ties are ordered by the entity id."""
-    return row_ranks(df, value, entity, [], name)
+def with_ranks(df: DataFrame, entity: str, values: Mapping[str, str]) -> DataFrame:
+    """Add rank and population size per ordering; ties are ordered by the entity id."""
+    return df.join(several_ranks(df, entity, values), entity)
 
 
 def in_top(name: str, share: float) -> Column:

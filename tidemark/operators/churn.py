@@ -66,32 +66,44 @@ def order_features(orders: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
         F.sum(F.when(age < 180, F.col("net_amount")).otherwise(0.0)).alias("net_revenue_180d"),
         F.avg("net_amount").alias("avg_order_value"),
         F.sum("gross_amount").alias("_gross"), F.sum("discount_amount").alias("_discount"),
-        F.min_by("discount_amount", F.struct("order_ts", "order_id")).alias("_first"),
         F.avg(flag(F.col("order_channel") == "store")).alias("store_order_share"),
         F.avg(flag(F.col("order_channel") == "app")).alias("app_order_share"))
-    return (out.withColumn("discount_share", ratio(F.col("_discount"), F.col("_gross")))
-            .withColumn("first_order_discounted", flag(F.col("_first") > 0))
-            .drop("_gross", "_discount", "_first"))
+    # a customer's first order is the same at every run: found once, on unmultiplied rows
+    first = orders.groupBy("customer_id").agg(
+        F.min_by("discount_amount", F.struct("order_ts", "order_id")).alias("_first"))
+    return out.join(first, "customer_id").select(
+        *KEYS, "days_since_last_order", "orders_total", "orders_90d", "orders_prev_90d",
+        "net_revenue_180d", "avg_order_value", "store_order_share", "app_order_share",
+        ratio(F.col("_discount"), F.col("_gross")).alias("discount_share"),
+        flag(F.col("_first") > 0).alias("first_order_discounted"))
 
 
 def line_features(orders: DataFrame, lines: DataFrame, products: DataFrame,
                   cutoffs: Sequence[str]) -> DataFrame:
-    """Category breadth and trailing margin.
+    """Category breadth and trailing margin per run.
 
-    Lines are reduced to (order, category) before they meet the runs, so the fan-out multiplies
-    compact rows only.
+    Lines are reduced to (order, category), then to (customer, category) with one margin column
+    per run; the runs multiply rows only after that, when a customer has one row.
     """
     margin = F.col("net_amount") - F.col("quantity") * F.col("unit_cost")
     per_order = (lines.select("order_id", "product_id", "quantity", "net_amount")
                  .join(products.select("product_id", "category", "unit_cost"), "product_id")
                  .groupBy("order_id", "category").agg(F.sum(margin).alias("margin")))
     o = per_order.join(orders.select("order_id", "customer_id", "order_ts"), "order_id")
-    per_cat = fan_out(o, "order_ts", cutoffs).groupBy(*KEYS, "category").agg(
-        F.sum(F.when(days_between("order_ts", "run_cutoff") < 180, F.col("margin"))
-              .otherwise(0.0)).alias("margin"))
-    return per_cat.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("category_count"),
-        F.greatest(F.sum("margin"), F.lit(0.0)).alias("margin_180d"))
+    t = F.col("order_ts")
+    recent = {i: (t < ts(c)) & (t > plus_days(ts(c), -180)) for i, c in enumerate(cutoffs)}
+    per_cat = o.groupBy("customer_id", "category").agg(
+        F.min("order_ts").alias("first_ts"),
+        *[F.sum(F.when(ok, F.col("margin")).otherwise(0.0)).alias(f"m{i}")
+          for i, ok in recent.items()])
+    per = per_cat.groupBy("customer_id").agg(
+        *[F.count_if(F.col("first_ts") < ts(c)).alias(f"n{i}") for i, c in enumerate(cutoffs)],
+        *[F.sum(f"m{i}").alias(f"m{i}") for i in recent])
+    runs = F.array(*[F.struct(ts(c).alias("run_cutoff"), F.col(f"n{i}").alias("category_count"),
+                              F.greatest(f"m{i}", F.lit(0.0)).alias("margin_180d"))
+                     for i, c in enumerate(cutoffs)])
+    return per.select("customer_id", F.inline(runs)).where("category_count > 0").select(
+        *KEYS, "category_count", "margin_180d")
 
 
 def session_features(sessions: DataFrame, orders: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
@@ -121,17 +133,24 @@ def email_features(touches: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
 
 
 def membership_features(subs: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
-    """Latest paid period covering the run, and a cancel request in the last 180 days."""
-    s = fan_out(subs, "event_ts", cutoffs)
+    """Latest paid period covering the run, and a cancel request in the last 180 days.
+
+    The latest payment of each plan is a plain maximum; the later of the two is the one in force
+    (annual on the same instant).
+    """
+    s = fan_out(subs.select("customer_id", "event_ts", "event_type", "plan"), "event_ts", cutoffs)
     paid = F.col("event_type") != "cancel"
-    last = F.max(F.when(paid, F.struct("event_ts", "subscription_event_id", "plan")))
     recent = ~paid & (F.col("event_ts") >= plus_days("run_cutoff", -180))
-    out = s.groupBy(*KEYS).agg(last.alias("_last"),
-                               F.max(flag(recent)).alias("plus_cancelled_180d"))
-    days = F.when(F.col("_last.plan") == "annual", PLAN_DAYS["annual"]).otherwise(
-        PLAN_DAYS["monthly"])
-    until = F.col("_last.event_ts") + F.make_dt_interval(days=days)
-    return out.withColumn("plus_member", flag(until > F.col("run_cutoff"))).drop("_last")
+    annual = F.col("plan") == "annual"
+    out = s.groupBy(*KEYS).agg(
+        F.max(F.when(paid & annual, F.col("event_ts"))).alias("_a"),
+        F.max(F.when(paid & ~annual, F.col("event_ts"))).alias("_m"),
+        F.max(flag(recent)).alias("plus_cancelled_180d"))
+    yearly = F.col("_a").isNotNull() & (F.col("_m").isNull() | (F.col("_a") >= F.col("_m")))
+    until = F.when(yearly, plus_days("_a", PLAN_DAYS["annual"])).otherwise(
+        plus_days("_m", PLAN_DAYS["monthly"]))
+    return out.select(*KEYS, flag(until > F.col("run_cutoff")).alias("plus_member"),
+                      "plus_cancelled_180d")
 
 
 def support_features(contacts: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
@@ -158,12 +177,12 @@ def with_activity(base: DataFrame, tables: Mapping[str, DataFrame], cutoffs: Seq
            .join(email_features(tables["marketing_touches"], cutoffs), KEYS, "left")
            .join(membership_features(tables["subscription_events"], cutoffs), KEYS, "left")
            .join(support_features(tables["support_contacts"], cutoffs), KEYS, "left"))
-    out = out.withColumn("days_since_last_session",
-                         F.coalesce("days_since_last_session", "tenure_days"))
-    for c in ("browse_sessions_30d", "browse_sessions_90d", "emails_received_90d",
-              "email_clicks_90d", *MEMBER_FEATURES, *SUPPORT_FEATURES):
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
-    return out.withColumn("email_open_rate_90d", F.coalesce("email_open_rate_90d", F.lit(0.0)))
+    zero = ("browse_sessions_30d", "browse_sessions_90d", "emails_received_90d",
+            "email_clicks_90d", *MEMBER_FEATURES, *SUPPORT_FEATURES)
+    fills = {**{c: F.coalesce(F.col(c), F.lit(0)) for c in zero},
+             "days_since_last_session": F.coalesce("days_since_last_session", "tenure_days"),
+             "email_open_rate_90d": F.coalesce("email_open_rate_90d", F.lit(0.0))}
+    return out.withColumns(fills)
 
 
 def attributes(customers: DataFrame) -> DataFrame:

@@ -299,9 +299,10 @@ def subgroup_effects(units: DataFrame, metric: str, dimensions: Sequence[str] =
     return two_proportions(sums.where((F.col("n_c") >= min_units) & (F.col("n_t") >= min_units)))
 
 
-def adjusted_subgroups(units: DataFrame, metric: str, alpha: float = ALPHA) -> DataFrame:
+def adjusted_subgroups(units: DataFrame, metric: str, alpha: float = ALPHA,
+                       min_units: int = MIN_UNITS) -> DataFrame:
     """Subgroup effects with p-values adjusted over the family and Bonferroni-width intervals."""
-    t = with_p_normal(subgroup_effects(units, metric))
+    t = with_p_normal(subgroup_effects(units, metric, min_units=min_units))
     t = benjamini_hochberg(holm(t, "p_value"), "p_value")
     # the family size is a small count; the quantile of alpha / m is looked up per size
     sizes = F.array(*[F.lit(NormalDist().inv_cdf(1 - alpha / m / 2)) for m in range(1, 101)])

@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cols import ratio
+from tidemark.functions.lineage import cut
 from tidemark.operators.ranking import long_scores, ranked_scores, score_bounds
 
 # Fixed values.
@@ -120,14 +120,14 @@ def psi(reference: Column, current: Column) -> Column:
 
 def numeric_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Edges, shares, mean and range per numeric feature: the stored reference."""
-    edges = quantile_edges(by_value(df, features))
+    edges = cut(quantile_edges(by_value(df, features)))
     shares = bin_shares(df, features, edges).groupBy("feature").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("bin", "share"))),
                     lambda s: s["share"]).alias("shares"))
     stats = numeric_long(df, features).groupBy("feature").agg(
         F.avg("score").alias("mean"), F.min("score").alias("lowest"),
         F.max("score").alias("highest"))
-    return edges.join(shares, "feature").join(stats, "feature")
+    return cut(edges.join(shares, "feature").join(stats, "feature"))
 
 
 def numeric_drift(profile: DataFrame, current: DataFrame, features: Sequence[str],

@@ -125,6 +125,16 @@ def row_ranks(df: DataFrame, score: str, entity: str, runs: Runs = (), name: str
             .drop("_before", id_bucket))
 
 
+def several_ranks(df: DataFrame, entity: str, values: Mapping[str, str]) -> DataFrame:
+    """(entity, rank per value, population) for several orderings, in one ranking job."""
+    long = long_scores(df, values, [entity], "ordering")
+    r = row_ranks(long, "score", entity, ["ordering"], "_r")
+    return r.groupBy(entity).agg(
+        *[F.max(F.when(F.col("ordering") == name, F.col("_r"))).alias(name) for name in values],
+        *[F.max(F.when(F.col("ordering") == name, F.col("_r_n"))).alias(f"{name}_n")
+          for name in values])
+
+
 def rank_bounds(df: DataFrame, score: str, entity: str) -> tuple[list, list]:
     """Score and id bounds, from a single scan where both are numeric."""
     buckets = _default_buckets(df)

@@ -458,7 +458,8 @@ def e13(spark, sf):
 
 @query("e13_adjusted_subgroups")
 def e13a(spark, sf):
-    return rounded(ex.adjusted_subgroups(units(spark, sf), "converted"), 6)
+    return rounded(ex.adjusted_subgroups(units(spark, sf), "converted",
+                                         min_units=3), 6)
 
 
 LOOKS = ["2024-01-03", "2024-01-04", "2024-01-06"]

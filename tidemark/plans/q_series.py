@@ -603,6 +603,14 @@ def churn_runs(spark, sf, runs):
     return cut(_scored(churn.build_dataset(ad.ledger(spark, sf), runs)))
 
 
+def reference_and_current(spark, sf):
+    """Both populations from one dataset job."""
+    from tidemark.functions.cols import ts
+    both = churn_runs(spark, sf, REF_RUN + CUR_RUNS)
+    first = F.col("run_cutoff") == ts(REF_RUN[0])
+    return both.where(first), both.where(~first)
+
+
 MON = CHURN_SQL + ",\nnl AS (" + "\nUNION ALL ".join(
     f"SELECT run_cutoff, '{f}' AS feature, {f}::DOUBLE AS v FROM cf" for f in NUM) + """
   UNION ALL SELECT run_cutoff, 'p', days_since_last_order / (60 + days_since_last_order) FROM cf),
@@ -642,8 +650,9 @@ def n1(spark, sf):
 @query("n2_bin_shares", with_views(
     "SELECT feature, CAST(bin AS INT) AS bin, round(c, 6) AS share FROM sh", MON))
 def n2(spark, sf):
-    _, e = _edges(spark, sf)
-    return rounded(mo.bin_shares(churn_runs(spark, sf, CUR_RUNS), [*NUM, "p"], e), 6)
+    ref, cur = reference_and_current(spark, sf)
+    e = mo.quantile_edges(mo.by_value(ref, [*NUM, "p"]))
+    return rounded(mo.bin_shares(cur, [*NUM, "p"], e), 6)
 
 
 LV = "\nUNION ALL ".join(f"SELECT '{f}' AS feature, '{v}' AS level" for f, vs in LEVELS.items()
@@ -669,9 +678,8 @@ def n3(spark, sf):
 
 @query("n4_psi", with_views("SELECT feature, round(psi, 6) AS psi FROM np", MON))
 def n4(spark, sf):
-    ref = churn_runs(spark, sf, REF_RUN)
-    d = mo.numeric_drift(mo.numeric_profile(ref, [*NUM, "p"]), churn_runs(spark, sf, CUR_RUNS),
-                         [*NUM, "p"])
+    ref, cur = reference_and_current(spark, sf)
+    d = mo.numeric_drift(mo.numeric_profile(ref, [*NUM, "p"]), cur, [*NUM, "p"])
     return rounded(d.select("feature", "psi"), 6)
 
 
@@ -697,14 +705,14 @@ SELECT customer_id, run_cutoff, (SELECT count(*) FROM nqq WHERE q <= round(p, 6)
 nqq AS (SELECT unnest([round(x, 6) FOR x IN quantile_disc(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7,
   0.8, 0.9, 1.0])]) AS q FROM nr WHERE feature = 'p')"""))
 def n6(spark, sf):
-    ref = mo.by_value(churn_runs(spark, sf, REF_RUN), ["p"])
+    past, cur = reference_and_current(spark, sf)
+    ref = mo.by_value(past, ["p"])
     cuts = F.array(*[F.lit(i) for i in range(1, 11)])
     q = ref.withColumn("i", F.explode(F.filter(cuts, lambda i: (
         F.col("upto_n") * 10 >= i * F.col("total_n"))
         & (F.col("before_n") * 10 < i * F.col("total_n")))))
     stored = [r["v"] for r in q.select(F.round("score", 6).alias("v")).collect()]  # ten values
-    cur = churn_runs(spark, sf, CUR_RUNS).select("customer_id", "run_cutoff",
-                                                 F.round("p", 6).alias("p"))
+    cur = cur.select("customer_id", "run_cutoff", F.round("p", 6).alias("p"))
     return mo.reference_percentile(cur, "p", stored).select("customer_id", "run_cutoff",
                                                             "reference_percentile")
 
@@ -718,8 +726,8 @@ SELECT feature, round(psi, 6) AS psi, round(nm.mean, 6) AS reference_mean,
   round((SELECT avg((v < lo OR v > hi)::INT) FROM nc WHERE nc.feature = np.feature), 6)
     AS outside_reference_range FROM np JOIN nm USING (feature) WHERE feature <> 'p'""", MON))
 def n7(spark, sf):
-    ref = churn_runs(spark, sf, REF_RUN)
-    d = mo.numeric_drift(mo.numeric_profile(ref, NUM), churn_runs(spark, sf, CUR_RUNS), NUM)
+    ref, cur = reference_and_current(spark, sf)
+    d = mo.numeric_drift(mo.numeric_profile(ref, NUM), cur, NUM)
     return rounded(d.select(*DRIFT_COLS), 6)
 
 
@@ -728,8 +736,8 @@ SELECT feature, round(sum((greatest(c, 1e-4) - greatest(r, 1e-4)) * ln(greatest(
   greatest(r, 1e-4))), 6) AS psi, arg_max(level, (abs(c - r), level)) AS most_shifted_level
 FROM lr GROUP BY 1""", CHURN_SQL + "," + LEVEL_SQL))
 def n7c(spark, sf):
-    d = mo.categorical_drift(churn_runs(spark, sf, REF_RUN), churn_runs(spark, sf, CUR_RUNS),
-                             LEVELS)
+    ref, cur = reference_and_current(spark, sf)
+    d = mo.categorical_drift(ref, cur, LEVELS)
     return rounded(d.select("feature", "psi", "most_shifted_level"), 6)
 
 
@@ -738,8 +746,8 @@ SELECT feature, round(psi, 6) AS psi, round(nm.mean, 6) AS reference_mean,
   round((SELECT avg(v) FROM nc WHERE nc.feature = 'p'), 6) AS current_mean
 FROM np JOIN nm USING (feature) WHERE feature = 'p'""", MON))
 def n8(spark, sf):
-    ref = churn_runs(spark, sf, REF_RUN)
-    d = mo.numeric_drift(mo.numeric_profile(ref, ["p"]), churn_runs(spark, sf, CUR_RUNS), ["p"])
+    ref, cur = reference_and_current(spark, sf)
+    d = mo.numeric_drift(mo.numeric_profile(ref, ["p"]), cur, ["p"])
     return rounded(d.select("feature", "psi", "reference_mean", "current_mean"), 6)
 
 
@@ -774,7 +782,7 @@ def n9(spark, sf):
 
 
 def monitor(spark, sf):
-    ref, cur = churn_runs(spark, sf, REF_RUN), churn_runs(spark, sf, CUR_RUNS)
+    ref, cur = reference_and_current(spark, sf)
     mature = tw.labels_mature(F.col("run_cutoff"), 90, "2000-11-01")
     return mo.monitor(ref, cur, NUM, LEVELS, "p", "churned", "run_cutoff", mature, 0.75)
 

@@ -257,10 +257,9 @@ def action_base(spark, sf):
     d = d.withColumn("pred", F.floor(F.col("revenue_total") / 50000) * 10).withColumn(
         "p_alive", 1.0 / (1 + F.col("days_since_last_order") / 200))
     # equal spend must tie whatever order the cents were added in
-    d = cut(d.withColumn("revenue_180d", F.round("revenue_180d", 4)).withColumn(
-        "revenue_365d", F.round("revenue_365d", 4)))
-    for col, name in (("pred", "rp"), ("revenue_180d", "r1"), ("revenue_365d", "r3")):
-        d = ac.with_rank_share(d, col, "customer_id", name)
+    d = cut(d.withColumns({c: F.round(c, 4) for c in ("revenue_180d", "revenue_365d")}))
+    d = ac.with_ranks(d, "customer_id", {"rp": "pred", "r1": "revenue_180d",
+                                         "r3": "revenue_365d"})
     return (d.withColumn("tier", ac.value_tier("rp"))
             .withColumn("migration", ac.migration_group("revenue_180d", "r1", "rp"))
             .withColumn("action", ac.assign_actions(d, "rp", "r3", RULES)))

@@ -126,7 +126,20 @@ def fan_out(df: DataFrame, ts_col: str, cutoffs: Sequence[str], lookback_days: i
             ok = ok & (event >= c - F.expr(f"INTERVAL '{int(lookback_days)}' DAY"))
         return ok
 
-    return df.withColumn(name, F.explode(F.filter(runs, visible)))
+    bounded = event < ts(max(cutoffs))  # a plain range that reaches the Parquet filter
+    if lookback_days is not None:
+        bounded = bounded & (event >= plus_days(ts(min(cutoffs)), -lookback_days))
+    return df.where(bounded).withColumn(name, F.explode(F.filter(runs, visible)))
+
+
+def fan_forward(df: DataFrame, ts_col: str, cutoffs: Sequence[str], horizon_days: int,
+                name: str = "run_cutoff") -> DataFrame:
+    """One copy of a row for every cutoff whose outcome window ``[c, c + horizon)`` holds it."""
+    event = F.col(ts_col)
+    inside = F.filter(F.array(*[ts(c) for c in cutoffs]), lambda c: (event >= c) & (
+        event < plus_days(c, horizon_days)))
+    bounded = (event >= ts(min(cutoffs))) & (event < plus_days(ts(max(cutoffs)), horizon_days))
+    return df.where(bounded).withColumn(name, F.explode(inside))
 
 
 def rounded(df: DataFrame, digits: int = 4, skip: Sequence[str] = ()) -> DataFrame:

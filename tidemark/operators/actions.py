@@ -162,15 +162,10 @@ def assign_actions(df: DataFrame, pred_rank: str, past_rank: str, rules: ActionR
 def priority_list(df: DataFrame, pred: str, per_action: int = 10) -> DataFrame:
     """Top customers of each action by prediction, in call order.
 
-    Groups may be large, so each task first keeps its own best rows of every action (bounded by
-    ``per_action`` times a fixed number of id slices), and only those meet in the final window.
+    The rank filter is turned into a group limit ahead of the shuffle, so every task passes on at
+    most ``per_action`` rows of an action however large the action is.
     """
-    slices = F.pmod(F.xxhash64("customer_id"), F.lit(64))
-    order = [F.desc(pred), F.asc("customer_id")]
-    local = Window.partitionBy("action", "_slice").orderBy(*order)
-    top = df.withColumn("_slice", slices).withColumn("_r", F.row_number().over(local)).where(
-        F.col("_r") <= per_action)
-    final = Window.partitionBy("action").orderBy(*order)
-    return (top.withColumn("position", F.row_number().over(final))
+    order = Window.partitionBy("action").orderBy(F.desc(pred), F.asc("customer_id"))
+    return (df.withColumn("position", F.row_number().over(order))
             .where(F.col("position") <= per_action)
-            .withColumn("action_order", order_of("action", ACTIONS)).drop("_slice", "_r"))
+            .withColumn("action_order", order_of("action", ACTIONS)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cols import (
     days_between,
+    fan_forward,
     fan_out,
     flag,
     hours_between,
@@ -47,9 +48,8 @@ def active_customers(orders: DataFrame, cutoffs: Sequence[str], active_days: int
 def churn_labels(base: DataFrame, orders: DataFrame, cutoffs: Sequence[str], horizon_days: int
                  ) -> DataFrame:
     """1 if no order falls in ``[run, run + horizon)``."""
-    windows = F.filter(F.array(*[ts(c) for c in cutoffs]), lambda c: (F.col("order_ts") >= c) & (
-        F.col("order_ts") < plus_days(c, horizon_days)))
-    buyers = orders.select("customer_id", F.explode(windows).alias("run_cutoff")).distinct()
+    buyers = fan_forward(orders.select("customer_id", "order_ts"), "order_ts", cutoffs,
+                         horizon_days).select(*KEYS).distinct()
     return base.join(buyers.withColumn("_b", F.lit(1)), KEYS, "left").withColumn(
         "churned", flag(F.col("_b").isNull())).drop("_b")
 

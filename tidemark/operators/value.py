@@ -7,7 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cols import days_between, fan_out, flag, plus_days, ratio, ts
+from tidemark.functions.cols import (
+    days_between,
+    fan_forward,
+    fan_out,
+    flag,
+    plus_days,
+    ratio,
+    ts,
+)
 from tidemark.functions.lineage import cut
 from tidemark.operators.churn import (
     CATEGORICAL,
@@ -77,10 +85,9 @@ def category_counts(orders: DataFrame, lines: DataFrame, products: DataFrame,
 def future_revenue(base: DataFrame, orders: DataFrame, cutoffs: Sequence[str], horizon_days: int
                    ) -> DataFrame:
     """Net revenue in ``[run, run + horizon)``, 0 where there is none."""
-    windows = F.filter(F.array(*[ts(c) for c in cutoffs]), lambda c: (F.col("order_ts") >= c) & (
-        F.col("order_ts") < plus_days(c, horizon_days)))
-    spend = orders.select("customer_id", "net_amount", F.explode(windows).alias(
-        "run_cutoff")).groupBy(*KEYS).agg(F.sum("net_amount").alias("_spend"))
+    spend = fan_forward(orders.select("customer_id", "order_ts", "net_amount"), "order_ts",
+                        cutoffs, horizon_days).groupBy(*KEYS).agg(
+        F.sum("net_amount").alias("_spend"))
     return base.join(spend, KEYS, "left").withColumn(
         "future_revenue", F.coalesce("_spend", F.lit(0.0))).drop("_spend")
 

@@ -7,6 +7,7 @@ result tables (tails) or once per customer (2F1), always on whole Arrow batches.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -131,6 +132,11 @@ def p_normal(z: pd.Series) -> pd.Series:
     return _mapped(normal_two_sided, z)
 
 
+@F.pandas_udf(DoubleType())
+def q_normal(p: pd.Series) -> pd.Series:
+    return _mapped(NormalDist().inv_cdf, p)
+
+
 @F.pandas_udf(DoubleType())
 def p_student(t: pd.Series, df: pd.Series) -> pd.Series:
     return _mapped(t_two_sided, t, df)

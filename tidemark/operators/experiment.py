@@ -17,7 +17,7 @@ from tidemark.functions.cols import (
     true_or_false,
     ts,
 )
-from tidemark.functions.numeric import p_chi2, p_normal, p_student, q_student
+from tidemark.functions.numeric import p_chi2, p_normal, p_student, q_normal, q_student
 
 # The analysis plan.
 ALPHA, MIN_EFFECT, REVENUE_DAYS, MIN_UNITS = 0.05, 0.02, 90, 30
@@ -304,10 +304,8 @@ def adjusted_subgroups(units: DataFrame, metric: str, alpha: float = ALPHA,
     """Subgroup effects with p-values adjusted over the family and Bonferroni-width intervals."""
     t = with_p_normal(subgroup_effects(units, metric, min_units=min_units))
     t = benjamini_hochberg(holm(t, "p_value"), "p_value")
-    # the family size is a small count; the quantile of alpha / m is looked up per size
-    sizes = F.array(*[F.lit(NormalDist().inv_cdf(1 - alpha / m / 2)) for m in range(1, 101)])
-    m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    t = t.withColumn("_z", F.element_at(sizes, F.least(m, F.lit(100)).cast("int")))
+    m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))  # one row per subgroup
+    t = t.withColumn("_z", q_normal(1 - alpha / m / 2))
     return (t.withColumn("significant_raw", F.col("p_value") < alpha)
             .withColumn("significant_holm", F.col("p_holm") < alpha)
             .withColumn("ci_bonferroni_low", F.col("diff") - F.col("_z") * F.col("se"))

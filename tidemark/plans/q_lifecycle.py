@@ -55,6 +55,25 @@ def panel(spark, sf):
     return lc.build_panel(t["prospects"], t["customers"], t["orders"], FIRST, LAST, RULES)
 
 
+@query("l1_classify", with_views("""
+SELECT state, count(*) AS people, round(avg(idle_days), 6) AS mean_idle_days FROM (
+  SELECT *, CASE WHEN idle_days > 180 THEN 'churned' WHEN idle_days > 90 THEN 'at_risk'
+      WHEN tenure_days <= 90 THEN 'new' WHEN n >= 3 AND tenure_days > 180 THEN 'loyal'
+      ELSE 'active' END AS state
+  FROM (SELECT customer_id, date_diff('day', min(order_ts), TIMESTAMP '2000-07-01')::DOUBLE
+      AS tenure_days, date_diff('day', max(order_ts), TIMESTAMP '2000-07-01')::DOUBLE AS idle_days,
+      count(*) FILTER (order_ts >= TIMESTAMP '2000-07-01' - INTERVAL 365 DAY) AS n
+    FROM g_orders WHERE order_ts < TIMESTAMP '2000-07-01' GROUP BY 1)) GROUP BY 1"""))
+def l1(spark, sf):
+    from tidemark.functions.cols import days_between, ts
+    h = lc.order_history(ad.ledger(spark, sf)["orders"], "2000-07-01", 365)
+    at = ts("2000-07-01")
+    tenure, idle = days_between("first_ts", at), days_between("last_ts", at)
+    return rounded(h.groupBy(lc.classify(tenure, idle, F.col("orders_window"), RULES)
+                             .alias("state")).agg(F.count(F.lit(1)).alias("people"),
+                                                  F.avg(idle).alias("mean_idle_days")), 6)
+
+
 @query("l2_people_frame", with_views("""
 SELECT p.prospect_id, created_at, p.acquisition_channel, customer_id, customer_since
 FROM j_prospects p LEFT JOIN j_customers USING (prospect_id)"""))
@@ -169,6 +188,16 @@ HALF = (f"({Z} * sqrt(k / CAST(n AS DOUBLE) * (1 - k / CAST(n AS DOUBLE)) / n +
         f"(4.0::DOUBLE * n * n)) / (1 + {Z} * {Z} / n))")
 
 
+@query("l12_wilson_interval", with_views(f"""
+SELECT run_cutoff, n, k, round({CENTRE} - {HALF}, 6) AS low, round({CENTRE} + {HALF}, 6) AS high
+FROM (SELECT run_cutoff, count(*) AS n, CAST(sum(label) AS BIGINT) AS k FROM scored GROUP BY 1)"""))
+def l12(spark, sf):
+    t = ad.score_frame(spark, sf).groupBy("run_cutoff").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
+    low, high = lc.wilson(F.col("k"), F.col("n"))
+    return rounded(t.withColumn("low", low).withColumn("high", high), 6)
+
+
 @query("l13_decision_rows", with_views(f"""
 SELECT decision_point, prospect_id, CAST(period AS DATE) AS period, favourable,
   round(revenue_after, 4) AS revenue_after FROM dr

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("q_toxicity", "q_simhash", "q_decontaminate", "q_secrets", "q_packing")
+MODULES = ("q_toxicity", "q_simhash", "q_decontaminate", "q_secrets", "q_packing", "q_langid")
 
 
 def query(name: str, sql: str | None = None):

@@ -35,14 +35,14 @@ def held_out(doc_id: Column, n: int, remainder: int) -> Column:
     return F.coalesce(id_bucket(doc_id, n) == remainder, F.lit(False))
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the folder that all executors share and read it back.
+def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write once to the folder that all executors share and read it back, partitioned by a column if named.
 
     Unlike a cached frame the copy survives lost executors, and later reads of it are pruned to the
     columns they need.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

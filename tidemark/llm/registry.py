@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("q_toxicity", "q_simhash", "q_decontaminate", "q_secrets", "q_packing", "q_langid", "q_quality", "q_html", "q_license")
+MODULES = ("q_toxicity", "q_simhash", "q_decontaminate", "q_secrets", "q_packing", "q_langid", "q_quality", "q_html", "q_license",
+           "q_katz")
 
 
 def query(name: str, sql: str | None = None):

@@ -149,7 +149,7 @@ def pack(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
     shard = fresh(rows, "shard")
     schema = f"{_ddl(part)}, sequence_id long, offset long"
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("length", ascending=False, kind="stable")
         seq, off = place(frame["length"].to_numpy(np.int64), cap)
         frame["sequence_id"], frame["offset"] = seq * n + int(key[0]), off

@@ -14,23 +14,26 @@ WHO = ("email", "west", "25-34", "mid", "mobile", True)
 
 @pytest.fixture
 def lead_tables(frame):
-    made = {"P1": -10, "P2": -10, "P3": -100, "P4": 1, "P5": -5, "P6": -5, "P7": -90, "P8": 0}
-    won = {"P1": 5, "P2": -1, "P5": 0, "P6": 30}
+    made = {"L1": -44, "L2": -12, "L3": -91, "L4": 0, "L5": -90, "L6": -1, "L7": -30, "L8": 6}
+    won = {"L1": 13, "L2": -4, "L5": 29.5, "L6": 30, "L7": 0}
     minute = 1 / 1440
-    sessions = [("S1", "P1", None, at(-10), "web", "mobile", 3),
-                ("S2", "P1", None, at(-3), "app", "mobile", 6),
-                ("S3", "P1", None, at(-minute), "web", "desktop", 4),
-                ("S4", "P1", "C1", at(5), "web", "mobile", 9),
-                ("S5", "P2", None, at(-10), "web", "mobile", 2)]
-    stages = [("S1", -10, [1, 2]), ("S2", -3, [1, 2, 3]), ("S3", -minute, [1]),
-              ("S3", minute, [2, 3, 4]), ("S4", 5, [1, 5]), ("S5", -10, [1])]
+    sessions = [("A1", "L1", None, at(-40), "web", "desktop", 2),
+                ("A2", "L1", None, at(-6.9), "app", "mobile", 5),
+                ("A3", "L1", None, at(-6.5), "app", "mobile", 1),
+                ("A4", "L1", None, at(-minute), "web", "mobile", 4),
+                ("A5", "L1", None, at(0), "web", "mobile", 7),
+                ("B1", "L7", None, at(-20), "web", "mobile", 2)]
+    stages = [("A1", -40, [1, 2, 3, 4]), ("A2", -6.9, [1]), ("A3", -6.5, [1, 2, 3]),
+              ("A4", -minute, [1]), ("A4", minute, [2, 3, 4, 5]), ("A5", 0, [1, 2]),
+              ("B1", -20, [1, 2])]
     events = [(f"E{i}{k}", s, at(d + n * minute), k)
               for i, (s, d, ks) in enumerate(stages) for n, k in enumerate(ks)]
-    touches = [("P1", None, "ad_click", at(-10), True, True),
-               ("P1", None, "email", at(-2), True, True),
-               ("P1", None, "email", at(-9), False, False),
-               ("P1", None, "ad_click", at(-1), True, True),
-               ("P1", None, "email", at(1), True, True)]
+    touches = [("L1", None, "email", at(-30), True, True),
+               ("L1", None, "email", at(-12), True, False),
+               ("L1", None, "email", at(-5), False, False),
+               ("L1", None, "email", at(0), True, True),
+               ("L1", None, "ad_click", at(-8), True, True),
+               ("L1", None, "ad_click", at(-0.5), True, True)]
     return {
         "prospects": frame(f"prospect_id string, created_at timestamp_ntz, {PERSON}",
                            [(p, at(d), *WHO) for p, d in made.items()]),
@@ -49,23 +52,22 @@ def lead_tables(frame):
 def test_pipeline_and_labels_are_half_open(lead_tables):
     t = lead_tables
     pop = leads.open_leads(t["prospects"], t["customers"], [CUT])
-    assert rows(pop, "prospect_id") == [("P1",), ("P5",), ("P6",), ("P7",)]
+    assert rows(pop, "prospect_id") == [("L1",), ("L5",), ("L6",), ("L7",)]
     got = rows(leads.conversion_labels(pop, t["customers"], 30), "prospect_id", "converted")
-    assert got == [("P1", 1), ("P5", 1), ("P6", 0), ("P7", 0)]
+    assert got == [("L1", 1), ("L5", 1), ("L6", 0), ("L7", 1)]
     longer = by(leads.conversion_labels(pop, t["customers"], 31), "prospect_id")
-    assert longer["P6"]["converted"] == 1
+    assert longer["L6"]["converted"] == 1
 
 
 def test_lead_features_see_only_the_past(lead_tables):
     f = by(leads.build_features(lead_tables, [CUT]), "prospect_id")
-    p1 = f["P1"]
-    want = {"lead_age_days": 10, "sessions_total": 3, "sessions_7d": 2,
-            "days_since_last_session": 1 / 1440, "max_stage_reached": 3, "cart_sessions": 1,
-            "checkout_sessions": 0, "pages_viewed": 13, "app_session_share": 1 / 3,
-            "mobile_session_share": 2 / 3, "emails_received": 2, "emails_opened": 1,
-            "emails_clicked": 1, "email_open_rate": 0.5, "retarget_clicks": 1}
-    assert {k: p1[k] for k in want} == pytest.approx(want)
-    assert f["P7"]["sessions_total"] == 0 and f["P7"]["days_since_last_session"] == 90
+    want = {"lead_age_days": 44, "sessions_total": 4, "sessions_7d": 3,
+            "days_since_last_session": 1 / 1440, "max_stage_reached": 4, "cart_sessions": 2,
+            "checkout_sessions": 1, "pages_viewed": 12, "app_session_share": 1 / 2,
+            "mobile_session_share": 3 / 4, "emails_received": 3, "emails_opened": 2,
+            "emails_clicked": 1, "email_open_rate": 2 / 3, "retarget_clicks": 2}
+    assert {k: f["L1"][k] for k in want} == pytest.approx(want)
+    assert f["L5"]["sessions_total"] == 0 and f["L5"]["days_since_last_session"] == 90
 
 
 def test_lead_features_do_not_change_when_the_future_is_removed(lead_tables):
@@ -76,15 +78,15 @@ def test_lead_features_do_not_change_when_the_future_is_removed(lead_tables):
 
 @pytest.fixture
 def customer_tables(frame):
-    since = {"C1": -100, "C2": -300, "C3": -180, "C4": -1, "C5": -30, "C6": 3}
-    ledger = [("O01", "C1", -100, "web", "S1", 100.0, 10.0),
-              ("O02", "C1", -10, "store", None, 50.0, 0.0),
-              ("O03", "C1", 5, "web", "S9", 80.0, 0.0), ("O04", "C2", -300, "web", None, 40.0, 0.0),
-              ("O05", "C2", -200, "web", None, 40.0, 0.0), ("O06", "C3", -180, "app", None, 60., 0.),
-              ("O07", "C4", -1, "web", None, 30.0, 0.0), ("O08", "C4", 90, "web", None, 30.0, 0.0),
-              ("O09", "C5", -30, "web", None, 20.0, 0.0), ("O10", "C5", 0, "web", None, 20.0, 0.0),
-              ("O11", "C6", 3, "web", None, 20.0, 0.0)]
-    product = {"O02": "B", "O06": "B"}
+    since = {"K1": -150, "K2": -181, "K3": -2, "K4": -60, "K5": 0.5, "K6": -400}
+    ledger = [("N01", "K1", -150, "app", "V1", 80.0, 20.0), ("N02", "K1", -95, "web", None, 30., 0.),
+              ("N03", "K1", -40, "store", None, 60.0, 6.0),
+              ("N04", "K1", 89.5, "web", None, 10.0, 0.0), ("N05", "K2", -181, "web", None, 25., 0.),
+              ("N06", "K3", -2, "app", None, 70.0, 0.0), ("N07", "K3", 90, "app", None, 70.0, 0.0),
+              ("N08", "K4", -60, "web", None, 15.0, 0.0), ("N09", "K4", 0, "web", None, 15.0, 0.0),
+              ("N10", "K6", -400, "web", None, 50.0, 0.0),
+              ("N11", "K6", -180, "web", None, 50.0, 5.0), ("N12", "K5", 0.5, "web", None, 9.0, 0.0)]
+    product = {"N03": "B", "N08": "B"}
     hour = 1 / 24
     return {
         "customers": frame(f"customer_id string, prospect_id string, "
@@ -95,55 +97,60 @@ def customer_tables(frame):
                         "discount_amount double, net_amount double, item_count bigint",
                         [(o, c, at(d), ch, s, g, x, g - x, 1) for o, c, d, ch, s, g, x in ledger]),
         "products": frame("product_id string, category string, unit_cost double",
-                          [("A", "apparel", 40.0), ("B", "home", 20.0)]),
+                          [("A", "toys", 12.0), ("B", "garden", 25.0)]),
         "order_lines": frame("order_id string, product_id string, quantity bigint, "
                              "net_amount double",
                              [(o[0], product.get(o[0], "A"), 1, o[5] - o[6]) for o in ledger]),
         "sessions": frame("session_id string, customer_id string, session_start timestamp_ntz",
-                          [("S1", "C1", at(-100)), ("S2", "C1", at(-20)), ("S3", "C1", at(-60)),
-                           ("S4", "C1", at(-hour)), ("S9", "C1", at(5)), ("S5", None, at(-40))]),
+                          [("V1", "K1", at(-150)), ("V2", "K1", at(-88)), ("V3", "K1", at(-31)),
+                           ("V4", "K1", at(-29)), ("V5", "K1", at(-2 * hour)), ("V6", "K1", at(5)),
+                           ("V7", None, at(-3))]),
         "marketing_touches": frame(
             "customer_id string, touch_type string, touch_at timestamp_ntz, opened boolean, "
             "clicked boolean",
-            [("C1", "email", at(-7), True, True), ("C1", "email", at(-14), True, False),
-             ("C1", "email", at(-21), False, False), ("C1", "email", at(-120), True, True),
-             ("C1", "email", at(1), True, True), ("C1", "ad_click", at(-3), True, True)]),
+            [("K1", "email", at(-3), True, True), ("K1", "email", at(-45), True, True),
+             ("K1", "email", at(-60), False, False), ("K1", "email", at(-89), False, False),
+             ("K1", "email", at(-91), True, True), ("K1", "email", at(2), True, True),
+             ("K1", "ad_click", at(-3), True, True)]),
         "subscription_events": frame(
             "subscription_event_id string, customer_id string, event_ts timestamp_ntz, "
             "event_type string, plan string",
-            [("1", "C1", at(-50), "subscribe", "monthly"), ("2", "C1", at(-20), "renew", "monthly"),
-             ("3", "C1", at(-5), "cancel", "monthly"), ("4", "C4", at(-1), "subscribe", "annual"),
-             ("5", "C3", at(-170), "subscribe", "monthly")]),
+            [("1", "K1", at(-120), "subscribe", "monthly"), ("2", "K1", at(-70), "cancel", "monthly"),
+             ("3", "K1", at(-30), "subscribe", "annual"), ("4", "K4", at(-50), "subscribe", "annual"),
+             ("5", "K4", at(-10), "cancel", "annual"), ("6", "K6", at(-45), "subscribe", "monthly"),
+             ("7", "K3", at(1), "subscribe", "annual")]),
         "support_contacts": frame(
             "customer_id string, contact_ts timestamp_ntz, resolved_at timestamp_ntz, "
             "csat_score bigint",
-            [("C1", at(-30), at(-28), 1), ("C1", at(-10), at(-10 + hour), 5),
-             ("C1", at(-200), at(-199), 1), ("C4", at(-2 * hour), at(1), 1)])}
+            [("K1", at(-170), at(-170 + 2 * hour), 5), ("K1", at(-20), at(-15), 1),
+             ("K1", at(-1), at(-1 + 2 * hour), 4), ("K1", at(-181), at(-180), 1),
+             ("K3", at(-3 * hour), at(1), 1)])}
 
 
 def test_churn_base_and_labels(customer_tables):
     o = customer_tables["orders"]
     base = churn.active_customers(o, [CUT])
-    assert rows(base, "customer_id") == [("C1",), ("C3",), ("C4",), ("C5",)]
-    assert "C3" not in by(churn.active_customers(o, ["2025-07-02"]), "customer_id")
+    assert rows(base, "customer_id") == [("K1",), ("K3",), ("K4",), ("K6",)]
+    assert "K6" not in by(churn.active_customers(o, ["2025-07-02"]), "customer_id")
     lab = rows(churn.churn_labels(base, o, [CUT], 90), "customer_id", "churned")
-    assert lab == [("C1", 0), ("C3", 1), ("C4", 1), ("C5", 0)]
-    assert by(churn.churn_labels(base, o, [CUT], 91), "customer_id")["C4"]["churned"] == 0
+    assert lab == [("K1", 0), ("K3", 1), ("K4", 0), ("K6", 1)]
+    assert by(churn.churn_labels(base, o, [CUT], 91), "customer_id")["K3"]["churned"] == 0
 
 
 def test_churn_features(customer_tables):
     f = by(churn.build_features(customer_tables, [CUT]), "customer_id")
-    want = {"tenure_days": 100, "days_since_last_order": 10, "orders_total": 2, "orders_90d": 1,
-            "orders_prev_90d": 1, "net_revenue_180d": 140, "avg_order_value": 70,
-            "discount_share": 10 / 150, "first_order_discounted": 1, "category_count": 2,
-            "store_order_share": 0.5, "browse_sessions_30d": 2, "browse_sessions_90d": 3,
-            "days_since_last_session": 1 / 24, "emails_received_90d": 3,
-            "email_open_rate_90d": 2 / 3, "email_clicks_90d": 1, "plus_member": 1,
-            "plus_cancelled_180d": 1, "support_contacts_180d": 2, "low_csat_contacts_180d": 1,
-            "slow_resolution_contacts_180d": 1, "open_contacts": 0, "margin_180d": 80}
-    assert {k: f["C1"][k] for k in want} == pytest.approx(want)
-    assert f["C4"]["open_contacts"] == 1 and f["C4"]["low_csat_contacts_180d"] == 0
-    assert f["C3"]["plus_member"] == 0 and f["C3"]["days_since_last_session"] == 180
+    want = {"tenure_days": 150, "days_since_last_order": 40, "orders_total": 3, "orders_90d": 1,
+            "orders_prev_90d": 2, "net_revenue_180d": 144, "avg_order_value": 48,
+            "discount_share": 26 / 170, "first_order_discounted": 1, "category_count": 2,
+            "store_order_share": 1 / 3, "browse_sessions_30d": 2, "browse_sessions_90d": 4,
+            "days_since_last_session": 1 / 12, "emails_received_90d": 4,
+            "email_open_rate_90d": 1 / 2, "email_clicks_90d": 2, "plus_member": 1,
+            "plus_cancelled_180d": 1, "support_contacts_180d": 3, "low_csat_contacts_180d": 1,
+            "slow_resolution_contacts_180d": 1, "open_contacts": 0, "margin_180d": 95}
+    assert {k: f["K1"][k] for k in want} == pytest.approx(want)
+    assert f["K3"]["open_contacts"] == 1 and f["K3"]["low_csat_contacts_180d"] == 0
+    assert f["K3"]["plus_member"] == 0 and f["K4"]["plus_member"] == 1
+    assert f["K6"]["plus_member"] == 0 and f["K6"]["days_since_last_session"] == 400
     past = timewin.snapshot(customer_tables, CUT)
     assert leads.frame_difference(churn.build_features(customer_tables, [CUT]),
                                   churn.build_features(past, [CUT])).first()[0] == 0
@@ -160,18 +167,18 @@ def test_several_runs_in_one_job_equal_single_runs(customer_tables):
 def test_future_revenue_and_value_windows(customer_tables):
     t = customer_tables
     d = by(value.build_dataset(t, [CUT]), "customer_id")
-    assert sorted(d) == ["C1", "C2", "C3", "C4", "C5"]
-    assert d["C1"]["future_revenue"] == 80 and d["C2"]["future_revenue"] == 0
-    assert d["C1"]["revenue_total"] == 140 and d["C1"]["revenue_90d"] == 50
-    assert d["C1"]["mean_days_between_orders"] == 90 and d["C3"]["mean_days_between_orders"] == 180
-    assert d["C2"]["revenue_365d"] == 80 and d["C2"]["revenue_180d"] == 0
+    assert sorted(d) == ["K1", "K2", "K3", "K4", "K6"]
+    assert d["K1"]["future_revenue"] == 10 and d["K2"]["future_revenue"] == 0
+    assert d["K1"]["revenue_total"] == 144 and d["K1"]["revenue_90d"] == 54
+    assert d["K1"]["mean_days_between_orders"] == 55 and d["K2"]["mean_days_between_orders"] == 181
+    assert d["K2"]["revenue_365d"] == 25 and d["K2"]["revenue_180d"] == 0
 
 
 def test_snapshot_masks_later_resolutions(customer_tables):
     snap = timewin.snapshot(customer_tables, CUT)
-    c4 = snap["support_contacts"].where("customer_id = 'C4'").first()
-    assert c4["resolved_at"] is None and c4["csat_score"] is None
-    assert snap["order_lines"].count() == snap["orders"].count() == 7
+    k3 = snap["support_contacts"].where("customer_id = 'K3'").first()
+    assert k3["resolved_at"] is None and k3["csat_score"] is None
+    assert snap["order_lines"].count() == snap["orders"].count() == 8
 
 
 def test_windows_and_splits_refuse_overlap():

@@ -141,3 +141,31 @@ def test_stream_scores_once_and_quarantines(spark):
     got = by(QUERIES["z1_stream_scoring"](spark, SF), "sink")
     assert got["scores"]["rows"] == got["scores"]["ids"] > 0
     assert got["rejected"]["rows"] > 0
+
+
+def test_stream_keeps_every_record(spark, tmp_path):
+    """Good, unreadable, incomplete and repeated lines; an invalid record before a valid one of its id."""
+    from pyspark.sql import types as T
+
+    from tidemark.streaming.scoring import read_records, score_stream
+    schema = T.StructType([T.StructField("customer_id", T.StringType()),
+                           T.StructField("scored_at", T.TimestampType()),
+                           T.StructField("orders_total", T.LongType())])
+    line = '{{"customer_id": "{}", "scored_at": "2025-01-01T0{}:00:00Z", "orders_total": {}}}'.format
+    lines = [line(f"C{i}", 1, i) for i in range(1, 6)] + ["{broken", "not json", '{"customer_id": 7'] * 2 + [
+        line("C9", 1, 0), line("C9", 1, 3), line("C1", 1, 1), '{"customer_id": "C8", "orders_total": 2}',
+        '{"scored_at": "2025-01-01T01:00:00Z", "orders_total": 2}']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    q = score_stream(read_records(spark, str(tmp_path / "in"), schema),
+                     [("orders_total: below 1", F.col("orders_total") >= 1)], "customer_id", "scored_at",
+                     lambda d: d.withColumn("score", F.col("orders_total") / 10), [i / 10 for i in range(11)],
+                     "m", "v1", str(tmp_path / "s"), str(tmp_path / "r"), str(tmp_path / "c"))
+    q.wait()
+    scored = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted(r["customer_id"] for r in scored) == ["C1", "C2", "C3", "C4", "C5", "C9"]
+    rejected = spark.read.schema("id string, errors string, _raw string").json(str(tmp_path / "r")).collect()
+    assert len(rejected) == 9
+    assert sorted(r["_raw"] for r in rejected if r["_raw"]) == sorted(["{broken", "not json", '{"customer_id": 7'] * 2)
+    assert [r["errors"] for r in rejected if r["id"] == "C9"] == ["orders_total: below 1"]
+    assert q.late_rows() == 0

@@ -40,7 +40,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, qab, qap, qam = 1e-300, a + b, a + 1, a - 1
     c, d = 1.0, 1.0 / max(abs(1 - qab * x / qap), tiny) * (1 if 1 - qab * x / qap > 0 else -1)
     h = d
-    for m in range(1, 400):
+    for m in range(1, 100_000):
         for num in (m * (b - m) * x / ((qam + 2 * m) * (a + 2 * m)),
                     -(a + m) * (qab + m) * x / ((a + 2 * m) * (qap + 2 * m))):
             d = 1 + num * d
@@ -49,8 +49,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"incomplete beta did not converge at a={a}, b={b}, x={x}")
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -70,8 +70,12 @@ def t_two_sided(t: float, df: float) -> float:
 
 def t_quantile(p: float, df: float) -> float:
     """Upper quantile of Student's t by bisection on its tail."""
-    lo, hi = 0.0, 1e3
+    lo, hi = 0.0, 8.0
     target = 2 * (1 - p)
+    if not 0.5 <= p < 1:
+        raise ValueError(f"upper quantile needs 0.5 <= p < 1, not {p}")
+    while t_two_sided(hi, df) > target:
+        lo, hi = hi, 2 * hi
     for _ in range(200):
         mid = (lo + hi) / 2
         if t_two_sided(mid, df) > target:
@@ -98,28 +102,49 @@ def chi2_tail(x: float, df: float) -> float:
     b, c = x + 1 - a, 1e300
     d = 1 / b
     h = d
-    for i in range(1, 500):
+    for i in range(1, 100_000):
         an = -i * (i - a)
         b += 2
         d = 1 / (an * d + b)
         c = b + an / c
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"chi-square tail did not converge at x={2 * x}, df={df}")
+
+
+MAX_TERMS = 4_000_000
 
 
 def hyp2f1(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Gauss series for 0 <= z < 1 and positive parameters."""
-    a, b, c, z = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, c, z))
-    term = np.ones_like(z)
-    total = np.ones_like(z)
-    for n in range(20_000):
-        term = term * (a + n) * (b + n) / ((c + n) * (n + 1)) * z
-        total = total + term
-        if np.all(np.abs(term) <= 1e-14 * np.abs(total)):
-            break
-    return total
+    """Gauss's function for 0 <= z < 1 and positive parameters.
+
+    Where the plain series grows towards z = 1 (c < a + b) Euler's transformation takes its place:
+    (1 - z)^(c - a - b) F(c - a, c - b; c; z). A sum that has not converged after MAX_TERMS terms
+    raises; nothing is cut off silently.
+    """
+    a, b, c, z = (np.array(v, float) for v in np.broadcast_arrays(a, b, c, z))
+    shape = z.shape
+    a, b, c, z = a.ravel(), b.ravel(), c.ravel(), z.ravel()
+    turned = c < a + b
+    front = np.where(turned, np.power(1 - z, np.where(turned, c - a - b, 0.0)), 1.0)
+    a, b = np.where(turned, c - a, a), np.where(turned, c - b, b)
+    total, term = np.ones_like(z), np.ones_like(z)
+    left = np.arange(len(z))  # sums still open
+    n = 0
+    while len(left):
+        if n >= MAX_TERMS:
+            raise ArithmeticError(f"2F1 did not converge for {len(left)} value(s), largest z {z[left].max()}")
+        p, q, r, x = a[left], b[left], c[left], z[left]
+        t, s = term[left], total[left]
+        for n in range(n, n + 64):
+            t = t * (p + n) * (q + n) / ((r + n) * (n + 1)) * x
+            s = s + t
+        n += 1
+        term[left], total[left] = t, s
+        # What is left out is at most a geometric series with ratio near z.
+        left = left[np.abs(t) > 1e-14 * (1 - x) * np.abs(s)]
+    return (front * total).reshape(shape)
 
 
 def _mapped(fn, *cols: pd.Series) -> pd.Series:

@@ -128,9 +128,10 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.size("errors") > 0)
 
 
-def quarantine(rejected: DataFrame, entity: str) -> DataFrame:
+def quarantine(rejected: DataFrame, entity: str, *extra: str) -> DataFrame:
+    """Id and errors of rejected rows, with further columns as they are (a raw line, a position)."""
     return rejected.select(F.col(entity).cast("string").alias("id"),
-                           F.concat_ws(" | ", "errors").alias("errors"))
+                           F.concat_ws(" | ", "errors").alias("errors"), *extra)
 
 
 def duplicate_ids(df: DataFrame, entity: str) -> DataFrame:

@@ -550,7 +550,7 @@ def z1(spark, sf):
     q = score_stream(records_in, records.customer_rules(DOMAINS), "customer_id", "scored_at",
                      rule_predict, QUANT, "churn_risk", "v1", f"{out}/scores", f"{out}/rejected",
                      f"{out}/ckpt")
-    q.awaitTermination()
+    q.wait()
     a = spark.read.parquet(f"{out}/scores").agg(
         F.lit("scores").alias("sink"), F.count(F.lit(1)).alias("rows"),
         F.countDistinct("customer_id").alias("ids"))

@@ -501,7 +501,7 @@ def t18p(spark, sf):
                                                      .cast("double"))), 5)
 
 
-H_PLAN = fc.BacktestPlan("2000-09-04", "2000-09-25", "2001-01-01", "2001-04-30")
+H_PLAN = PLAN
 
 
 @query("t9_harmonic_backtest")

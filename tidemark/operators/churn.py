@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import (
     days_between,
-    fan_forward,
     fan_out,
     flag,
     hours_between,
@@ -18,6 +17,7 @@ from tidemark.functions.cols import (
     ts,
 )
 from tidemark.functions.lineage import cut
+from tidemark.functions.runs import ahead, before, join_parts, per_run, rows_of, unfold
 from tidemark.operators.leads import check_rows, cutoff_overlap, frame_difference, truncated
 from tidemark.operators.metrics import single_feature_auc
 
@@ -41,50 +41,61 @@ KEYS = ["run_cutoff", "customer_id"]
 def active_customers(orders: DataFrame, cutoffs: Sequence[str], active_days: int = ACTIVE_DAYS
                      ) -> DataFrame:
     """(run, customer) rows with an order in ``[run - active_days, run)``."""
-    return fan_out(orders.select("customer_id", "order_ts"), "order_ts", cutoffs,
-                   active_days).select(*KEYS).distinct()
+    return unfold(per_run(orders, "customer_id", "order_ts", cutoffs, before(active_days),
+                          lambda run, seen: {}), "customer_id")
 
 
 def churn_labels(base: DataFrame, orders: DataFrame, cutoffs: Sequence[str], horizon_days: int
                  ) -> DataFrame:
     """1 if no order falls in ``[run, run + horizon)``."""
-    buyers = fan_forward(orders.select("customer_id", "order_ts"), "order_ts", cutoffs,
-                         horizon_days).select(*KEYS).distinct()
+    buyers = unfold(per_run(orders, "customer_id", "order_ts", cutoffs, ahead(horizon_days),
+                            lambda run, seen: {}), "customer_id")
     return base.join(buyers.withColumn("_b", F.lit(1)), KEYS, "left").withColumn(
         "churned", flag(F.col("_b").isNull())).drop("_b")
 
 
+def when(seen: Column, value: Column | str) -> Column:
+    return F.when(seen, F.col(value) if isinstance(value, str) else value)
+
+
+def order_runs(orders: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    def columns(run: Column, seen: Column) -> dict[str, Column]:
+        age = days_between("order_ts", run)
+        return {
+            "days_since_last_order": F.min(when(seen, age)),
+            "orders_total": F.count_if(seen),
+            "orders_90d": F.count_if(seen & (age < 90)),
+            "orders_prev_90d": F.count_if(seen & (age >= 90) & (age < 180)),
+            "net_revenue_180d": F.sum(F.when(seen & (age < 180), F.col("net_amount")).otherwise(0.0)),
+            "avg_order_value": F.avg(when(seen, "net_amount")),
+            "_gross": F.sum(when(seen, "gross_amount")),
+            "_discount": F.sum(when(seen, "discount_amount")),
+            "_first": F.min_by(when(seen, "discount_amount"),
+                               when(seen, F.struct("order_ts", "order_id"))),
+            "store_order_share": F.avg(when(seen, flag(F.col("order_channel") == "store"))),
+            "app_order_share": F.avg(when(seen, flag(F.col("order_channel") == "app")))}
+    return per_run(orders, "customer_id", "order_ts", cutoffs, before(), columns, "orders")
+
+
+def order_columns(part: str = "") -> list[Column]:
+    """The published order features of an unfolded part (a prefix such as ``orders.``)."""
+    at = lambda c: F.col(part + c)
+    plain = ("days_since_last_order", "orders_total", "orders_90d", "orders_prev_90d",
+             "net_revenue_180d", "avg_order_value", "store_order_share", "app_order_share")
+    return [*[at(c).alias(c) for c in plain],
+            ratio(at("_discount"), at("_gross")).alias("discount_share"),
+            flag(at("_first") > 0).alias("first_order_discounted")]
+
+
 def order_features(orders: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
     """Recency, frequency, value and mix in one conditional aggregation over all runs."""
-    o = fan_out(orders, "order_ts", cutoffs)
-    age = days_between("order_ts", "run_cutoff")
-    out = o.groupBy(*KEYS).agg(
-        F.min(age).alias("days_since_last_order"),
-        F.count(F.lit(1)).alias("orders_total"),
-        F.sum(flag(age < 90)).alias("orders_90d"),
-        F.sum(flag((age >= 90) & (age < 180))).alias("orders_prev_90d"),
-        F.sum(F.when(age < 180, F.col("net_amount")).otherwise(0.0)).alias("net_revenue_180d"),
-        F.avg("net_amount").alias("avg_order_value"),
-        F.sum("gross_amount").alias("_gross"), F.sum("discount_amount").alias("_discount"),
-        F.avg(flag(F.col("order_channel") == "store")).alias("store_order_share"),
-        F.avg(flag(F.col("order_channel") == "app")).alias("app_order_share"))
-    # a customer's first order is the same at every run: found once, on unmultiplied rows
-    first = orders.groupBy("customer_id").agg(
-        F.min_by("discount_amount", F.struct("order_ts", "order_id")).alias("_first"))
-    return out.join(first, "customer_id").select(
-        *KEYS, "days_since_last_order", "orders_total", "orders_90d", "orders_prev_90d",
-        "net_revenue_180d", "avg_order_value", "store_order_share", "app_order_share",
-        ratio(F.col("_discount"), F.col("_gross")).alias("discount_share"),
-        flag(F.col("_first") > 0).alias("first_order_discounted"))
+    return unfold(order_runs(orders, cutoffs), "customer_id", "orders").select(
+        *KEYS, *order_columns())
 
 
-def line_features(orders: DataFrame, lines: DataFrame, products: DataFrame,
-                  cutoffs: Sequence[str]) -> DataFrame:
-    """Category breadth and trailing margin per run.
-
-    Lines are reduced to (order, category), then to (customer, category) with one margin column
-    per run; the runs multiply rows only after that, when a customer has one row.
-    """
+def line_runs(orders: DataFrame, lines: DataFrame, products: DataFrame, cutoffs: Sequence[str]
+              ) -> DataFrame:
+    """Lines are reduced to (order, category), then to (customer, category), then to customers."""
     margin = F.col("net_amount") - F.col("quantity") * F.col("unit_cost")
     per_order = (lines.select("order_id", "product_id", "quantity", "net_amount")
                  .join(products.select("product_id", "category", "unit_cost"), "product_id")
@@ -102,87 +113,109 @@ def line_features(orders: DataFrame, lines: DataFrame, products: DataFrame,
     runs = F.array(*[F.struct(ts(c).alias("run_cutoff"), F.col(f"n{i}").alias("category_count"),
                               F.greatest(f"m{i}", F.lit(0.0)).alias("margin_180d"))
                      for i, c in enumerate(cutoffs)])
-    return per.select("customer_id", F.inline(runs)).where("category_count > 0").select(
-        *KEYS, "category_count", "margin_180d")
+    return per.select("customer_id", runs.alias("lines"))
+
+
+def line_features(orders: DataFrame, lines: DataFrame, products: DataFrame,
+                  cutoffs: Sequence[str]) -> DataFrame:
+    """Category breadth and trailing margin per run."""
+    return line_runs(orders, lines, products, cutoffs).select("customer_id", F.inline("lines")).where(
+        "category_count > 0").select(*KEYS, "category_count", "margin_180d")
+
+
+def session_runs(sessions: DataFrame, orders: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    bought = orders.where("session_id is not null").select("session_id", "order_ts").groupBy(
+        "session_id").agg(F.min("order_ts").alias("_ordered"))
+    s = sessions.where("customer_id is not null").select(
+        "session_id", "customer_id", "session_start").join(bought, "session_id", "left")
+
+    def columns(run: Column, seen: Column) -> dict[str, Column]:
+        age = days_between("session_start", run)
+        browse = seen & ~F.coalesce(F.col("_ordered") < run, F.lit(False))
+        return {"browse_sessions_30d": F.count_if(browse & (age < 30)),
+                "browse_sessions_90d": F.count_if(browse & (age < 90)),
+                "days_since_last_session": F.min(when(seen, age))}
+    return per_run(s, "customer_id", "session_start", cutoffs, before(), columns, "sessions")
 
 
 def session_features(sessions: DataFrame, orders: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
     """Browsing sessions (those not ending in an order known at the run) and recency."""
-    s = fan_out(sessions.where("customer_id is not null").select(
-        "session_id", "customer_id", "session_start"), "session_start", cutoffs)
-    bought = orders.where("session_id is not null").select(
-        "session_id", F.col("order_ts").alias("_ordered")).groupBy("session_id").agg(
-        F.min("_ordered").alias("_ordered"))
-    s = s.join(bought, "session_id", "left")
-    browse = ~F.coalesce(F.col("_ordered") < F.col("run_cutoff"), F.lit(False))
-    age = days_between("session_start", "run_cutoff")
-    return s.groupBy(*KEYS).agg(
-        F.sum(flag(browse & (age < 30))).alias("browse_sessions_30d"),
-        F.sum(flag(browse & (age < 90))).alias("browse_sessions_90d"),
-        F.min(age).alias("days_since_last_session"))
+    return unfold(session_runs(sessions, orders, cutoffs), "customer_id", "sessions")
+
+
+def email_runs(touches: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    t = touches.where("customer_id is not null and touch_type = 'email'").select(
+        "customer_id", "touch_at", "opened", "clicked")
+
+    def columns(run: Column, seen: Column) -> dict[str, Column]:
+        got, opened = F.count_if(seen), F.count_if(seen & F.col("opened"))
+        return {"emails_received_90d": got, "email_clicks_90d": F.count_if(seen & F.col("clicked")),
+                "email_open_rate_90d": ratio(opened, got)}
+    return per_run(t, "customer_id", "touch_at", cutoffs, before(90), columns, "emails")
 
 
 def email_features(touches: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
-    t = fan_out(touches.where("customer_id is not null and touch_type = 'email'").select(
-        "customer_id", "touch_at", "opened", "clicked"), "touch_at", cutoffs, 90)
-    out = t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("emails_received_90d"),
-                               F.sum(flag(F.col("opened"))).alias("_opened"),
-                               F.sum(flag(F.col("clicked"))).alias("email_clicks_90d"))
-    return out.withColumn("email_open_rate_90d", ratio(
-        F.col("_opened"), F.col("emails_received_90d"))).drop("_opened")
+    return unfold(email_runs(touches, cutoffs), "customer_id", "emails")
+
+
+def membership_runs(subs: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    days = F.when(F.col("plan") == "annual", PLAN_DAYS["annual"]).otherwise(PLAN_DAYS["monthly"])
+    s = subs.select("customer_id", "event_ts", "event_type", "subscription_event_id",
+                    F.timestamp_add("DAY", days, "event_ts").alias("_until"))
+
+    def columns(run: Column, seen: Column) -> dict[str, Column]:
+        cancel = F.col("event_type") == "cancel"
+        paid = seen & ~cancel
+        recent = seen & cancel & (F.col("event_ts") >= plus_days(run, -180))
+        until = F.max_by(when(paid, "_until"), when(paid, F.struct("event_ts", "subscription_event_id")))
+        return {"plus_member": flag(until > run), "plus_cancelled_180d": F.max(flag(recent))}
+    return per_run(s, "customer_id", "event_ts", cutoffs, before(), columns, "member")
 
 
 def membership_features(subs: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
-    """Latest paid period covering the run, and a cancel request in the last 180 days.
+    """Whether the latest payment's period covers the run, and a cancel request in 180 days.
 
-    The latest payment of each plan is a plain maximum; the later of the two is the one in force
-    (annual on the same instant).
+    Of payments at the same instant the one with the larger event id counts.
     """
-    s = fan_out(subs.select("customer_id", "event_ts", "event_type", "plan"), "event_ts", cutoffs)
-    paid = F.col("event_type") != "cancel"
-    recent = ~paid & (F.col("event_ts") >= plus_days("run_cutoff", -180))
-    annual = F.col("plan") == "annual"
-    out = s.groupBy(*KEYS).agg(
-        F.max(F.when(paid & annual, F.col("event_ts"))).alias("_a"),
-        F.max(F.when(paid & ~annual, F.col("event_ts"))).alias("_m"),
-        F.max(flag(recent)).alias("plus_cancelled_180d"))
-    yearly = F.col("_a").isNotNull() & (F.col("_m").isNull() | (F.col("_a") >= F.col("_m")))
-    until = F.when(yearly, plus_days("_a", PLAN_DAYS["annual"])).otherwise(
-        plus_days("_m", PLAN_DAYS["monthly"]))
-    return out.select(*KEYS, flag(until > F.col("run_cutoff")).alias("plus_member"),
-                      "plus_cancelled_180d")
+    return unfold(membership_runs(subs, cutoffs), "customer_id", "member")
+
+
+def support_runs(contacts: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    def columns(run: Column, seen: Column) -> dict[str, Column]:
+        known = F.coalesce(F.col("resolved_at") < run, F.lit(False))
+        recent = seen & (F.col("contact_ts") >= plus_days(run, -180))
+        rated = (known | F.col("resolved_at").isNull()) & (F.col("csat_score") <= LOW_CSAT)
+        slow = known & (hours_between("contact_ts", "resolved_at") > SLOW_HOURS)
+        return {"support_contacts_180d": F.count_if(recent),
+                "low_csat_contacts_180d": F.count_if(recent & rated),
+                "slow_resolution_contacts_180d": F.count_if(recent & slow),
+                "open_contacts": F.count_if(seen & ~known)}
+    return per_run(contacts.select("customer_id", "contact_ts", "resolved_at", "csat_score"),
+                   "customer_id", "contact_ts", cutoffs, before(), columns, "support")
 
 
 def support_features(contacts: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
     """Service experience as known at each run: later resolutions count as open."""
-    c = fan_out(contacts.select("customer_id", "contact_ts", "resolved_at", "csat_score"),
-                "contact_ts", cutoffs)
-    known = F.coalesce(F.col("resolved_at") < F.col("run_cutoff"), F.lit(False))
-    recent = F.col("contact_ts") >= plus_days("run_cutoff", -180)
-    visible_score = known | F.col("resolved_at").isNull()
-    return c.groupBy(*KEYS).agg(
-        F.sum(flag(recent)).alias("support_contacts_180d"),
-        F.sum(flag(recent & visible_score & (F.col("csat_score") <= LOW_CSAT)))
-        .alias("low_csat_contacts_180d"),
-        F.sum(flag(recent & known & (hours_between("contact_ts", "resolved_at") > SLOW_HOURS)))
-        .alias("slow_resolution_contacts_180d"),
-        F.sum(flag(~known)).alias("open_contacts"))
-
-
-def with_activity(base: DataFrame, tables: Mapping[str, DataFrame], cutoffs: Sequence[str]
-                  ) -> DataFrame:
-    """Join session, email, membership and support features, with the documented fills."""
-    out = (base
-           .join(session_features(tables["sessions"], tables["orders"], cutoffs), KEYS, "left")
-           .join(email_features(tables["marketing_touches"], cutoffs), KEYS, "left")
-           .join(membership_features(tables["subscription_events"], cutoffs), KEYS, "left")
-           .join(support_features(tables["support_contacts"], cutoffs), KEYS, "left"))
-    zero = ("browse_sessions_30d", "browse_sessions_90d", "emails_received_90d",
-            "email_clicks_90d", *MEMBER_FEATURES, *SUPPORT_FEATURES)
-    fills = {**{c: F.coalesce(F.col(c), F.lit(0)) for c in zero},
-             "days_since_last_session": F.coalesce("days_since_last_session", "tenure_days"),
-             "email_open_rate_90d": F.coalesce("email_open_rate_90d", F.lit(0.0))}
-    return out.withColumns(fills)
+    return unfold(support_runs(contacts, cutoffs), "customer_id", "support")
+
+
+def activity_parts(tables: Mapping[str, DataFrame], cutoffs: Sequence[str]) -> dict[str, DataFrame]:
+    """Session, email, membership and support features, one row per customer each."""
+    return {"sessions": session_runs(tables["sessions"], tables["orders"], cutoffs),
+            "emails": email_runs(tables["marketing_touches"], cutoffs),
+            "member": membership_runs(tables["subscription_events"], cutoffs),
+            "support": support_runs(tables["support_contacts"], cutoffs)}
+
+
+def activity_columns() -> list[Column]:
+    """The activity features of unfolded parts, with the documented fills."""
+    def filled(part: str, names: Sequence[str]) -> list[Column]:
+        return [F.coalesce(F.col(f"{part}.{c}"), F.lit(0)).alias(c) for c in names]
+    return [*filled("sessions", SESSION_FEATURES[:2]),
+            F.coalesce("sessions.days_since_last_session", "tenure_days").alias(SESSION_FEATURES[2]),
+            *filled("emails", ("emails_received_90d", "email_clicks_90d")),
+            F.coalesce("emails.email_open_rate_90d", F.lit(0.0)).alias("email_open_rate_90d"),
+            *filled("member", MEMBER_FEATURES), *filled("support", SUPPORT_FEATURES)]
 
 
 def attributes(customers: DataFrame) -> DataFrame:
@@ -194,14 +227,17 @@ def build_features(tables: Mapping[str, DataFrame], cutoffs: Sequence[str],
                    active_days: int = ACTIVE_DAYS) -> DataFrame:
     """One row per (run, active customer) with features and the trailing margin."""
     orders = tables["orders"]
+    base = order_runs(orders, cutoffs).join(attributes(tables["customers"]), "customer_id")
+    parts = {"lines": line_runs(orders, tables["order_lines"], tables["products"], cutoffs),
+             **activity_parts(tables, cutoffs)}
+    rows = rows_of(join_parts(base, parts, "customer_id", len(cutoffs)), ["orders", *parts], cutoffs)
     # The base is the part of the order aggregate whose last order is recent enough.
-    base = order_features(orders, cutoffs).where(F.col("days_since_last_order") <= active_days)
-    base = base.join(attributes(tables["customers"]), "customer_id").withColumn(
+    rows = rows.where(F.col("orders.days_since_last_order") <= active_days).withColumn(
         "tenure_days", days_between("customer_since", "run_cutoff"))
-    base = base.join(line_features(orders, tables["order_lines"], tables["products"], cutoffs),
-                     KEYS, "left").withColumn("margin_180d",
-                                              F.coalesce("margin_180d", F.lit(0.0)))
-    return with_activity(base, tables, cutoffs).select(
+    return rows.select(
+        *KEYS, *CATEGORICAL, "email_opt_in", "tenure_days", *order_columns("orders."),
+        F.when(F.col("lines.category_count") > 0, F.col("lines.category_count")).alias("category_count"),
+        *activity_columns(), F.coalesce("lines.margin_180d", F.lit(0.0)).alias("margin_180d")).select(
         *KEYS, *CATEGORICAL, *NUMERIC, "margin_180d")
 
 

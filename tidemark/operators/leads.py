@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import days_between, fan_out, flag, plus_days, ratio, ts
 from tidemark.functions.lineage import cut
+from tidemark.functions.runs import before, join_parts, per_run, rows_of, unfold
 from tidemark.operators.metrics import single_feature_auc
 
 PIPELINE_DAYS, HORIZON_DAYS = 90, 30
@@ -42,62 +43,89 @@ def conversion_labels(leads: DataFrame, customers: DataFrame, horizon_days: int)
         "customer_since")
 
 
+STAGES = range(1, 6)
+
+
+def stage_times(funnel: DataFrame) -> DataFrame:
+    """First time of each stage per session: what any run needs to know about its depth."""
+    return funnel.groupBy("session_id").agg(*[
+        F.min(F.when(F.col("stage_number") == k, F.col("event_ts"))).alias(f"_s{k}") for k in STAGES])
+
+
+def session_runs(sessions: DataFrame, funnel: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    s = sessions.where("prospect_id is not null").select(
+        "session_id", "prospect_id", "session_start", "pages_viewed", "platform", "device_type"
+    ).join(stage_times(funnel), "session_id", "left")
+
+    def columns(run: Column, seen: Column) -> dict[str, Column]:
+        age = days_between("session_start", run)
+        reached = [F.when(F.col(f"_s{k}") < run, k) for k in STAGES]
+        stage = F.coalesce(F.greatest(*reached), F.lit(1))
+        count = lambda c: F.count_if(seen & c).cast("double")
+        share = lambda c: F.avg(F.when(seen, flag(c)))
+        return {"sessions_total": F.count_if(seen).cast("double"), "sessions_7d": count(age < 7),
+                "sessions_30d": count(age < 30),
+                "days_since_last_session": F.min(F.when(seen, age)),
+                "max_stage_reached": F.max(F.when(seen, stage)).cast("double"),
+                "cart_sessions": count(stage >= 3), "cart_sessions_7d": count((stage >= 3) & (age < 7)),
+                "checkout_sessions": count(stage >= 4),
+                "pages_viewed": F.sum(F.when(seen, F.col("pages_viewed"))).cast("double"),
+                "app_session_share": share(F.col("platform") == "app"),
+                "mobile_session_share": share(F.col("device_type") == "mobile")}
+    return per_run(s, "prospect_id", "session_start", cutoffs, before(), columns, "sessions")
+
+
 def session_features(leads: DataFrame, sessions: DataFrame, funnel: DataFrame,
                      cutoffs: Sequence[str]) -> DataFrame:
     """Session counts, recency, depth and mix per (run, lead) from rows before the run."""
-    depth = fan_out(funnel, "event_ts", cutoffs).groupBy("run_cutoff", "session_id").agg(
-        F.max("stage_number").alias("depth"))
-    s = fan_out(sessions.select("session_id", "prospect_id", "session_start", "pages_viewed",
-                                "platform", "device_type"), "session_start", cutoffs)
-    s = s.join(leads.select(*KEYS), KEYS, "left_semi").join(
-        depth, ["run_cutoff", "session_id"], "left")
-    age = days_between("session_start", "run_cutoff")
-    stage = F.coalesce("depth", F.lit(1))
-    week = age < 7
-    return s.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).cast("double").alias("sessions_total"),
-        F.sum(flag(week)).cast("double").alias("sessions_7d"),
-        F.sum(flag(age < 30)).cast("double").alias("sessions_30d"),
-        F.min(age).alias("days_since_last_session"),
-        F.max(stage).cast("double").alias("max_stage_reached"),
-        F.sum(flag(stage >= 3)).cast("double").alias("cart_sessions"),
-        F.sum(flag((stage >= 3) & week)).cast("double").alias("cart_sessions_7d"),
-        F.sum(flag(stage >= 4)).cast("double").alias("checkout_sessions"),
-        F.sum("pages_viewed").cast("double").alias("pages_viewed"),
-        F.avg(flag(F.col("platform") == "app")).alias("app_session_share"),
-        F.avg(flag(F.col("device_type") == "mobile")).alias("mobile_session_share"))
+    return unfold(session_runs(sessions, funnel, cutoffs), "prospect_id", "sessions").join(
+        leads.select(*KEYS), KEYS, "left_semi")
+
+
+def touch_runs(people: DataFrame, touches: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    """people: (prospect_id, created_at), one row each."""
+    t = touches.where("prospect_id is not null").select(
+        "prospect_id", "touch_at", "touch_type", "opened", "clicked").join(
+        people, "prospect_id").where(F.col("touch_at") > F.col("created_at"))
+
+    def columns(run: Column, seen: Column) -> dict[str, Column]:
+        email = seen & (F.col("touch_type") == "email")
+        count = lambda c: F.count_if(c).cast("double")
+        return {"emails_received": count(email), "emails_opened": count(email & F.col("opened")),
+                "emails_clicked": count(email & F.col("clicked")),
+                "retarget_clicks": count(seen & (F.col("touch_type") == "ad_click")),
+                "email_open_rate": ratio(count(email & F.col("opened")), count(email))}
+    return per_run(t, "prospect_id", "touch_at", cutoffs, before(), columns, "touches")
 
 
 def touch_features(leads: DataFrame, touches: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
     """Follow-up touches only: the sourcing touch at the creation instant is not engagement."""
-    t = fan_out(touches.select("prospect_id", "touch_at", "touch_type", "opened", "clicked"),
-                "touch_at", cutoffs)
-    t = t.join(leads.select(*KEYS, "created_at"), KEYS).where(
-        F.col("touch_at") > F.col("created_at"))
-    email = F.col("touch_type") == "email"
-    out = t.groupBy(*KEYS).agg(
-        F.sum(flag(email)).cast("double").alias("emails_received"),
-        F.sum(flag(email & F.col("opened"))).cast("double").alias("emails_opened"),
-        F.sum(flag(email & F.col("clicked"))).cast("double").alias("emails_clicked"),
-        F.sum(flag(F.col("touch_type") == "ad_click")).cast("double").alias("retarget_clicks"))
-    return out.withColumn("email_open_rate",
-                          ratio(F.col("emails_opened"), F.col("emails_received")))
+    people = leads.groupBy("prospect_id").agg(F.min("created_at").alias("created_at"))
+    return unfold(touch_runs(people, touches, cutoffs), "prospect_id", "touches").join(
+        leads.select(*KEYS), KEYS, "left_semi")
 
 
 def build_features(tables: Mapping[str, DataFrame], cutoffs: Sequence[str],
                    pipeline_days: int = PIPELINE_DAYS) -> DataFrame:
-    """One row per (run, open lead), all runs in one job."""
-    leads = open_leads(tables["prospects"], tables["customers"], cutoffs, pipeline_days)
-    out = leads.select(
-        *KEYS, *CATEGORICAL, F.col("email_opt_in").cast("int").alias("email_opt_in"),
-        days_between("created_at", "run_cutoff").alias("lead_age_days"))
-    out = (out.join(session_features(leads, tables["sessions"], tables["funnel_events"], cutoffs),
-                    KEYS, "left")
-           .join(touch_features(leads, tables["marketing_touches"], cutoffs), KEYS, "left"))
-    fills = {c: F.lit(0.0) for c in (*SESSION_FEATURES, *TOUCH_FEATURES)}
-    fills["days_since_last_session"] = F.col("lead_age_days")
-    return out.select(*KEYS, *CATEGORICAL, "email_opt_in", "lead_age_days",
-                      *[F.coalesce(F.col(c), v).alias(c) for c, v in fills.items()])
+    """One row per (run, open lead), all runs in one job; parts are joined per lead, then unfolded."""
+    people = tables["prospects"].select("prospect_id", "created_at")
+    since = tables["customers"].groupBy("prospect_id").agg(F.min("customer_since").alias("_since"))
+    base = tables["prospects"].select(
+        "prospect_id", "created_at", *CATEGORICAL, F.col("email_opt_in").cast("int").alias("email_opt_in")
+    ).join(since, "prospect_id", "left")
+    parts = {"sessions": session_runs(tables["sessions"], tables["funnel_events"], cutoffs),
+             "touches": touch_runs(people, tables["marketing_touches"], cutoffs)}
+    rows = rows_of(join_parts(base, parts, "prospect_id", len(cutoffs)), list(parts), cutoffs)
+    run = F.col("run_cutoff")
+    rows = rows.where((F.col("created_at") < run) & (F.col("created_at") >= plus_days(run, -pipeline_days))
+                      & ~F.coalesce(F.col("_since") < run, F.lit(False))).withColumn(
+        "lead_age_days", days_between("created_at", "run_cutoff"))
+    seen = F.col("sessions._seen") > 0
+    of = {**{c: F.when(seen, F.col(f"sessions.{c}")) for c in SESSION_FEATURES},
+          **{c: F.col(f"touches.{c}") for c in TOUCH_FEATURES}}
+    fills = {c: F.lit(0.0) for c in of} | {"days_since_last_session": F.col("lead_age_days")}
+    return rows.select(*KEYS, *CATEGORICAL, "email_opt_in", "lead_age_days",
+                       *[F.coalesce(of[c], v).alias(c) for c, v in fills.items()])
 
 
 def build_dataset(tables: Mapping[str, DataFrame], cutoffs: Sequence[str],

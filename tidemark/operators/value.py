@@ -4,28 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cols import (
-    days_between,
-    fan_forward,
-    fan_out,
-    flag,
-    plus_days,
-    ratio,
-    ts,
-)
+from tidemark.functions.cols import days_between, flag, plus_days, ratio, ts
 from tidemark.functions.lineage import cut
+from tidemark.functions.runs import ahead, before, join_parts, per_run, rows_of, unfold
 from tidemark.operators.churn import (
     CATEGORICAL,
     EMAIL_FEATURES,
     KEYS,
     MEMBER_FEATURES,
     SESSION_FEATURES,
+    activity_columns,
+    activity_parts,
     attributes,
     late_rows,
-    with_activity,
+    when,
 )
 from tidemark.operators.leads import check_rows, cutoff_overlap, frame_difference, truncated
 
@@ -44,50 +39,65 @@ MONEY = ("revenue_total", *[f"revenue_{d}d" for d in WINDOWS], "avg_order_value"
 
 def customer_base(customers: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
     """(run, customer) rows for everyone whose first order precedes the run."""
-    return fan_out(customers.select("customer_id", "customer_since"), "customer_since",
-                   cutoffs).select(*KEYS).distinct()
+    return unfold(per_run(customers, "customer_id", "customer_since", cutoffs, before(),
+                          lambda run, seen: {}), "customer_id")
+
+
+def order_runs(orders: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    def columns(run: Column, seen: Column) -> dict[str, Column]:
+        age = days_between("order_ts", run)
+        return {
+            "days_since_last_order": F.min(when(seen, age)), "_oldest": F.max(when(seen, age)),
+            "orders_total": F.count_if(seen),
+            **{f"orders_{d}d": F.count_if(seen & (age < d)) for d in WINDOWS},
+            "revenue_total": F.sum(when(seen, "net_amount")),
+            **{f"revenue_{d}d": F.sum(F.when(seen & (age < d), F.col("net_amount")).otherwise(0.0))
+               for d in WINDOWS},
+            "avg_order_value": F.avg(when(seen, "net_amount")),
+            "max_order_value": F.max(when(seen, "net_amount")),
+            "items_per_order": F.avg(when(seen, "item_count")),
+            "_gross": F.sum(when(seen, "gross_amount")),
+            "_discount": F.sum(when(seen, "discount_amount")),
+            "store_order_share": F.avg(when(seen, flag(F.col("order_channel") == "store"))),
+            "app_order_share": F.avg(when(seen, flag(F.col("order_channel") == "app")))}
+    return per_run(orders, "customer_id", "order_ts", cutoffs, before(), columns, "orders")
+
+
+def order_columns(part: str = "") -> list[Column]:
+    at = lambda c: F.col(part + c)
+    n = at("orders_total")
+    gap = F.when(n > 1, (at("_oldest") - at("days_since_last_order")) / (n - 1)).otherwise(at("_oldest"))
+    made = {"mean_days_between_orders": gap, "discount_share": ratio(at("_discount"), at("_gross"))}
+    # Nobody without a visible order has a share of discounts.
+    made["discount_share"] = F.when(n > 0, made["discount_share"])
+    return [made.get(c, at(c)).alias(c) for c in ORDER_FEATURES]
 
 
 def order_features(orders: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
-    o = fan_out(orders, "order_ts", cutoffs)
-    age = days_between("order_ts", "run_cutoff")
-    counts = [F.sum(flag(age < d)).alias(f"orders_{d}d") for d in WINDOWS]
-    sums = [F.sum(F.when(age < d, F.col("net_amount")).otherwise(0.0)).alias(f"revenue_{d}d")
-            for d in WINDOWS]
-    out = o.groupBy(*KEYS).agg(
-        F.min(age).alias("days_since_last_order"), F.max(age).alias("_oldest"),
-        F.count(F.lit(1)).alias("orders_total"), *counts,
-        F.sum("net_amount").alias("revenue_total"), *sums,
-        F.avg("net_amount").alias("avg_order_value"), F.max("net_amount").alias("max_order_value"),
-        F.avg("item_count").alias("items_per_order"), F.sum("gross_amount").alias("_gross"),
-        F.sum("discount_amount").alias("_discount"),
-        F.avg(flag(F.col("order_channel") == "store")).alias("store_order_share"),
-        F.avg(flag(F.col("order_channel") == "app")).alias("app_order_share"))
-    n = F.col("orders_total")
-    gap = F.when(n > 1, (F.col("_oldest") - F.col("days_since_last_order")) / (n - 1)).otherwise(
-        F.col("_oldest"))
-    return (out.withColumn("discount_share", ratio(F.col("_discount"), F.col("_gross")))
-            .withColumn("mean_days_between_orders", gap)
-            .drop("_gross", "_discount", "_oldest"))
+    return unfold(order_runs(orders, cutoffs), "customer_id", "orders").select(*KEYS, *order_columns())
 
 
-def category_counts(orders: DataFrame, lines: DataFrame, products: DataFrame,
-                    cutoffs: Sequence[str]) -> DataFrame:
-    """Distinct categories bought before each run, via the first purchase of each category."""
+def category_runs(orders: DataFrame, lines: DataFrame, products: DataFrame, cutoffs: Sequence[str]
+                  ) -> DataFrame:
     first = (lines.select("order_id", "product_id")
              .join(products.select("product_id", "category"), "product_id")
              .join(orders.select("order_id", "customer_id", "order_ts"), "order_id")
              .groupBy("customer_id", "category").agg(F.min("order_ts").alias("first_ts")))
-    return fan_out(first, "first_ts", cutoffs).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("category_count"))
+    return per_run(first, "customer_id", "first_ts", cutoffs, before(),
+                   lambda run, seen: {"category_count": F.count_if(seen)}, "categories")
+
+
+def category_counts(orders: DataFrame, lines: DataFrame, products: DataFrame,
+                    cutoffs: Sequence[str]) -> DataFrame:
+    """Distinct categories bought before each run, via the first purchase of each category."""
+    return unfold(category_runs(orders, lines, products, cutoffs), "customer_id", "categories")
 
 
 def future_revenue(base: DataFrame, orders: DataFrame, cutoffs: Sequence[str], horizon_days: int
                    ) -> DataFrame:
     """Net revenue in ``[run, run + horizon)``, 0 where there is none."""
-    spend = fan_forward(orders.select("customer_id", "order_ts", "net_amount"), "order_ts",
-                        cutoffs, horizon_days).groupBy(*KEYS).agg(
-        F.sum("net_amount").alias("_spend"))
+    spend = unfold(per_run(orders, "customer_id", "order_ts", cutoffs, ahead(horizon_days),
+                           lambda run, seen: {"_spend": F.sum(when(seen, "net_amount"))}), "customer_id")
     return base.join(spend, KEYS, "left").withColumn(
         "future_revenue", F.coalesce("_spend", F.lit(0.0))).drop("_spend")
 
@@ -95,13 +105,17 @@ def future_revenue(base: DataFrame, orders: DataFrame, cutoffs: Sequence[str], h
 def build_features(tables: Mapping[str, DataFrame], cutoffs: Sequence[str]) -> DataFrame:
     """One row per (run, customer); the CLV columns are added by ``clv.clv_features``."""
     orders = tables["orders"]
-    base = (customer_base(tables["customers"], cutoffs)
-            .join(attributes(tables["customers"]), "customer_id")
-            .withColumn("tenure_days", days_between("customer_since", "run_cutoff"))
-            .join(order_features(orders, cutoffs), KEYS, "left")
-            .join(category_counts(orders, tables["order_lines"], tables["products"], cutoffs),
-                  KEYS, "left"))
-    return with_activity(base, tables, cutoffs).select(*KEYS, *CATEGORICAL, *NUMERIC)
+    parts = {"orders": order_runs(orders, cutoffs),
+             "categories": category_runs(orders, tables["order_lines"], tables["products"], cutoffs),
+             **activity_parts(tables, cutoffs)}
+    base = join_parts(attributes(tables["customers"]), parts, "customer_id", len(cutoffs))
+    rows = rows_of(base, list(parts), cutoffs).where("customer_since < run_cutoff").withColumn(
+        "tenure_days", days_between("customer_since", "run_cutoff"))
+    seen = F.col("orders._seen") > 0
+    return rows.withColumn("orders", F.when(seen, F.col("orders"))).select(
+        *KEYS, *CATEGORICAL, "email_opt_in", "tenure_days", *order_columns("orders."),
+        F.when(F.col("categories.category_count") > 0, F.col("categories.category_count"))
+        .alias("category_count"), *activity_columns()).select(*KEYS, *CATEGORICAL, *NUMERIC)
 
 
 def build_dataset(tables: Mapping[str, DataFrame], cutoffs: Sequence[str],

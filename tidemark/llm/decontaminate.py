@@ -60,6 +60,11 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the rising known values (there is at least one)."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
@@ -128,7 +133,7 @@ def finder(groups: list[Group], cfg: Config = Config()):
                 if len(h) >= w:
                     s = shingles(h, w)
                     at = np.flatnonzero(maybe[w][s >> np.uint64(44)])
-                    at = at[np.isin(s[at], known[w])]
+                    at = at[_among(s[at], known[w])]
                     if len(at):
                         for g in groups:
                             if g.width == w and len(h) >= g.size:
@@ -141,7 +146,7 @@ def finder(groups: list[Group], cfg: Config = Config()):
 def _matches(g: Group, s: np.ndarray, at: np.ndarray, cfg: Config) -> list[tuple[int, int, int, float]]:
     m = g.size - g.width + 1
     need = ceil(2 * m * cfg.similarity / (1 + cfg.similarity) - 1e-9)
-    here = at[np.isin(s[at], g.known)]
+    here = at[_among(s[at], g.known)]
     if len(here) < need:
         return []
     hit = np.zeros(len(s) + 1, np.int64)

@@ -415,6 +415,25 @@ def aa_check(units: DataFrame, outcome: str, replicates: int, share: float = 0.5
                    .alias("ci_coverage_of_zero"))
 
 
+# What is known of a unit before its assignment.
+COVARIATES = ("device_type", "acquisition_channel", "region", "age_band", "income_band",
+              "email_opt_in", "lead_type")
+NUMERIC_COVARIATES = ("prior_sessions", "days_since_lead")
+
+
+def covariate_columns(units: DataFrame, categorical: Sequence[str] = COVARIATES,
+                      numeric: Sequence[str] = NUMERIC_COVARIATES) -> dict[str, Column]:
+    """Indicators of every level but the first of each category, and logs of the numbers.
+
+    Levels are read from the units in one pass; a category has few of them by definition.
+    """
+    found = units.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c)
+                        for c in categorical]).first()
+    out = {f"{c}_{i}": (F.col(c).cast("string") == level).cast("double")
+           for c in categorical for i, level in enumerate(found[c] or []) if i}
+    return out | {c: F.log1p(F.col(c).cast("double")) for c in numeric}
+
+
 def regression_adjusted(units: DataFrame, outcome: str, covariates: Mapping[str, Column]
                         ) -> DataFrame:
     """Lin adjustment: treatment, centred covariates and interactions, HC2 standard error.

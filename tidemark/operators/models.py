@@ -107,14 +107,14 @@ def _tree_inputs(numeric: Sequence[str], categorical: Sequence[str]) -> list:
 
 
 def boosted_classifier(numeric: Sequence[str], categorical: Sequence[str], label: str,
-                       trees: int = 40, min_leaf: int = 80, seed: int = 7) -> Pipeline:
+                       trees: int = 250, min_leaf: int = 80, seed: int = 7) -> Pipeline:
     return Pipeline(stages=[*_tree_inputs(numeric, categorical), GBTClassifier(
         featuresCol="_x", labelCol=label, maxIter=trees, stepSize=0.05, maxDepth=4,
         minInstancesPerNode=min_leaf, seed=seed)])
 
 
 def boosted_regressor(numeric: Sequence[str], categorical: Sequence[str], label: str,
-                      trees: int = 40, min_leaf: int = 60, seed: int = 7) -> Pipeline:
+                      trees: int = 300, min_leaf: int = 60, seed: int = 7) -> Pipeline:
     return Pipeline(stages=[*_tree_inputs(numeric, categorical), GBTRegressor(
         featuresCol="_x", labelCol=label, maxIter=trees, stepSize=0.05, maxDepth=4,
         minInstancesPerNode=min_leaf, seed=seed)])
@@ -247,34 +247,36 @@ def reason_codes(contributions: DataFrame, entity: str, top: int = 3) -> DataFra
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str],
-                           label: str, entity: str, repeats: int = 3, seed: int = 7
+                           label: str, entity: str, repeats: int = 5, seed: int = 7
                            ) -> DataFrame:
-    """AUC drop when one feature is shuffled.
+    """AUC drop when one feature is shuffled, for every feature and repeat in one scoring pass.
 
     A shuffle is a bijection of rows: two hash orders of the same rows are matched rank by rank,
-    with ranks built per hash bucket so that no task sorts everything.
+    with ranks built per hash bucket so that no task sorts everything. Each matched row stands once
+    per feature, with that feature taken from its donor.
     """
     from tidemark.functions.lineage import cut
     from tidemark.operators.ranking import row_ranks
-    base = cut(df)
+    base = cut(df.select(entity, label, *features))
     home = cut(row_ranks(base.withColumn("_h", hash01(F.col(entity), seed)), "_h", entity, [],
                          "_r").drop("_h", "_r_n"))
-    auc0 = discrimination(probability(model, base, "p"), {"p": "p"}, label).select(
-        F.lit(1).alias("_j"), F.col("roc_auc").alias("_base"))
-    rows = None
+    both = None
     for b in range(repeats):
         donor = row_ranks(base.select(entity, *features, hash01(F.col(entity), seed + 1 + b)
                                       .alias("_h")), "_h", entity, [], "_r").select(
             "_r", *[F.col(f).alias(f"_d_{f}") for f in features])
-        both = cut(home.join(donor, "_r"))
-        for f in features:
-            shuffled = both.withColumn(f, F.col(f"_d_{f}")).select(*df.columns)
-            one = discrimination(probability(model, shuffled, "p"), {"p": "p"}, label).select(
-                F.lit(f).alias("feature"), F.lit(b).alias("repeat"), "roc_auc",
-                F.lit(1).alias("_j"))
-            rows = one if rows is None else rows.unionByName(one)
+        one = home.join(donor, "_r").withColumn("repeat", F.lit(b))
+        both = one if both is None else both.unionByName(one)
+    each = both.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    shuffled = cut(each.select(
+        entity, label, "repeat", "feature",
+        *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features]))
+    auc = discrimination(cut(probability(model, shuffled, "p").select("feature", "repeat", label, "p")),
+                         {"p": "p"}, label, ["feature", "repeat"])
+    auc0 = discrimination(cut(probability(model, base, "p").select(label, "p")), {"p": "p"}, label).select(
+        F.lit(1).alias("_j"), F.col("roc_auc").alias("_base"))
     drop = F.col("_base") - F.col("roc_auc")
-    return rows.join(F.broadcast(auc0), "_j").groupBy("feature").agg(
+    return auc.withColumn("_j", F.lit(1)).join(F.broadcast(auc0), "_j").groupBy("feature").agg(
         F.avg(drop).alias("auc_drop"), F.stddev_pop(drop).alias("auc_drop_std"))
 
 

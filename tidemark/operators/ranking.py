@@ -152,7 +152,7 @@ def id_range_bounds(df: DataFrame, entity: str, buckets: int | None = None) -> l
     dtype = dict(df.dtypes)[entity]
     if dtype in ("bigint", "int", "double"):
         return score_bounds(df, entity, buckets)
-    sample = [r[0] for r in df.select(entity).where(F.col(entity).isNotNull())
+    sample = [r[0] for r in df.select(entity).where(F.col(entity).isNotNull()).distinct()
               .orderBy(F.xxhash64(entity)).limit(64 * buckets).collect()]
     ids = sorted(set(sample))
     return sorted({ids[i * len(ids) // buckets] for i in range(1, buckets)}) if ids else []

@@ -33,11 +33,11 @@ def split(data: DataFrame, runs: tuple[str, ...]) -> DataFrame:
     return data.where(F.col("run_cutoff").isin([ts(r) for r in runs]))
 
 
-def fit_learned(train: DataFrame, name: str, trees: int = 20) -> PipelineModel:
+def fit_learned(train: DataFrame, name: str, trees: int = 250) -> PipelineModel:
     if name == "logistic_regression":
         pipe = models.logistic_pipeline(NUMERIC, CATEGORICAL, LABEL, train.count())
     else:
-        pipe = models.boosted_classifier(NUMERIC, CATEGORICAL, LABEL, trees, min_leaf=40)
+        pipe = models.boosted_classifier(NUMERIC, CATEGORICAL, LABEL, trees)
     return pipe.fit(train)
 
 
@@ -53,7 +53,7 @@ def with_scores(train: DataFrame, rows: DataFrame, fitted: Mapping[str, Pipeline
     return out
 
 
-def run(tables: Mapping[str, DataFrame], plan: SplitPlan, trees: int = 20) -> ChurnRun:
+def run(tables: Mapping[str, DataFrame], plan: SplitPlan, trees: int = 250) -> ChurnRun:
     """Fit on the fit runs, choose on validation, refit on both, score the holdout once."""
     data = cut(churn.build_dataset(tables, plan.runs, plan.horizon_days))
     fit, valid = split(data, plan.fit), split(data, plan.validation)

@@ -524,17 +524,15 @@ def e18(spark, sf):
 
 @query("e19_permutation_test")
 def e19(spark, sf):
-    return rounded(ex.permutation_test(units(spark, sf), "converted", 1000, seed=3), 6)
+    return rounded(ex.permutation_test(units(spark, sf), "converted", 10_000, seed=3), 6)
 
 
 @query("e20_aa_check")
 def e20(spark, sf):
-    return rounded(ex.aa_check(units(spark, sf), "converted", 500), 6)
+    return rounded(ex.aa_check(units(spark, sf).where("not treated"), "converted", 2_000), 6)
 
 
 @query("e21_regression_adjustment")
 def e21(spark, sf):
-    cov = {"prior_sessions": F.log1p("prior_sessions"), "days": F.log1p("days_since_lead"),
-           "mobile": (F.col("device_type") == "mobile").cast("double"),
-           "email": F.col("email_opt_in").cast("double")}
-    return rounded(ex.regression_adjusted(units(spark, sf), "converted", cov), 6)
+    u = units(spark, sf)
+    return rounded(ex.regression_adjusted(u, "converted", ex.covariate_columns(u)), 6)

@@ -167,7 +167,7 @@ def b10(spark, sf):
     hold = d.where(F.col("run_cutoff") == ts("2000-07-01"))
     num = [c for c in value.NUMERIC]
     out = hold
-    for name, pipe in (("boosted", models.boosted_regressor(num, churn.CATEGORICAL, "y", 20)),
+    for name, pipe in (("boosted", models.boosted_regressor(num, churn.CATEGORICAL, "y")),
                        ("poisson", models.poisson_regressor(num, churn.CATEGORICAL, "y"))):
         out = models.prediction(pipe.fit(train), out, name)
     out = cut(out.withColumn("run_rate", F.col("revenue_180d") / 1000))
@@ -260,13 +260,13 @@ def b21(spark, sf):
 # ------------------------------------------------------------------ selection, explanation
 @query("b16_champion_selection")
 def b16(spark, sf):
-    r = churn_run.run(ad.ledger(spark, sf), PLAN, trees=10)
+    r = churn_run.run(ad.ledger(spark, sf), PLAN)
     return rounded(r.selection.withColumn("champion", F.col("model") == r.champion), 6)
 
 
 @query("m23_model_comparison")
 def m23(spark, sf):
-    return rounded(churn_run.run(ad.ledger(spark, sf), PLAN, trees=10).comparison, 6)
+    return rounded(churn_run.run(ad.ledger(spark, sf), PLAN).comparison, 6)
 
 
 @query("m9_calibration_slope")
@@ -304,8 +304,7 @@ def b18r(spark, sf):
 def b19(spark, sf):
     model, _, hold = trained(spark, sf)
     return rounded(models.permutation_importance(
-        model, hold, ["days_since_last_order", "orders_total"], "churned", "customer_id",
-        repeats=1), 6)
+        model, hold, [*churn.NUMERIC, *churn.CATEGORICAL], "churned", "customer_id"), 6)
 
 
 @query("b20_reason_codes", with_views("""
@@ -407,17 +406,23 @@ SPEC = records.ScoringSpec(
     "2000-03-31", ad.LEDGER_END, ("margin_180d",))
 
 
-def rule_predict(df):
-    return df.withColumn("score", F.round(F.col("days_since_last_order") / (
-        60 + F.col("days_since_last_order")), 6))
+def served(spark, sf):
+    """The fitted model as a scoring function, and the 1,001 quantiles of its training scores."""
+    from tidemark.operators import monitoring
+    model, train, _ = trained(spark, sf)
 
+    def predict(df):
+        return models.probability(model, df, "_p").withColumn("score", F.round("_p", 6)).drop("_p")
 
-QUANT = [i / 100 for i in range(101)]
+    ranked = monitoring.by_value(predict(train).select("score"), ["score"])
+    profile = monitoring.exact_quantiles(ranked).orderBy("j").collect()
+    return predict, [r["value"] for r in profile]
 
 
 def batch(spark, sf):
     d = churn.build_features(ad.ledger(spark, sf), ["2000-07-01", "2000-10-01"])
-    return records.batch_scores(SPEC, d, records.customer_rules(DOMAINS), rule_predict, QUANT,
+    predict, quantiles = served(spark, sf)
+    return records.batch_scores(SPEC, d, records.customer_rules(DOMAINS), predict, quantiles,
                                 max_invalid_share=0.5)
 
 
@@ -548,7 +553,7 @@ def z1(spark, sf):
     d.unionByName(d.where("orders_total >= 8")).write.json(f"{out}/in")
     records_in = read_records(spark, f"{out}/in", d.schema)
     q = score_stream(records_in, records.customer_rules(DOMAINS), "customer_id", "scored_at",
-                     rule_predict, QUANT, "churn_risk", "v1", f"{out}/scores", f"{out}/rejected",
+                     *served(spark, sf), "churn_risk", "v1", f"{out}/scores", f"{out}/rejected",
                      f"{out}/ckpt")
     q.wait()
     a = spark.read.parquet(f"{out}/scores").agg(

@@ -65,14 +65,26 @@ def per_text(make: Callable[[], Callable], schema: str):
 
 
 class Memo(dict):
-    """A bounded cache of a pure function: emptied when full, so memory has a fixed limit."""
+    """A bounded cache of a pure function.
+
+    When full, its entries become the old generation, from which those still asked for come back;
+    the generation before is dropped. So memory has a fixed limit and frequent keys stay.
+    """
 
     def __init__(self, fn: Callable, limit: int = 400_000):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.old = fn, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.fn(key)
+            self.old = dict(self)
+            super().clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        self[key] = value
         return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}

@@ -3,8 +3,8 @@
 Tokens. `pieces` cuts each document's ids (an end id added) into pieces of at most the capacity; only
 longer documents are cut, and then the first piece takes the remainder. Ids come from the public
 tokenizer named by its path. Texts are split where the tokenizer's own pattern always splits (before
-a space between two visible characters), and the ids of these parts are kept in a bounded cache, so
-the ids are those of the whole text.
+a space between two visible characters), parts of plain Latin text by that pattern itself, and the
+ids of parts and pieces are kept in bounded caches, so the ids are those of the whole text.
 
 Packing. Open sequences are counted by their residual gap. Each piece goes where the sum of the
 squared counts of open sequences per gap becomes least; a full sequence is closed. Of equal choices
@@ -23,8 +23,11 @@ gives no piece.
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -45,34 +48,65 @@ class Config:
     shard: int = 32_000
 
 
-def _two_spaces(parts: list[str]) -> bool:
-    """Whether some white space touches another, so that a cut at single spaces is not the pattern's."""
-    return any(not p or p[0].isspace() or p[-1].isspace() for p in parts[1:-1]) or \
-        len(parts) > 1 and (parts[0][-1:].isspace() or not parts[0] and len(parts) > 1 and parts[1][:1].isspace()
-                            or parts[-1][:1].isspace() or not parts[-1])
+#: White space beside a space: there a cut at single spaces may not be the pattern's.
+TOUCHING = re.compile(r"\s | \s")
 
 
+#: The published pattern of the byte-level tokenizer, and a range of characters whose
+#: letter, digit and space classes are the same in every Unicode version in use.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = re.compile("[\n!-~\u00a1-\u024f]*")
+MARKS = ".,;:!?#$%&*|()"
+#: Bytes as the characters that the model's vocabulary writes them with: visible Latin-1 characters
+#: stand for themselves, the others for those from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512)))
+
+
+@lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids as little-endian unsigned 32-bit bytes, without special tokens."""
+    """text -> ids as little-endian unsigned 32-bit bytes, without special tokens.
+
+    Kept for the life of a worker process: parts of texts, and below them the pieces of the pattern,
+    are looked up first, and only new pieces go through the tokenizer's model.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    split = regex.compile(PATTERN).findall
+    model = tokenizer.model.tokenize
+
+    def raw(text: str) -> bytes:
+        return pack_ids(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def pack_ids(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_piece(piece: str) -> bytes:
+        return pack_ids([t.id for t in model(piece.encode().decode("latin-1").translate(LETTERS))])
+
+    pieces = Memo(encode_piece, 300_000)
 
-    def raw(part: str) -> bytes:
-        return np.array(tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode_part(part: str) -> bytes:
+        if not PLAIN.fullmatch(part):
+            return raw(" " + part)
+        word = part.rstrip(MARKS)
+        if word.isalpha():  # one run of letters and at most one of marks
+            return pieces[" " + word] + pieces[part[len(word):]] if len(word) < len(part) else pieces[" " + part]
+        return b"".join(map(pieces.__getitem__, split(" " + part)))
 
-    cache = Memo(raw, 400_000)
+    parts = Memo(encode_part, 400_000)
 
     def one(text: str | None) -> bytes:
         if not text:
             return b""
-        parts = text.split(" ")
-        if _two_spaces(parts):
+        if TOUCHING.search(text):
             return raw(text)
-        parts[1:] = [" " + p for p in parts[1:]]
-        return b"".join(map(cache.__getitem__, parts))
+        first, *rest = text.split(" ")
+        return raw(first) + b"".join(map(parts.__getitem__, rest))
     return one
 
 

@@ -181,6 +181,27 @@ def test_snapshot_masks_later_resolutions(customer_tables):
     assert snap["order_lines"].count() == snap["orders"].count() == 8
 
 
+def test_audits_count_planted_errors(customer_tables):
+    t = customer_tables
+    good = churn.build_dataset(t, [CUT], 90)
+
+    def audit(data):
+        got = churn.leakage_audit(t, data, [CUT], CUT, 90, [CUT], ["2025-12-01"])
+        return {r["check_name"]: r["violations"] for r in got.collect()}
+
+    clean = audit(good)
+    assert clean["features_only_from_pre_cutoff_rows"] == clean["labels_only_from_prediction_window"] == 0
+    one = F.col("customer_id") == "K1"
+    late = audit(good.withColumn("days_since_last_session", F.when(one, -5.0).otherwise(
+        F.col("days_since_last_session"))))
+    assert late["features_only_from_pre_cutoff_rows"] == 1
+    assert late["features_unchanged_when_future_rows_removed"] == 2
+    flipped = audit(good.withColumn("churned", F.when(one, 1 - F.col("churned")).otherwise(F.col("churned"))))
+    assert flipped["labels_only_from_prediction_window"] == 1
+    idle = audit(good.unionByName(good.where(one).withColumn("customer_id", F.lit("K2"))))
+    assert idle["every_scored_customer_active_at_cutoff"] == 1
+
+
 def test_windows_and_splits_refuse_overlap():
     with pytest.raises(ValueError):
         timewin.PredictionWindow("2025-12-01", 90, "2024-01-01", "2026-01-01")

@@ -7,18 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cols import (
-    days_between,
-    fan_out,
-    flag,
-    hours_between,
-    plus_days,
-    ratio,
-    ts,
-)
+from tidemark.functions.cols import days_between, flag, hours_between, plus_days, ratio, ts
 from tidemark.functions.lineage import cut
 from tidemark.functions.runs import ahead, before, join_parts, per_run, rows_of, unfold
-from tidemark.operators.leads import check_rows, cutoff_overlap, frame_difference, truncated
+from tidemark.operators.leads import (
+    added,
+    check_rows,
+    cutoff_overlap,
+    events_of,
+    frame_difference,
+    recency_gaps,
+    truncated,
+)
 from tidemark.operators.metrics import single_feature_auc
 
 ACTIVE_DAYS, HORIZON_DAYS = 180, 90
@@ -254,19 +254,13 @@ def build_dataset(tables: Mapping[str, DataFrame], cutoffs: Sequence[str],
                         horizon_days)
 
 
-TIMED = (("orders", "order_ts"), ("sessions", "session_start"), ("marketing_touches", "touch_at"),
-         ("subscription_events", "event_ts"), ("support_contacts", "contact_ts"))
-
-
-def late_rows(tables: Mapping[str, DataFrame], keys: DataFrame, cutoffs: Sequence[str]
-              ) -> DataFrame:
-    """Feature-input rows of scored customers that are not strictly before their run."""
-    seen = None
-    for name, at in TIMED:
-        rows = fan_out(tables[name].select("customer_id", F.col(at).alias("_at")), "_at",
-                       cutoffs).join(keys, KEYS, "left_semi")
-        seen = rows if seen is None else seen.unionByName(rows)
-    return seen.agg(F.count_if(F.col("_at") >= F.col("run_cutoff")).alias("n"))
+def late_rows(tables: Mapping[str, DataFrame], dataset: DataFrame) -> DataFrame:
+    """Rows whose recency shows an event that is not the last one before the run."""
+    return added(
+        recency_gaps(dataset, KEYS, "days_since_last_order",
+                     tables["orders"].select("customer_id", "order_ts"), "order_ts"),
+        recency_gaps(dataset, KEYS, "days_since_last_session", tables["sessions"].select(
+            "customer_id", "session_start"), "session_start", "tenure_days"))
 
 
 def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs: Sequence[str],
@@ -280,9 +274,11 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
         F.count_if(F.col("customer_since") >= F.col("run_cutoff")).alias("n"))
     idle = keys.join(active_customers(tables["orders"], cutoffs, active_days), KEYS,
                      "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    redo_labels = churn_labels(dataset.select(*KEYS, F.col("churned").alias("_was")),
-                               tables["orders"], cutoffs, horizon_days).agg(
-        F.count_if(F.col("_was") != F.col("churned")).alias("n"))
+    at, run = F.col("order_ts"), F.col("run_cutoff")
+    buyers = events_of(dataset, KEYS, tables["orders"].select("customer_id", "order_ts"), "order_ts").where(
+        (at >= run) & (at < plus_days(run, horizon_days))).select(*KEYS).distinct()
+    redo_labels = dataset.join(buyers.withColumn("_b", F.lit(1)), KEYS, "left").agg(
+        F.count_if(F.col("churned") != flag(F.col("_b").isNull())).alias("n"))
     cols = [*KEYS, *CATEGORICAL, *NUMERIC, "margin_180d"]
     names = ("customers", "orders", "order_lines", "products", "sessions", "marketing_touches",
              "subscription_events", "support_contacts")
@@ -297,7 +293,7 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
     strong = single_feature_auc(hold, NUMERIC, "churned").agg(
         F.count_if(F.col("auc") >= auc_limit).alias("n"))
     return check_rows(
-        ("features_only_from_pre_cutoff_rows", late_rows(tables, keys, cutoffs)),
+        ("features_only_from_pre_cutoff_rows", late_rows(tables, dataset)),
         ("features_unchanged_when_future_rows_removed", frame_difference(full, redo)),
         ("labels_only_from_prediction_window", redo_labels),
         ("every_scored_customer_active_at_cutoff", idle),

@@ -135,6 +135,36 @@ def build_dataset(tables: Mapping[str, DataFrame], cutoffs: Sequence[str],
                              horizon_days)
 
 
+def events_of(dataset: DataFrame, keys: Sequence[str], events: DataFrame, at: str) -> DataFrame:
+    """Each run's rows joined with all events of their key: the audits' own route to the events."""
+    run, key = keys
+    return dataset.select(run, key).join(events.select(key, *[c for c in events.columns if c != key]), key)
+
+
+def recency_gaps(dataset: DataFrame, keys: Sequence[str], feature: str, events: DataFrame, at: str,
+                 default: str | None = None) -> DataFrame:
+    """Rows whose recency is not that of the last event strictly before their run.
+
+    An event on or after the run that reached the features makes the recency too small; a lost one
+    makes it too large.
+    """
+    last = events_of(dataset, keys, events, at).where(F.col(at) < F.col("run_cutoff")).groupBy(*keys).agg(
+        F.max(at).alias("_last"))
+    want = days_between("_last", "run_cutoff")
+    want = F.coalesce(want, F.col(default)) if default else want
+    off = F.abs(F.col(feature) - want) > 1e-9
+    return dataset.join(last, list(keys), "left").agg(F.count_if(
+        off | (F.col(feature).isNull() != want.isNull())).alias("n"))
+
+
+def added(*counts: DataFrame) -> DataFrame:
+    """The sum of one-row counts."""
+    both = counts[0].toDF("n")
+    for c in counts[1:]:
+        both = both.unionByName(c.toDF("n"))
+    return both.agg(F.sum("n").alias("n"))
+
+
 def truncated(tables: Mapping[str, DataFrame], names: Sequence[str], cutoff: str
               ) -> dict[str, DataFrame]:
     from tidemark.operators.timewin import snapshot
@@ -171,8 +201,9 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
         rows = fan_out(tables[name].select("prospect_id", "customer_id", F.col(at).alias("_at")),
                        "_at", cutoffs).join(keys, KEYS, "left_semi")
         seen = rows if seen is None else seen.unionByName(rows)
-    seen = seen.agg(F.count_if(F.col("customer_id").isNotNull()).alias("linked"),
-                    F.count_if(F.col("_at") >= F.col("run_cutoff")).alias("late"))
+    seen = seen.agg(F.count_if(F.col("customer_id").isNotNull()).alias("linked"))
+    late = recency_gaps(dataset, KEYS, "days_since_last_session", tables["sessions"].select(
+        "prospect_id", "session_start"), "session_start", "lead_age_days")
     cols = [*KEYS, *CATEGORICAL, *NUMERIC]
     names = ("prospects", "customers", "sessions", "funnel_events", "marketing_touches")
     full = dataset.where(F.col("run_cutoff") == ts(probe)).select(*cols)
@@ -182,7 +213,7 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
         F.count_if(F.col("auc") >= auc_limit).alias("n"))
     overlap = cutoff_overlap(dataset, train_runs, holdout_runs, horizon_days)
     return check_rows(
-        ("features_only_from_pre_cutoff_rows", seen.select("late")),
+        ("features_only_from_pre_cutoff_rows", late),
         ("features_unchanged_when_future_rows_removed", frame_difference(full, redo)),
         ("no_pipeline_lead_converted_before_cutoff", early),
         ("no_customer_linked_rows_in_feature_inputs", seen.select("linked")),

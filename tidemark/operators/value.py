@@ -22,7 +22,7 @@ from tidemark.operators.churn import (
     late_rows,
     when,
 )
-from tidemark.operators.leads import check_rows, cutoff_overlap, frame_difference, truncated
+from tidemark.operators.leads import check_rows, cutoff_overlap, events_of, frame_difference, truncated
 
 HORIZON_DAYS, MIN_HISTORY_DAYS = 180, 90
 WINDOWS = (90, 180, 365)
@@ -141,9 +141,11 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
     since = tables["customers"].select("customer_id", "customer_since")
     unborn = keys.join(since, "customer_id").agg(
         F.count_if(F.col("customer_since") >= F.col("run_cutoff")).alias("n"))
-    relabel = future_revenue(dataset.select(*KEYS, F.col("future_revenue").alias("_was")), orders,
-                             cutoffs, horizon_days).agg(
-        F.count_if(F.abs(F.col("_was") - F.col("future_revenue")) > 0.005).alias("n"))
+    at, run = F.col("order_ts"), F.col("run_cutoff")
+    spent = events_of(dataset, KEYS, orders.select("customer_id", "order_ts", "net_amount"), "order_ts").where(
+        (at >= run) & (at < plus_days(run, horizon_days))).groupBy(*KEYS).agg(F.sum("net_amount").alias("_again"))
+    relabel = dataset.join(spent, KEYS, "left").agg(F.count_if(
+        F.abs(F.coalesce("_again", F.lit(0.0)) - F.col("future_revenue")) > 0.005).alias("n"))
     upto = F.filter(F.array(*[ts(c) for c in cutoffs]),
                     lambda c: F.col("order_ts") < plus_days(c, horizon_days))
     total = orders.select("customer_id", "net_amount", F.explode(upto).alias("run_cutoff")).groupBy(
@@ -163,13 +165,13 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
     redo = comparable(build_features(truncated(tables, names, probe), [probe]))
     hold = dataset.where(F.col("run_cutoff").isin([ts(r) for r in holdout_runs]))
     strong = None
-    for f in ("revenue_total", "revenue_180d", "orders_365d", "days_since_last_order"):
+    for f in NUMERIC:
         one = spearman(hold.select(F.col(f).cast("double").alias(f), "future_revenue"), f,
                        "future_revenue").select("spearman")
         strong = one if strong is None else strong.unionByName(one)
     strong = strong.agg(F.count_if(F.abs("spearman") >= corr_limit).alias("n"))
     return check_rows(
-        ("features_only_from_pre_cutoff_rows", late_rows(tables, keys, cutoffs)),
+        ("features_only_from_pre_cutoff_rows", late_rows(tables, dataset)),
         ("features_unchanged_when_future_rows_removed", frame_difference(full, redo)),
         ("labels_only_from_prediction_window", relabel),
         ("historical_spend_excludes_target_period", ledger),

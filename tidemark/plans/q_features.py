@@ -561,6 +561,34 @@ def a23(spark, sf):
     return churn.leakage_audit(t, data, RUNS, PROBE, 90, RUNS[:2], RUNS[2:])
 
 
+def poisoned(data):
+    """Later orders seen by every tenth customer, labels of every seventh turned round."""
+    n = F.col("customer_id")
+    return data.withColumn("days_since_last_order", F.when(n % 10 == 0, F.col("days_since_last_order") - 1)
+                           .otherwise(F.col("days_since_last_order"))).withColumn(
+        "churned", F.when(n % 7 == 0, 1 - F.col("churned")).otherwise(F.col("churned")))
+
+
+@query("a23_churn_audit_poisoned", with_views(f"""
+SELECT 'features_only_from_pre_cutoff_rows' AS check_name, count(*) AS violations FROM labelled
+  WHERE customer_id % 10 = 0
+UNION ALL SELECT 'features_unchanged_when_future_rows_removed', 2 * count(*) FROM labelled
+  WHERE customer_id % 10 = 0 AND run_cutoff = TIMESTAMP '{PROBE}'
+UNION ALL SELECT 'labels_only_from_prediction_window', count(*) FROM labelled WHERE customer_id % 7 = 0
+UNION ALL SELECT 'every_scored_customer_active_at_cutoff', count(*) FROM labelled l WHERE NOT EXISTS (
+  SELECT 1 FROM g_orders o WHERE o.customer_id = l.customer_id AND o.order_ts < l.run_cutoff
+    AND o.order_ts >= l.run_cutoff - INTERVAL 180 DAY)
+UNION ALL SELECT 'every_scored_customer_acquired_before_cutoff', count(*) FROM labelled
+  JOIN g_customers USING (customer_id) WHERE customer_since >= run_cutoff
+UNION ALL SELECT 'train_labels_end_before_holdout_starts', count(*) FROM labelled
+  WHERE run_cutoff IN (TIMESTAMP '{RUNS[0]}', TIMESTAMP '{RUNS[1]}')
+    AND run_cutoff + INTERVAL 90 DAY > TIMESTAMP '{RUNS[2]}'
+UNION ALL SELECT 'no_single_feature_suspiciously_predictive', 0""", runs_cte(RUNS) + "," + CHURN_LABEL))
+def a23_poisoned(spark, sf):
+    t = ad.ledger(spark, sf)
+    return churn.leakage_audit(t, poisoned(churn.build_dataset(t, RUNS)), RUNS, PROBE, 90, RUNS[:2], RUNS[2:])
+
+
 @query("a24_value_leakage_audit", with_views(zero_checks(
     "features_only_from_pre_cutoff_rows", "features_unchanged_when_future_rows_removed",
     "labels_only_from_prediction_window", "historical_spend_excludes_target_period",

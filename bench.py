@@ -17,6 +17,7 @@ HEADLINE = [
     "v17_membership_machine", "c4_segment_funnel", "e7_two_proportions", "l5_person_month_panel",
     "l7_transition_counts", "l19_cohort_retention", "l24_segment_summary", "g2_monthly_kpis",
     "g3_headline", "t11_rolling_backtest", "t15_empirical_intervals", "n4_psi",
+    "t9_harmonic_backtest", "l26_integrity_audit", "b11_bgnbd_fit", "e19_permutation_test",
 ]
 
 

@@ -9,7 +9,7 @@ All parts of a feature row then share the partitioning on their key and are join
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,14 @@ from pyspark.sql import functions as F
 from tidemark.functions.cols import plus_days, ts
 
 RUN, SEEN = "run_cutoff", "_seen"
-Window = Callable[[Column, Column], Column]
+
+
+@dataclass(frozen=True)
+class Window:
+    """Which events a run sees, and one range that holds those of a first to a last run."""
+
+    inside: Callable[[Column, Column], Column]
+    outer: Callable[[Column, Column, Column], Column]
 
 
 def before(lookback_days: int | None = None) -> Window:
@@ -25,12 +32,17 @@ def before(lookback_days: int | None = None) -> Window:
     def inside(event: Column, run: Column) -> Column:
         ok = event < run
         return ok if lookback_days is None else ok & (event >= plus_days(run, -lookback_days))
-    return inside
+
+    def outer(event: Column, first: Column, last: Column) -> Column:
+        ok = event < last
+        return ok if lookback_days is None else ok & (event >= plus_days(first, -lookback_days))
+    return Window(inside, outer)
 
 
 def ahead(horizon_days: int) -> Window:
     """Events of the outcome window ``[run, run + horizon)``."""
-    return lambda event, run: (event >= run) & (event < plus_days(run, horizon_days))
+    return Window(lambda event, run: (event >= run) & (event < plus_days(run, horizon_days)),
+                  lambda event, first, last: (event >= first) & (event < plus_days(last, horizon_days)))
 
 
 def per_run(df: DataFrame, key: str, event: str, cutoffs: Sequence[str], window: Window,
@@ -38,18 +50,18 @@ def per_run(df: DataFrame, key: str, event: str, cutoffs: Sequence[str], window:
     """One row per key: an array with one struct per run, in the order of the cutoffs.
 
     ``columns(run, seen)`` gives the aggregates of one run; ``seen`` is true for the events in its
-    window. The struct also counts these events as ``_seen``. Events outside all windows are
-    filtered first, so the range reaches the scan.
+    window. The struct also counts these events as ``_seen``. Events outside the range of all
+    windows are filtered first, and that range reaches the scan.
     """
     at = F.col(event)
-    some = reduce(lambda x, y: x | y, [window(at, ts(c)) for c in cutoffs])
     aggs, names = [], []
     for i, c in enumerate(cutoffs):
         run = ts(c)
-        seen = window(at, run)
+        seen = window.inside(at, run)
         cols = {SEEN: F.count_if(seen), **columns(run, seen)}
         names = list(cols)
         aggs += [col.alias(f"_{i}_{k}") for k, col in cols.items()]
+    some = window.outer(at, ts(min(cutoffs)), ts(max(cutoffs)))
     one = df.where(some).groupBy(key).agg(*aggs)
     structs = [F.struct(ts(c).alias(RUN), *[F.col(f"_{i}_{k}").alias(k) for k in names])
                for i, c in enumerate(cutoffs)]

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cols import days_between, flag, plus_days, ratio, ts
+from tidemark.functions.cols import days_between, fan_out, flag, plus_days, ratio, ts
 from tidemark.functions.lineage import cut
 from tidemark.functions.runs import ahead, before, join_parts, per_run, rows_of, unfold
 from tidemark.operators.churn import (
@@ -39,8 +39,8 @@ MONEY = ("revenue_total", *[f"revenue_{d}d" for d in WINDOWS], "avg_order_value"
 
 def customer_base(customers: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
     """(run, customer) rows for everyone whose first order precedes the run."""
-    return unfold(per_run(customers, "customer_id", "customer_since", cutoffs, before(),
-                          lambda run, seen: {}), "customer_id")
+    once = customers.groupBy("customer_id").agg(F.min("customer_since").alias("customer_since"))
+    return fan_out(once, "customer_since", cutoffs).select(*KEYS)
 
 
 def order_runs(orders: DataFrame, cutoffs: Sequence[str]) -> DataFrame:

@@ -95,10 +95,10 @@ def f5(spark, sf):
 @query("f6_monthly_runs", with_views("""
 SELECT run_cutoff, count(DISTINCT customer_id) AS customers FROM runs
 JOIN g_customers ON customer_since < run_cutoff GROUP BY 1""",
-                                     runs_cte(tw.monthly_runs("1995-02-01", "1995-12-01"))))
+                                     runs_cte(tw.monthly_runs("1995-02-01", ad.LEDGER_END))))
 def f6(spark, sf):
     return value.customer_base(ad.ledger(spark, sf)["customers"],
-                               tw.monthly_runs("1995-02-01", "1995-12-01")).groupBy(
+                               tw.monthly_runs("1995-02-01", ad.LEDGER_END)).groupBy(
         "run_cutoff").agg(F.count(F.lit(1)).alias("customers"))
 
 
@@ -157,11 +157,11 @@ def f10(spark, sf):
 
 @query("f11_mature_population", with_views("""
 SELECT acquisition_channel, count(*) AS mature FROM g_prospects
-WHERE created_at < TIMESTAMP '1995-06-01' - INTERVAL 60 DAY GROUP BY 1"""))
+WHERE created_at < TIMESTAMP '2001-08-02' - INTERVAL 60 DAY GROUP BY 1"""))
 def f11(spark, sf):
     p = ad.ledger(spark, sf)["prospects"]
     from tidemark.operators.kpis import mature
-    return mature(p, "created_at", 60, "1995-06-01").groupBy("acquisition_channel").agg(
+    return mature(p, "created_at", 60, ad.LEDGER_END).groupBy("acquisition_channel").agg(
         F.count(F.lit(1)).alias("mature"))
 
 
@@ -609,8 +609,8 @@ SELECT source, count(*) AS first_orders, round(count(*) / CAST(sum(count(*)) OVE
   FROM runs JOIN g_customers ON customer_since >= run_cutoff
        AND customer_since < run_cutoff + INTERVAL 30 DAY
   JOIN g_prospects USING (prospect_id)) GROUP BY 1""",
-                                           runs_cte(tw.monthly_runs("1995-03-01", "1995-08-01"))))
+                                           runs_cte(tw.monthly_runs("1995-03-01", "2001-07-01"))))
 def a25(spark, sf):
     t = ad.ledger(spark, sf)
     return rounded(leads.pipeline_coverage(
-        t["prospects"], t["customers"], tw.monthly_runs("1995-03-01", "1995-08-01"), 30), 6)
+        t["prospects"], t["customers"], tw.monthly_runs("1995-03-01", "2001-07-01"), 30), 6)

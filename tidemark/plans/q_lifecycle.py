@@ -13,11 +13,11 @@ from tidemark.plans.registry import query
 from tidemark.sources import adapters as ad
 from tidemark.sources.oracle_views import with_views
 
-FIRST, LAST = "1995-01-01", "1996-12-01"
-W_FIRST, W_LAST = "1995-12-01", "1996-11-01"
+FIRST, LAST = "1995-01-01", "2001-07-01"  # every whole month of the ledger
+W_FIRST, W_LAST = "2000-07-01", "2001-06-01"  # rates: the last twelve months with a next one
 RULES = lc.Rules(loyal_min_orders=3)
-AS_OF = "1996-07-01"
-END = "1997-01-01"
+AS_OF = "2001-07-01"
+END = "2001-08-01"
 
 PANEL = f"""
 per AS (SELECT CAST(unnest(generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}',

@@ -26,22 +26,28 @@ def _big(df):
     return df.withColumn("violations", F.col("violations").cast("bigint"))
 
 
-@query("v1_missing_and_empty", with_views("""
-SELECT 'sessions' AS table_name, CAST(count(*) = 0 AS BIGINT) AS empty FROM j_sessions
-UNION ALL SELECT 'orders', CAST(count(*) = 0 AS BIGINT) FROM j_orders
-UNION ALL SELECT 'prospects', CAST(count(*) = 0 AS BIGINT) FROM j_prospects"""))
+JOURNEY_VIEWS = {
+    "prospects": "j_prospects", "customers": "j_customers", "sessions": "j_sessions",
+    "funnel_events": "j_funnel", "marketing_touches": "j_touches", "orders": "j_orders",
+    "order_lines": "j_lines", "subscription_events": "j_subs", "support_contacts": "j_contacts",
+    "campaigns": "j_campaigns", "experiments": "j_experiments", "products": "part",
+    "experiment_assignments": "j_assignments"}
+
+
+@query("v1_missing_and_empty", with_views(" UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, CAST(count(*) = 0 AS BIGINT) AS empty FROM {v}"
+    for n, v in JOURNEY_VIEWS.items())))
 def v1(spark, sf):
     t = ad.journey(spark, sf)
     return q.union([t[n].agg(F.lit(n).alias("table_name"),
                              (F.count(F.lit(1)) == 0).cast("bigint").alias("empty"))
-                    for n in ("sessions", "orders", "prospects")])
+                    for n in TABLES])
 
 
 @query("v2_type_mismatches")
 def v2(spark, sf):
     t = ad.journey(spark, sf)
-    issues = q.schema_issues({k: t[k] for k in ("sessions", "orders", "funnel_events")},
-                             {k: TABLES[k] for k in ("sessions", "orders", "funnel_events")})
+    issues = q.schema_issues({k: t[k] for k in TABLES}, TABLES)
     rows = t["sessions"].agg(F.count(F.lit(1)).alias("rows_checked"))
     return rows.withColumn("issue", F.explode(F.array(*[F.lit(i) for i in issues or ["none"]])))
 

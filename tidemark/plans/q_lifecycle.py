@@ -284,8 +284,8 @@ COHORT = f"""
 cc AS (SELECT customer_id, acquisition_channel, year(customer_since) * 12 + month(customer_since)
          - 1 AS ci FROM g_customers WHERE customer_since < TIMESTAMP '{END}'),
 cz AS (SELECT ci, count(*) AS cohort_size FROM cc GROUP BY 1),
-cg AS (SELECT ci, cohort_size, k, ci + k <= 1996 * 12 + 11 AS observed
-       FROM cz, (SELECT unnest(generate_series(0, 23)) AS k)),
+cg AS (SELECT ci, cohort_size, k, ci + k <= 2001 * 12 + 6 AS observed
+       FROM cz, (SELECT unnest(generate_series(0, 78)) AS k)),
 ca AS (SELECT ci, year(order_ts) * 12 + month(order_ts) - 1 - ci AS k,
          count(DISTINCT customer_id) AS buyers, sum(net_amount) AS revenue
        FROM g_orders JOIN cc USING (customer_id) WHERE order_ts < TIMESTAMP '{END}' GROUP BY 1, 2),
@@ -306,12 +306,12 @@ def cohort_table(spark, sf, by=()):
 @query("l19_cohort_retention", with_views("""
 SELECT cohort, k AS months_since_acquisition, observed, cohort_size, buyers,
   round(buyers / CAST(cohort_size AS DOUBLE), 6) AS retention, round(revenue, 3) AS revenue,
-  round(revenue / cohort_size, 6) AS revenue_per_customer,
+  round(revenue / cohort_size, 3) AS revenue_per_customer,
   round(CASE WHEN observed THEN sum(revenue / cohort_size) OVER (PARTITION BY cohort ORDER BY k)
-        END, 6) AS cumulative_revenue_per_customer FROM ct""", COHORT))
+        END, 3) AS cumulative_revenue_per_customer FROM ct""", COHORT))
 def l19(spark, sf):
     t = cohort_table(spark, sf)
-    d = {"revenue": 3}
+    d = {"revenue": 3, "revenue_per_customer": 3, "cumulative_revenue_per_customer": 3}
     return t.select(*[F.round(c, d.get(c, 6)).alias(c) if dict(t.dtypes)[c] == "double"
                       else F.col(c) for c in t.columns])
 
@@ -492,7 +492,7 @@ def l27(spark, sf):
 
 @query("l27_largest_channels", with_views(f"""
 SELECT acquisition_channel, count(*) AS customers FROM g_customers
-WHERE customer_since < TIMESTAMP '1996-01-01' GROUP BY 1
+WHERE customer_since < TIMESTAMP '2000-08-01' GROUP BY 1
 ORDER BY customers DESC, acquisition_channel LIMIT 3"""))
 def l27c(spark, sf):
     p = co.pooled_retention(cohort_table(spark, sf, ["acquisition_channel"]), 12,

@@ -306,14 +306,16 @@ def cohort_table(spark, sf, by=()):
 @query("l19_cohort_retention", with_views("""
 SELECT cohort, k AS months_since_acquisition, observed, cohort_size, buyers,
   round(buyers / CAST(cohort_size AS DOUBLE), 6) AS retention, round(revenue, 3) AS revenue,
-  round(revenue / cohort_size, 3) AS revenue_per_customer,
-  round(CASE WHEN observed THEN sum(revenue / cohort_size) OVER (PARTITION BY cohort ORDER BY k)
-        END, 3) AS cumulative_revenue_per_customer FROM ct""", COHORT))
+  (revenue / cohort_size)::FLOAT::DOUBLE AS revenue_per_customer,
+  (CASE WHEN observed THEN sum(revenue / cohort_size) OVER (PARTITION BY cohort ORDER BY k)
+   END)::FLOAT::DOUBLE AS cumulative_revenue_per_customer FROM ct""", COHORT))
 def l19(spark, sf):
     t = cohort_table(spark, sf)
-    d = {"revenue": 3, "revenue_per_customer": 3, "cumulative_revenue_per_customer": 3}
-    return t.select(*[F.round(c, d.get(c, 6)).alias(c) if dict(t.dtypes)[c] == "double"
-                      else F.col(c) for c in t.columns])
+    # Money per head often ends in an exact 5, so it is published in single precision, not rounded.
+    single = ("revenue_per_customer", "cumulative_revenue_per_customer")
+    return t.select(*[F.col(c).cast("float").cast("double").alias(c) if c in single
+                      else F.round(c, 3 if c == "revenue" else 6).alias(c)
+                      if dict(t.dtypes)[c] == "double" else F.col(c) for c in t.columns])
 
 
 @query("l20_pooled_retention", with_views("""

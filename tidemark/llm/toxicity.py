@@ -37,7 +37,7 @@ SCHEMA = "score double, starts array<int>, ends array<int>, probs array<double>"
 class Config:
     """Training bounds and settings of the chain."""
 
-    per_class: int = 3000
+    per_class: int = 1500
     max_chars: int = 20_000
     min_cover: int = 3
     min_precision: float = 0.95
@@ -77,20 +77,22 @@ def _units(words: set[str]) -> set[str]:
 
 
 def cover(toxic: list[set[str]], clean: list[set[str]], cfg: Config) -> set[str]:
-    """Words, and beginnings written with a closing *, that explain the toxic documents.
+    """toxic, clean: the words of each document. Words, and beginnings written with a closing *, that explain the toxic documents.
 
     Each step takes the unit with the most unexplained toxic documents among those precise enough;
     ties go to the longer unit, then to the text order. Repeated copies of one toxic text explain
     each other at once, so their ordinary words are not taken.
     """
-    seen_clean = Counter(u for d in clean for u in d)
+    # Units are made anew in each pass and only those still in question are counted.
+    often = {u for u, n in Counter(u for d in toxic for u in _units(d)).items() if n >= cfg.min_cover}
+    seen_clean = Counter(u for d in clean for u in _units(d) if u in often)
     places = defaultdict(list)
     for i, d in enumerate(toxic):
-        for u in d:
+        for u in _units(d) & often:
             places[u].append(i)
     scale = len(clean) / max(1, len(toxic))
-    places = {u: p for u, p in places.items() if len(p) >= cfg.min_cover
-              and len(p) * scale >= cfg.min_precision * (len(p) * scale + seen_clean[u])}
+    places = {u: p for u, p in places.items()
+              if len(p) * scale >= cfg.min_precision * (len(p) * scale + seen_clean[u])}
     open_docs, chosen = set(range(len(toxic))), set()
     heap = [(-len(p), -len(u), u) for u, p in places.items()]
     heapify(heap)
@@ -188,7 +190,7 @@ def _at(words: list[str], i: int) -> list[str]:
 def fit(rows: list[tuple[str, int]], cfg: Config = Config()) -> Chain:
     """rows: (text, label) of the bounded training sample."""
     docs = [(WORD.findall(t or ""), y) for t, y in dict.fromkeys(rows)]
-    toxic, clean = [_units(set(w)) for w, y in docs if y == 1], [_units(set(w)) for w, y in docs if y == 0]
+    toxic, clean = [set(w) for w, y in docs if y == 1], [set(w) for w, y in docs if y == 0]
     if not toxic or not clean:
         return Chain()
     units = cover(toxic, clean, cfg)

@@ -238,12 +238,17 @@ def contribution_importance(contributions: DataFrame) -> DataFrame:
     return t.select("feature", "mean_abs_contribution", sign.alias("direction"))
 
 
-def reason_codes(contributions: DataFrame, entity: str, top: int = 3) -> DataFrame:
-    """The largest positive contributions of every row, joined by ``; ``."""
+def reason_codes(contributions: DataFrame, entity: str, top: int = 3, runs: Sequence[str] = ()
+                 ) -> DataFrame:
+    """The largest positive contributions of every row, joined by ``; ``.
+
+    With several runs in the frame their columns belong to the key, or rows of one entity would
+    merge across runs.
+    """
     pos = F.filter(F.collect_list(F.struct((-F.col("contribution")).alias("c"), "feature")),
                    lambda s: s["c"] < 0)
     codes = F.transform(F.slice(F.sort_array(pos), 1, top), lambda s: s["feature"])
-    return contributions.groupBy(entity).agg(F.concat_ws("; ", codes).alias("drivers"))
+    return contributions.groupBy(*runs, entity).agg(F.concat_ws("; ", codes).alias("drivers"))
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str],

@@ -54,7 +54,7 @@ DOCS, PAIRS, WORDS = 0, 1, 2
 class Config:
     share: float = 1e-6
     bucket_tokens: int = 2_500_000
-    flush_tokens: int = 3_000_000
+    flush_tokens: int = 1_500_000
 
 
 def word_key(word: bytes) -> int:
@@ -117,7 +117,7 @@ class Words:
         def number(word: bytes) -> int:
             key = word_key(word)
             return place.get(key, key)
-        return Memo(number, 400_000)
+        return Memo(number, 200_000)
 
 
 def _tokens(numbers: Memo, text: str | None) -> np.ndarray:
@@ -145,7 +145,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = words_of(text)
             words.append(END)
             held.update(words)
-            if len(held) >= 600_000:
+            if len(held) >= 300_000:
                 yield out()
     yield out()
 

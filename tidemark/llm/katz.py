@@ -20,8 +20,8 @@ Spark. Counts of all training rows are summed per task first, then by key: unigr
 tables partitioned by bucket. Scoring sends only what the bounded tables cannot answer: the back-off
 value of every token is taken at once; a frequent bigram (again at least `Config.share` of the
 tokens) has its correction in a broadcast table; other bigrams and rare words go to their bucket,
-packed as arrays, meet the stored counts there and return one sum per text. A frequent key is never
-shuffled, so no bucket is hot.
+packed as arrays, meet the stored counts there, and the sums return packed by the flush that sent
+them. A frequent key is never shuffled, so no bucket is hot.
 
 Special cases. Null text is empty: the end token alone. Rows with a null id are scored and not
 learned from. Repeated rows each come back. With nothing learned every text scores 0.
@@ -283,7 +283,7 @@ class Tables:
         return np.log10(p) - np.log10(self.alpha[h]) - np.log10(self.words.unigram()[w])
 
 
-OUT = ["kind", "bucket", "base", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "keys", "docs"]
+OUT = ["kind", "bucket", "grp", "base", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "keys", "docs"]
 
 
 def _send(tables, flush: int):
@@ -309,7 +309,7 @@ def _send(tables, flush: int):
                     order = np.argsort(bucket.astype(np.int32), kind="stable")
                     keys, at = keys[order], at[order]
                     edges = np.searchsorted(bucket[order], np.arange(t.buckets + 1))
-                    rows += [(kind, b, base, None, None, 0, 0, 0.0, 0.0, keys[lo:hi].tobytes(), at[lo:hi].tobytes())
+                    rows += [(kind, b, base, base, None, None, 0, 0, 0.0, 0.0, keys[lo:hi].tobytes(), at[lo:hi].tobytes())
                              for b, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
                 some.clear()
             return pd.DataFrame(rows, columns=OUT)
@@ -325,7 +325,7 @@ def _send(tables, flush: int):
                     hit = t.frequent[at] == pairs
                     score += gains[at[hit]].sum()
                     pairs = pairs[~hit]
-                docs.append((DOCS, uid % t.buckets, uid, doc_id, held_out, len(a), int(known.sum()),
+                docs.append((DOCS, uid % t.buckets, base, uid, doc_id, held_out, len(a), int(known.sum()),
                              float(log_c[a[known]].sum()), float(score), None, None))
                 held[PAIRS].append((uid - base, pairs))
                 if not known.all():
@@ -343,12 +343,13 @@ def _send(tables, flush: int):
 
 
 def _meet(tables):
-    """Requests of a bucket meet its stored counts; one row per document and bucket goes on."""
+    """Requests of a bucket meet its stored counts; one packed row per flush of a task goes on."""
     def run(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         t = tables.value
         w = t.words
-        own = asked.loc[asked["kind"] == DOCS, ["base", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]]
-        out = [own.rename(columns={"base": "uid"}).astype({"doc_id": object, "held_out": object})]
+        own = asked.loc[asked["kind"] == DOCS, ["grp", "base", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]]
+        none = np.full(len(own), None)
+        out = [own.rename(columns={"base": "uid"}).assign(uids=none, sums=none)]
         floor = np.log10(w.tokens + 0.1 * (w.distinct + 1))
         for kind in (PAIRS, WORDS):
             rows, have = asked[asked["kind"] == kind], stored[stored["kind"] == kind]
@@ -369,24 +370,39 @@ def _meet(tables):
                 add = np.log10(np.where(hit, c, w.hapaxes + 1) / w.rare_total())
                 base, seen = np.log10(c + 0.1) - floor, hit.astype(np.int64)
             uid, place = np.unique(docs, return_inverse=True)
-            if len(uid):
-                none = np.full(len(uid), None)
-                out.append(pd.DataFrame({"uid": uid, "doc_id": none, "held_out": none, "n_tokens": 0,
-                                         "n_known": np.bincount(place, seen).astype(np.int64),
-                                         "base_score": np.bincount(place, base), "score": np.bincount(place, add)}))
-        return pd.concat([x for x in out if len(x)] or out[:1])
+            sums = np.array([np.bincount(place, x, len(uid)) for x in (seen, base, add)])
+            groups = np.unique(rows["grp"])
+            # The documents of a flush are numbered from its own number on, up to the next flush.
+            edges = [*np.searchsorted(uid, groups), len(uid)]
+            out.append(pd.DataFrame(
+                [(g, g, None, None, 0, 0, 0.0, 0.0, uid[lo:hi].tobytes(), sums[:, lo:hi].tobytes())
+                 for g, lo, hi in zip(groups, edges, edges[1:]) if hi > lo], columns=out[0].columns))
+        return pd.concat([x.astype(object) for x in out if len(x)] or out[:1])
     return run
 
 
+def _add(frame: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one flush with the sums that its buckets sent back."""
+    packed = frame["uids"].notna().to_numpy()
+    docs = frame[~packed].sort_values("uid")
+    total = docs[["n_known", "base_score", "score"]].to_numpy(float).T.copy()
+    at = docs["uid"].to_numpy(np.int64)
+    for uids, sums in zip(frame.loc[packed, "uids"], frame.loc[packed, "sums"]):
+        total[:, np.searchsorted(at, np.frombuffer(uids, np.int64))] += np.frombuffer(sums).reshape(3, -1)
+    return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": docs["n_tokens"],
+                         "n_known": total[0].astype(np.int64), "base_score": total[1], "score": total[2]})
+
+
 def score(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
     """docs (doc_id, held_out, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, w = docs.sparkSession, model.words
     kind = dict(docs.dtypes)["doc_id"]
     shared = spark.sparkContext.broadcast(Tables(w, model.buckets, model.d, model.history, model.alpha, model.scale,
                                                  model.frequent, model.frequent_n))
-    counts = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    asked = docs.select("doc_id", "held_out", "text").mapInPandas(
-        _send(shared, cfg.flush_tokens), f"kind int, bucket int, base long, {counts}, keys binary, docs binary")
+    # Ids travel as text: pandas would turn a nullable long into a double.
+    counts = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text").mapInPandas(
+        _send(shared, cfg.flush_tokens), f"kind int, bucket int, grp long, base long, {counts}, keys binary, docs binary")
     pairs = F.col("history").cast("long") * w.classes + F.col("word")
     stored = model.bigrams.select("bucket", F.lit(PAIRS).alias("kind"), pairs.alias("key"), "n").unionByName(
         model.unigrams.select(F.pmod("word", F.lit(model.buckets)).cast("int").alias("bucket"), F.lit(WORDS).alias("kind"),
@@ -396,8 +412,8 @@ def score(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
         stored = stored.where((F.col("kind") == PAIRS) | (F.col("n") < least))
     if len(model.frequent):
         stored = stored.where((F.col("kind") == WORDS) | (F.col("n") < cfg.share * w.tokens))
-    met = asked.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInPandas(_meet(shared), f"uid long, {counts}")
-    return met.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(w.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    met = asked.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInPandas(
+        _meet(shared), f"grp long, uid long, {counts}, uids binary, sums binary")
+    return met.groupBy("grp").applyInPandas(_add, counts).select(
+        F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known",
+        F.lit(w.tokens).cast("long").alias("train_tokens"), "base_score", "score")

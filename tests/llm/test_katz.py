@@ -92,3 +92,27 @@ def test_discounts_lie_between_zero_and_one():
     for counts in ({}, {1: 5}, {1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 6}, {1: 1, 6: 50}, {2: 3}):
         d = katz.discounts(counts)
         assert d[6] == 1 and np.all((d[1:6] > 0) & (d[1:6] < 1))
+
+
+def same_as_brute(spark, train, texts, cfg):
+    model = katz.train(spark.createDataFrame([(t,) for t in train], "text string"), cfg)
+    docs = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    got = {r.doc_id: r for r in katz.score(docs, model, cfg).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        n, known, total, base, score = brute(train, t, 0)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, total)
+        assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(score)
+    return model
+
+
+def test_rare_words_keep_their_bigrams_past_a_million_tokens(spark):
+    train = [*TEXTS, *["w0 " * 300_000] * 4]
+    same_as_brute(spark, train, TEXTS[-6:-1] + OTHER[:5] + ["rareone raretwo", "raretwo rareone never w1"], katz.Config())
+
+
+@pytest.mark.parametrize("top", [0.004, 0.05, 1.0])
+def test_every_word_has_bigrams_wherever_it_is_answered(spark, top):
+    cfg = katz.Config(top=top, bucket_tokens=200, flush_tokens=150)
+    model = same_as_brute(spark, TEXTS, TEXTS + OTHER, cfg)
+    assert model.bigrams.where("rare").count() > 0

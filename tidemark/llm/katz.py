@@ -1,27 +1,30 @@
 """Log-probability of texts under a Katz back-off bigram model that is counted, stored and read in Spark.
 
-Tokens are words (runs without ASCII white space, A-Z in lower case) and one end token per text. A
-word is known if it holds at least `Config.share` of the training tokens, so there are at most
-1 / share known words, and per-word tables of these can be broadcast; other words form the class
-`rare`, inside which each has its own probability. Bigrams run over classes, with a start class as
-the history of the first token.
+Tokens are words (runs without ASCII white space, A-Z in lower case) and one end token per text.
+N-grams are counted, stored and scored over all words; a start token is the history of the first one.
 
   seen bigram      P(w | h) = d(c) c(h w) / (c(h) + 1)
   unseen bigram    P(w | h) = alpha(h) P(w)
-  known word       P(w)     = d1(c) c(w) / (N + 1), and P(rare) is the rest
-  rare word        P(rare) c(w) / (C + n1 + 1), with C the tokens and n1 the hapaxes of the class;
-                   all words never seen in training share (n1 + 1) / (C + n1 + 1)
+  word             P(w)     = d1(c) c(w) / (N + 1); all words never seen in training share the rest
 
 d and d1 are Good-Turing discounts for counts of 1 to 5 (a discount from the first two counts of
 counts where the estimate is not between 0 and 1). alpha(h) is the mass left by the seen bigrams over
 the unigram mass of the words not seen after h, so each history sums to 1 exactly.
 
-Spark. Counts of all training rows are summed per task first, then by key: unigrams and bigrams are
-tables partitioned by bucket. Scoring sends only what the bounded tables cannot answer: the back-off
-value of every token is taken at once; a frequent bigram (again at least `Config.share` of the
-tokens) has its correction in a broadcast table; other bigrams and rare words go to their bucket,
-packed as arrays, meet the stored counts there, and the sums return packed by the flush that sent
-them. A frequent key is never shuffled, so no bucket is hot.
+Spark. Words that hold at least `Config.top` of the training tokens are numbered, so there are at most
+1 / top of them and their tables can be broadcast; other words go by their 62-bit key. This decides
+only where a key is answered, never the score. Counts of all training rows are summed per task first,
+then by key: words, bigrams of numbered words, and bigrams with a rare word are tables partitioned by
+bucket. The bucket of a rare bigram is that of its rare history, or else of its rare word, so the count
+and alpha of a rare history come from the rows of one bucket. Scoring adds at once what the broadcast
+tables hold (per-word figures of numbered words; the gain of a bigram that itself has `Config.top` of
+the tokens); other bigrams and rare words go to their bucket, packed as arrays, meet the stored counts
+there, and the sums return packed by the flush that sent them. A frequent key is never shuffled, so
+no bucket is hot.
+
+A class model can be asked for: with `Config.share` above 0, words below that share of the tokens are
+one class in all n-grams, with P(class) the rest, and inside it a word has c(w) / (C + n1 + 1) (C the
+tokens and n1 the hapaxes of the class; words never seen share (n1 + 1) / (C + n1 + 1)).
 
 Special cases. Null text is empty: the end token alone. Rows with a null id are scored and not
 learned from. Repeated rows each come back. With nothing learned every text scores 0.
@@ -47,18 +50,20 @@ from tidemark.llm.simhash import words_of
 END = b"\n"  # no word holds white space
 RARE_BIT = 1 << 62
 GOOD_TURING = 5
-DOCS, PAIRS, WORDS = 0, 1, 2
+DOCS, PAIRS, WORDS, RARES = 0, 1, 2, 3
+PAIR_FACTOR = np.int64(-7046029254386353131)
 
 
 @dataclass(frozen=True)
 class Config:
-    share: float = 1e-6
-    bucket_tokens: int = 2_500_000
-    flush_tokens: int = 1_500_000
+    share: float = 0.0  # words below it are folded into one class; 0 folds none
+    top: float = 1e-6  # words and bigrams from it on are answered from broadcast tables
+    bucket_tokens: int = 1_250_000
+    flush_tokens: int = 1_000_000
 
 
 def word_key(word: bytes) -> int:
-    """62-bit hash of a word, told apart from class numbers by the bit above."""
+    """62-bit hash of a word, told apart from word numbers by the bit above."""
     return xxhash.xxh64_intdigest(word, 42) & (RARE_BIT - 1) | RARE_BIT
 
 
@@ -81,13 +86,16 @@ def discount(d: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Known words, sorted by key, and the figures of the training tokens."""
+    """Numbered words, sorted by key, and the figures of the training tokens."""
 
     keys: np.ndarray
     counts: np.ndarray
     tokens: int
     distinct: int
-    hapaxes: int  # rare words counted once
+    hapaxes: int  # folded words counted once
+    fold: bool
+    d1: np.ndarray
+    rest: float  # P(class of the folded words), or of all words never seen
 
     @property
     def rare(self) -> int:
@@ -102,10 +110,11 @@ class Words:
         return len(self.keys) + 2
 
     def unigram(self) -> np.ndarray:
-        """P(class) for the known words and, last, the rare class."""
-        seen = Counter(np.minimum(self.counts, GOOD_TURING + 2).tolist())
-        p = discount(discounts(seen), self.counts) * self.counts / (self.tokens + 1)
-        return np.append(p, 1 - p.sum())
+        """P(word) for the numbered words and, last, the rest."""
+        return np.append(self.word_p(self.counts), self.rest)
+
+    def word_p(self, c: np.ndarray) -> np.ndarray:
+        return discount(self.d1, c) * c / (self.tokens + 1)
 
     def rare_total(self) -> float:
         return self.tokens - float(self.counts.sum()) + self.hapaxes + 1
@@ -126,9 +135,19 @@ def _tokens(numbers: Memo, text: str | None) -> np.ndarray:
     return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
 
 
-def _pairs(a: np.ndarray, w: Words) -> np.ndarray:
-    c = np.where(a < RARE_BIT, a, w.rare)
-    return np.concatenate([[w.start], c[:-1]]) * w.classes + c
+def _pairs(a: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Histories and words; where words are folded, a rare one stands as the number of the class."""
+    c = np.where(a < RARE_BIT, a, w.rare) if w.fold else a
+    return np.concatenate([[w.start], c[:-1]]), c
+
+
+def _rare_key(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The word by which a bigram with a rare word finds its bucket."""
+    return np.where(h >= RARE_BIT, h, c)
+
+
+def _pair_key(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return h * PAIR_FACTOR + c
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,53 +177,89 @@ def _summed(rows: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     return store(summed, name, by="bucket")
 
 
+def _unique_pairs(h: np.ndarray, c: np.ndarray, n: np.ndarray):
+    order = np.lexsort((h, c))
+    h, c, n = h[order], c[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])[:len(h)])
+    return h[first], c[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _counter_of_pairs(words, buckets: int, flush: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = words.value
-        numbers, held, size = w.numbering(), [], 0
+        numbers, held, far, size = w.numbering(), [], [], 0
+
+        def packed(at, *columns):
+            order = np.argsort(at, kind="stable")
+            edges = np.searchsorted(at[order], np.arange(buckets + 1))
+            columns = [x[order] for x in columns]
+            for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                if hi > lo:
+                    yield b, *(x[lo:hi] for x in columns)
 
         def out():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            order = np.argsort(keys % buckets, kind="stable")
-            keys, n = keys[order], n[order]
-            edges = np.searchsorted(keys % buckets, np.arange(buckets + 1))
+            keys = np.concatenate(held)
             held.clear()
+            keys, n = np.unique(keys, return_counts=True)
             # Keys of a bucket rise, so their steps compress well on the way.
-            return pd.DataFrame([(b, np.diff(keys[lo:hi], prepend=0).tobytes(), n[lo:hi].astype(np.int32).tobytes())
-                                 for b, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo],
-                                columns=["bucket", "keys", "n"])
+            yield pd.DataFrame([(b, np.diff(k, prepend=0).tobytes(), None, m.tobytes())
+                                for b, k, m in packed(keys % buckets, keys, n.astype(np.int32))], columns=PACKED)
+            del keys, n
+            if far:
+                h, c = np.concatenate(far, axis=1)
+                far.clear()
+                # On their first way rare bigrams go by a rare word before a rare history, which gives c(word).
+                h, c, n = _unique_pairs(h, c, np.ones(len(h), np.int32))
+                yield pd.DataFrame([(b, x.tobytes(), y.tobytes(), m.tobytes())
+                                    for b, x, y, m in packed(_rare_key(c, h) % buckets, h, c, n.astype(np.int32))], columns=PACKED)
 
         for batch in batches:
             for text in batch["text"]:
-                held.append(_pairs(_tokens(numbers, text), w))
-                size += len(held[-1])
+                h, c = _pairs(_tokens(numbers, text), w)
+                rare = (h >= RARE_BIT) | (c >= RARE_BIT)
+                held.append(h[~rare] * w.classes + c[~rare])
+                if rare.any():
+                    far.append(np.array([h[rare], c[rare]]))
+                size += len(c)
                 if size >= flush:
-                    yield out()
+                    yield from out()
                     size = 0
         if held:
-            yield out()
+            yield from out()
     return run
 
 
 def _sum_pairs(classes: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in frame["keys"]])
-        n = np.concatenate([np.frombuffer(b, np.int32) for b in frame["n"]]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        keys = keys[first]
-        return pd.DataFrame({"bucket": np.int32(frame["bucket"].iloc[0]), "history": (keys // classes).astype(np.int32),
-                             "word": (keys % classes).astype(np.int32), "n": np.add.reduceat(n, first)})
+        rare = frame["words"].notna().to_numpy()
+        out = []
+        for some, is_rare in ((frame[~rare], False), (frame[rare], True)):
+            if not len(some):
+                continue
+            n = np.concatenate([np.frombuffer(b, np.int32) for b in some["n"]]).astype(np.int64)
+            if is_rare:
+                h, c, n = _unique_pairs(*(np.concatenate([np.frombuffer(b, np.int64) for b in some[x]]) for x in ("keys", "words")), n)
+                _, place = np.unique(c, return_inverse=True)
+                total = np.where(c >= RARE_BIT, np.bincount(place, n)[place].astype(np.int64), 0)
+            else:
+                keys = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in some["keys"]])
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], n[order]
+                first = np.flatnonzero(np.diff(keys, prepend=-1))
+                keys, n = keys[first], np.add.reduceat(n, first)
+                h, c, total = keys // classes, keys % classes, np.zeros(len(keys), np.int64)
+            out.append(pd.DataFrame({"bucket": np.int32(frame["bucket"].iloc[0]), "rare": is_rare, "history": h, "word": c,
+                                     "n": n, "c": total}))
+        return pd.concat(out)
     return run
 
 
 @dataclass
 class Model:
-    """Stored count tables and the bounded per-class tables."""
+    """Stored count tables and the bounded tables of numbered words."""
 
     unigrams: DataFrame  # bucket, word, n
-    bigrams: DataFrame  # bucket, history, word, n
+    bigrams: DataFrame  # bucket, rare (whether one of the words is), history, word, n, c (of a rare word)
     buckets: int
     words: Words
     d: np.ndarray
@@ -223,40 +278,53 @@ def train(docs: DataFrame, cfg: Config = Config()) -> Model:
     unigrams = _summed(docs.mapInPandas(_count_words, "word long, n long"), "word", parts, "katz-unigrams")
     total = unigrams.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
     tokens = total.tokens or 0
-    least = max(1.0, cfg.share * tokens)
+    fold, floor = cfg.share > 0, (cfg.share or cfg.top) * tokens
+    least = max(1.0, floor)
     known = unigrams.where(F.col("n") >= least).select("word", "n").toPandas().sort_values("word")
-    hapaxes = unigrams.where((F.col("n") == 1) & (F.col("n") < least)).count()
-    words = Words(known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64), tokens, total.distinct, hapaxes)
+    hapaxes = unigrams.where((F.col("n") == 1) & (F.col("n") < least)).count() if fold else 0
+    sums = (unigrams.where(F.col("n") >= least) if fold else unigrams).groupBy(
+        F.least("n", F.lit(GOOD_TURING + 2)).alias("r")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+    d1 = discounts({r.r: r.words for r in sums})
+    rest = 1 - sum(float(d1[min(r.r, GOOD_TURING + 1)]) * r.n for r in sums) / (tokens + 1)
+    words = Words(known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64), tokens, total.distinct, hapaxes,
+                  fold, d1, rest)
     buckets = max(parts, ceil(tokens / cfg.bucket_tokens))
     shared = spark.sparkContext.broadcast(words)
-    packed = docs.mapInPandas(_counter_of_pairs(shared, buckets, cfg.flush_tokens), "bucket int, keys binary, n binary")
+    packed = docs.mapInPandas(_counter_of_pairs(shared, buckets, cfg.flush_tokens), "bucket int, keys binary, words binary, n binary")
     bigrams = store(packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
-        _sum_pairs(words.classes), "bucket int, history int, word int, n long"), "katz-bigrams", by="bucket")
+        _sum_pairs(words.classes), "bucket int, rare boolean, history long, word long, n long, c long"), "katz-bigrams", by="bucket")
     counts = {r.r: r.n for r in bigrams.groupBy(F.least("n", F.lit(GOOD_TURING + 2)).alias("r")).agg(
         F.count("*").alias("n")).collect()}
     d = discounts(counts)
     history, alpha, scale = _backoff(spark, bigrams, words, d)
-    top = bigrams.where(F.col("n") >= least).select(
-        (F.col("history").cast("long") * words.classes + F.col("word")).alias("k"), "n").toPandas().sort_values("k") \
-        if tokens * cfg.share >= 1 else pd.DataFrame({"k": [], "n": []})
+    top = bigrams.where(~F.col("rare") & (F.col("n") >= least)).select(
+        (F.col("history") * words.classes + F.col("word")).alias("k"), "n").toPandas().sort_values("k") \
+        if floor >= 1 else pd.DataFrame({"k": [], "n": []})
     return Model(unigrams, bigrams, buckets, words, d, history, alpha, scale,
                  top["k"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
 
 
 def _backoff(spark, bigrams: DataFrame, words: Words, d: np.ndarray):
-    """Per history: count, alpha, and scale; one row per class at most comes to the driver."""
+    """Per numbered history: count, alpha, and scale; one row each comes to the driver."""
     p1 = words.unigram()
-    table = spark.createDataFrame(pd.DataFrame({"word": np.arange(len(p1), dtype=np.int32), "p": p1}))
-    cut = F.lit(1.0)
-    for r in range(1, GOOD_TURING + 1):
-        cut = F.when(F.col("n") == r, F.lit(float(d[r]))).otherwise(cut)
-    rows = bigrams.join(F.broadcast(table), "word").groupBy("history").agg(
-        F.sum("n").alias("c"), F.sum(cut * F.col("n")).alias("kept"), F.sum("p").alias("p"),
+    table = spark.createDataFrame(pd.DataFrame({"word": np.arange(len(p1)), "p": p1}))
+
+    def kept(d: np.ndarray, n: str):
+        cut = F.lit(1.0)
+        for r in range(1, GOOD_TURING + 1):
+            cut = F.when(F.col(n) == r, F.lit(float(d[r]))).otherwise(cut)
+        return cut * F.col(n)
+
+    ended = bigrams.where("not rare").join(F.broadcast(table), "word").select("history", "n", "p").unionByName(
+        bigrams.where(F.col("rare") & (F.col("history") < RARE_BIT)).select(
+            "history", "n", (kept(words.d1, "c") / (words.tokens + 1.0)).alias("p")))
+    rows = ended.groupBy("history").agg(
+        F.sum("n").alias("c"), F.sum(kept(d, "n")).alias("kept"), F.sum("p").alias("p"),
         F.count("*").alias("seen")).toPandas()
     history, alpha, scale = np.zeros(words.classes), np.ones(words.classes), np.ones(words.classes)
     at, c = rows["history"].to_numpy(np.int64), rows["c"].to_numpy(float)
     mass = rows["kept"].to_numpy(float) / (c + 1)
-    every = rows["seen"].to_numpy() >= words.classes - 1
+    every = words.fold & (rows["seen"].to_numpy() >= words.classes - 1)
     history[at] = c
     alpha[at] = np.where(every, 1.0, (1 - mass) / np.where(every, 1.0, np.maximum(1 - rows["p"].to_numpy(float), 1e-15)))
     scale[at] = np.where(every, 1 / mass, 1.0)
@@ -283,6 +351,7 @@ class Tables:
         return np.log10(p) - np.log10(self.alpha[h]) - np.log10(self.words.unigram()[w])
 
 
+PACKED = ["bucket", "keys", "words", "n"]
 OUT = ["kind", "bucket", "grp", "base", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "keys", "docs"]
 
 
@@ -293,19 +362,20 @@ def _send(tables, flush: int):
         w = t.words
         numbers = w.numbering()
         log_p, log_a = np.log10(w.unigram()), np.log10(t.alpha)
+        fold = w.fold
         floor = np.log10(w.tokens + 0.1 * (w.distinct + 1))
         log_c = np.log10(w.counts + 0.1) - floor
         gains = t.gain(t.frequent, t.frequent_n) if len(t.frequent) else np.zeros(0)
         base = uid = TaskContext.get().partitionId() << 36
-        held, size, docs = {PAIRS: [], WORDS: []}, 0, []
+        held, size, docs = {PAIRS: [], WORDS: [], RARES: []}, 0, []
 
         def requests():
             rows = []
             for kind, some in held.items():
                 if some:
-                    keys = np.concatenate([k for _, k in some])
-                    at = np.repeat(np.array([d for d, _ in some], np.int32), [len(k) for _, k in some])
-                    bucket = keys % t.buckets
+                    keys = np.concatenate([k for _, k, _ in some])
+                    at = np.repeat(np.array([d for d, _, _ in some], np.int32), [len(k) for _, k, _ in some])
+                    bucket = (np.concatenate([k for _, _, k in some]) if kind == RARES else keys) % t.buckets
                     order = np.argsort(bucket.astype(np.int32), kind="stable")
                     keys, at = keys[order], at[order]
                     edges = np.searchsorted(bucket[order], np.arange(t.buckets + 1))
@@ -317,9 +387,11 @@ def _send(tables, flush: int):
         for batch in batches:
             for doc_id, held_out, text in batch.itertuples(index=False):
                 a = _tokens(numbers, text)
-                pairs = _pairs(a, w)
+                h, c = _pairs(a, w)
                 known = a < RARE_BIT
-                score = log_p[pairs % w.classes].sum() + log_a[pairs // w.classes].sum()
+                rare = (h >= RARE_BIT) | (c >= RARE_BIT)
+                score = log_p[c if fold else c[known]].sum() + log_a[h if fold else h[h < RARE_BIT]].sum()
+                pairs = h[~rare] * w.classes + c[~rare]
                 if len(t.frequent):
                     at = np.minimum(np.searchsorted(t.frequent, pairs), len(t.frequent) - 1)
                     hit = t.frequent[at] == pairs
@@ -327,9 +399,12 @@ def _send(tables, flush: int):
                     pairs = pairs[~hit]
                 docs.append((DOCS, uid % t.buckets, base, uid, doc_id, held_out, len(a), int(known.sum()),
                              float(log_c[a[known]].sum()), float(score), None, None))
-                held[PAIRS].append((uid - base, pairs))
+                held[PAIRS].append((uid - base, pairs, pairs))
                 if not known.all():
-                    held[WORDS].append((uid - base, a[~known]))
+                    held[WORDS].append((uid - base, a[~known], a[~known]))
+                if rare.any():
+                    h, c = h[rare], c[rare]
+                    held[RARES].append((uid - base, _pair_key(h, c), _rare_key(h, c)))
                 uid += 1
                 size += len(a)
                 if size >= flush:
@@ -342,6 +417,44 @@ def _send(tables, flush: int):
     return run
 
 
+class _Rares:
+    """The rare bigrams of a bucket: their gains, and log alpha of its rare histories."""
+
+    def __init__(self, t: Tables, rows: pd.DataFrame):
+        w = t.words
+        h, c, n, total = (rows[x].to_numpy(np.int64) for x in ("key", "other", "n", "c"))
+        p = w.word_p(total)
+        p[c < RARE_BIT] = w.unigram()[c[c < RARE_BIT]]
+        kept = discount(t.d, n) * n
+        far = h >= RARE_BIT
+        self.histories, place = np.unique(h[far], return_inverse=True)
+        seen = np.bincount(place, n[far], len(self.histories))
+        left = 1 - np.bincount(place, kept[far], len(self.histories)) / (seen + 1)
+        alpha = left / np.maximum(1 - np.bincount(place, p[far], len(self.histories)), 1e-15)
+        self.log_alpha = np.log10(alpha)
+        count, log_a = np.zeros(len(h)), np.zeros(len(h))
+        count[far], log_a[far] = seen[place], self.log_alpha[place]
+        count[~far], log_a[~far] = t.history[h[~far]], np.log10(t.alpha[h[~far]])
+        gain = np.log10(kept / (count + 1)) - log_a - np.log10(p)
+        keys = _pair_key(h, c)
+        order = np.argsort(keys)
+        self.keys, self.gain = keys[order], gain[order]
+
+    @staticmethod
+    def _find(have: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(have):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        hit = have[at] == keys
+        return hit, np.where(hit, values[at], 0.0)
+
+    def gains(self, keys):
+        return self._find(self.keys, self.gain, keys)
+
+    def alphas(self, keys):
+        return self._find(self.histories, self.log_alpha, keys)[1]
+
+
 def _meet(tables):
     """Requests of a bucket meet its stored counts; one packed row per flush of a task goes on."""
     def run(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
@@ -351,7 +464,8 @@ def _meet(tables):
         none = np.full(len(own), None)
         out = [own.rename(columns={"base": "uid"}).assign(uids=none, sums=none)]
         floor = np.log10(w.tokens + 0.1 * (w.distinct + 1))
-        for kind in (PAIRS, WORDS):
+        rares = _Rares(t, stored[stored["kind"] == RARES])
+        for kind in (PAIRS, WORDS, RARES):
             rows, have = asked[asked["kind"] == kind], stored[stored["kind"] == kind]
             if not len(rows):
                 continue
@@ -362,12 +476,19 @@ def _meet(tables):
             known, n = known[order], n[order]
             at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
             hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-            if kind == PAIRS:
+            if kind == RARES:
+                hit, add = rares.gains(keys)
+                keys, docs, add = keys[hit], docs[hit], add[hit]
+                base, seen = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+            elif kind == PAIRS:
                 keys, docs, c = keys[hit], docs[hit], n[at[hit]]
                 add, base, seen = t.gain(keys, c), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
             else:
                 c = np.where(hit, n[at], 0) if len(known) else np.zeros(len(keys), np.int64)
-                add = np.log10(np.where(hit, c, w.hapaxes + 1) / w.rare_total())
+                if w.fold:
+                    add = np.log10(np.where(hit, c, w.hapaxes + 1) / w.rare_total())
+                else:
+                    add = np.log10(np.where(hit, w.word_p(c), w.rest)) + rares.alphas(keys)
                 base, seen = np.log10(c + 0.1) - floor, hit.astype(np.int64)
             uid, place = np.unique(docs, return_inverse=True)
             sums = np.array([np.bincount(place, x, len(uid)) for x in (seen, base, add)])
@@ -403,15 +524,21 @@ def score(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
     counts = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text").mapInPandas(
         _send(shared, cfg.flush_tokens), f"kind int, bucket int, grp long, base long, {counts}, keys binary, docs binary")
-    pairs = F.col("history").cast("long") * w.classes + F.col("word")
-    stored = model.bigrams.select("bucket", F.lit(PAIRS).alias("kind"), pairs.alias("key"), "n").unionByName(
-        model.unigrams.select(F.pmod("word", F.lit(model.buckets)).cast("int").alias("bucket"), F.lit(WORDS).alias("kind"),
-                              F.col("word").alias("key"), "n"))
+    floor = (cfg.share or cfg.top) * w.tokens
+    none = [F.lit(0).cast("long").alias(x) for x in ("other", "c")]
+    pairs = model.bigrams.where("not rare").select(
+        "bucket", F.lit(PAIRS).alias("kind"), (F.col("history") * w.classes + F.col("word")).alias("key"), "n", *none)
+    words = model.unigrams.select(F.pmod("word", F.lit(model.buckets)).cast("int").alias("bucket"),
+                                  F.lit(WORDS).alias("kind"), F.col("word").alias("key"), "n", *none)
+    rares = model.bigrams.where("rare").select(
+        F.pmod(F.when(F.col("history") >= RARE_BIT, F.col("history")).otherwise(F.col("word")), F.lit(model.buckets))
+        .cast("int").alias("bucket"), F.lit(RARES).alias("kind"), F.col("history").alias("key"), "n",
+        F.col("word").alias("other"), "c")
     if len(w.keys):
-        least = max(1.0, cfg.share * w.tokens)
-        stored = stored.where((F.col("kind") == PAIRS) | (F.col("n") < least))
+        words = words.where(F.col("n") < max(1.0, floor))
     if len(model.frequent):
-        stored = stored.where((F.col("kind") == WORDS) | (F.col("n") < cfg.share * w.tokens))
+        pairs = pairs.where(F.col("n") < floor)
+    stored = pairs.unionByName(words).unionByName(rares)
     met = asked.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInPandas(
         _meet(shared), f"grp long, uid long, {counts}, uids binary, sums binary")
     return met.groupBy("grp").applyInPandas(_add, counts).select(

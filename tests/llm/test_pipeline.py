@@ -72,3 +72,25 @@ def test_whole_pipeline(spark):
     out = corpus_pipeline.run(spark, PATH).select("doc_id").distinct()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-duplicates", "decontamination", "secrets", "packing"]
     assert 0 < out.count() < docs.count() and out.subtract(docs).count() == 0
+
+
+def test_edited_copies_go_in_the_near_duplicate_stage(spark, odd):
+    words = [f"u{i}" for i in range(100)]
+    chain = [" ".join(words[k:] + [f"v{i}" for i in range(k)]) for k in (20, 10, 0)]  # least id far from the last, joined by the middle
+    docs = odd.unionByName(spark.createDataFrame([(9001 + i, t, "en", "s", 1, "k") for i, t in enumerate(chain)], odd.schema))
+    rows = docs.collect()
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := simhash.words_of(r.text)) else set() for r in rows]
+    group, near = list(range(len(rows))), 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) >= 0.8 * len(x | y):
+                near += bin((simhash.fingerprint(rows[i].text) ^ simhash.fingerprint(rows[j].text)) & (2**64 - 1)).count("1") > 2
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for g, r in zip(group, rows):
+        if r.doc_id is not None:
+            least[g] = min(r.doc_id, least.get(g, r.doc_id))
+    out = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, PATH)
+    assert near > 2 and out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted(least[g] for g in set(group))

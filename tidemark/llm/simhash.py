@@ -83,7 +83,7 @@ def classes(docs: DataFrame) -> DataFrame:
         "doc_id", "fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, classes=classes, print_udf=fingerprint_udf) -> DataFrame:
     """One row of each near-duplicate class: the row with its least doc_id.
 
     Of repeated rows with that id one stays; a class whose ids are all null keeps one row too.
@@ -94,7 +94,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias(key), F.col("fp").alias(at), F.col("root").alias(mark)).distinct()
     some = docs.join(kept.where(F.col(key).isNotNull()), F.col("doc_id") == F.col(key)).where(
-        fingerprint_udf("text") == F.col(at)).dropDuplicates([key, mark])
-    none = docs.where("doc_id is null").withColumn(at, fingerprint_udf("text")).join(
+        print_udf("text") == F.col(at)).dropDuplicates([key, mark])
+    none = docs.where("doc_id is null").withColumn(at, print_udf("text")).join(
         kept.where(F.col(key).isNull()), at).dropDuplicates([mark])
     return some.select(docs.columns).unionByName(none.select(docs.columns))

@@ -21,3 +21,10 @@ def test_entry_without_the_text_subpackage(tmp_path):
     assert out.returncode == 0, out.stderr[-800:]
     n, *flags = out.stdout.split()
     assert int(n) > 200 and flags == ["False", "False", "True"]
+
+
+def test_all_declared_references_are_checked(spark):
+    from __spark_entry__ import queries
+    from tidemark.schema import TABLES
+    got = {(r.table_name, r.rule) for r in queries()["v9_foreign_keys_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {(n, f"{c} missing from {ref}") for n, t in TABLES.items() for c, ref, _ in t.references}

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 MODULES = ("q_toxicity", "q_simhash", "q_decontaminate", "q_secrets", "q_packing", "q_langid", "q_quality", "q_html", "q_license",
-           "q_katz", "q_prefix", "q_alignment")
+           "q_katz", "q_prefix", "q_alignment", "q_collocations")
 
 
 def query(name: str, sql: str | None = None):

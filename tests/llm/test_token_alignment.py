@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from tidemark.llm.q_packing import tokenizer_path
 
 A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
 TEXTS = ["a", " ", "a ", "  a  b \n c ", "a\n b\t c\n\n", "<|endoftext|> </s> <0x0A>", "bad ▁ mark", "", None, "wörd éü ñ 漢字 \U0001f600",
-         "don't stop, 12345 67,89!!", "\0 b", "same same", "same same", "x" * 3000, "one two three " * 900, "\x1c \x85 z", "a　 b"]
+         "don't stop, 12345 67,89!!", "\0 b", "same same", "same same", "x" * 3000, "one two three " * 900, "\x1c \x85 z", "a　 b",
+         "word,next word.\nBar |, Æ.x ß?! a.b ..| é|é ². x", "Ünder.Ünder,  ., x"]
 
 
 @pytest.fixture(scope="module")
@@ -119,7 +121,9 @@ def test_stretches_against_the_common_ends(seed):
     assert (i, j) == (len(a), len(b)) and ends == sorted(set(a) & set(b))
     straight = [x[0] for x in parts if a[x[0]] == b[x[1]]]
     assert all(y - x > 1 for x, y in zip(straight, straight[1:]))  # stretches are as long as they can be
-    _, left, right = ta.walk(a, b)
+    ends = ta.group_ends(np.array(a), np.array(b), parts)
+    assert [a[i - 1] for i in ends[0]] == [b[j - 1] for j in ends[1]] == sorted(set(a) & set(b))
+    left, right = (x.tolist() for x in ta.links(np.array(a), np.array(b)))
     starts = [[0] + x[:-1] for x in (a, b)]
     assert list(zip(left, right)) == [(x, y) for x in range(len(a)) for y in range(len(b))
                                       if starts[0][x] < b[y] and starts[1][y] < a[x]]

@@ -8,7 +8,8 @@ the difference of their steps becomes the new shift. Groups and links (token pai
 byte ranges) come from the same walk.
 
 Ids come from the public tokenizers. Texts are cut before spaces that stand behind a visible
-character, where both always cut, and the ids of these parts are kept in a bounded cache.
+character and between plain words and marks, where both always cut; the ids of these parts are kept in a
+bounded cache, and unknown parts of some texts are encoded in one call.
 
 Corpus counts. `align` stores, for each document, its distinct id pairs with their numbers. Their
 sums are the corpus counts (pre-aggregated in each task, so a pair that every document holds is one
@@ -25,12 +26,15 @@ the length of a text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,11 +47,14 @@ from tidemark.llm.common import Memo, store
 from tidemark.llm.packing import LETTERS
 
 SPACE = "▁"
-#: Parts end before a space behind a visible character, or at the end of the text.
-PART = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")
+#: Letters and marks that both tokenizers always part (the second's pieces are checked when it is loaded).
+LETTER, MARK = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?|"
+PLAIN = re.compile(f" [{LETTER}]+")
+#: Parts end before a space behind a visible character, or between a plain word and a mark.
+PART = re.compile(rf" [{LETTER}]+(?=[ {MARK}]|\Z)|\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")
 #: A pair of ids is one number: the first id above the bits of the second.
 BITS = 15
-CACHE, FLUSH = 150_000, 2_000_000
+CACHE, FLUSH, TEXTS = 250_000, 2_000_000, 200
 ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, numbers binary"
 
 
@@ -77,27 +84,50 @@ class Encoders:
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.second.is_byte(i) else piece(i).replace(SPACE, " ").encode()
                         for i in range(size)]
         self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.names = list(map(str, range(max(len(self.bytes_a), size))))
-        self.parts = Memo(self._part, CACHE)
-
-    def _part(self, part: str) -> tuple[bytes, bytes, bool]:
-        a = self.first.encode(part, add_special_tokens=False).ids
-        b = self.second.encode(part[1:]) if len(part) > 1 else [self.second.piece_to_id(SPACE)]
-        whole = part.encode()
-        same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-        return np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), same
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both tokenizers for a space and the text, or None where a side's bytes differ from it."""
-        if not text or SPACE in text:
-            return None
-        a, b, same = zip(*map(self.parts.__getitem__, PART.findall(" " + text)))
-        a, b = np.frombuffer(b"".join(a), "<u4"), np.frombuffer(b"".join(b), "<u4")
-        if not all(same):
-            whole = (" " + text).encode()
-            if any(b"".join(map(table.__getitem__, ids.tolist())) != whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+        if any(re.search(f"[{LETTER}][{MARK}]", piece(i)) for i in range(size)) or len(self.second.encode("a")) != 1:
+            raise ValueError("a piece joins a letter and a mark")
+        digits = np.array([f"{i:05d}" for i in range(max(len(self.bytes_a), size))], "S5")
+        self.digits = digits.view(np.uint8).reshape(-1, 5)
+        self.parts = Memo(lambda part: self._encode([part])[0], CACHE)
+
+    def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of both sides of each part, as bytes."""
+        model, out, space = self.first.model.tokenize, [], [self.second.piece_to_id(SPACE)]
+        # The second tokenizer puts a space before what it is given; a part without one follows a letter.
+        given = [p[1:] if p[0] == " " else "a" + p for p in parts]
+        for part, b in zip(parts, self.second.encode(given, num_threads=1)):
+            if part[0] != " ":
+                b = b[1:]
+            if PLAIN.fullmatch(part):  # one part of the first tokenizer's own pattern
+                a = [t.id for t in model(part.encode().decode("latin-1").translate(LETTERS))]
+            else:
+                a = self.first.encode(part, add_special_tokens=False).ids
+            out.append((array("I", a).tobytes(), array("I", b or space).tobytes()))
+        return out
+
+    def _fill(self, parts: set[str]) -> None:
+        """Encode the parts that are not known, in one call."""
+        new = [p for p in parts if p not in self.parts and p not in self.parts.old]
+        if new:
+            found = dict(zip(new, self._encode(new)))
+            self.parts.fn = found.__getitem__
+            for part in new:
+                self.parts[part]
+            self.parts.fn = lambda part: self._encode([part])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both tokenizers for a space and each text, or None where a side's bytes differ from it."""
+        cut = [PART.findall(" " + t) if t and SPACE not in t else None for t in texts]
+        self._fill(set(chain.from_iterable(c for c in cut if c)))
+        return [None if c is None else self._ids(" " + t, c) for t, c in zip(texts, cut)]
+
+    def _ids(self, text: str, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        whole, out = text.encode(), []
+        for side, table in zip(zip(*map(self.parts.__getitem__, parts)), (self.bytes_a, self.bytes_b)):
+            out.append(np.frombuffer(b"".join(side), "<u4"))
+            if b"".join(map(table.__getitem__, out[-1].tolist())) != whole:
                 return None
-        return a, b
+        return tuple(out)
 
 
 @lru_cache(maxsize=2)
@@ -105,72 +135,82 @@ def encoders(path_a: str, path_b: str) -> Encoders:
     return Encoders(path_a, path_b)
 
 
-def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
+def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     """(i, j, n, m) in order: n == m > 0 and a[i:i+n] == b[j:j+n] for one-to-one stretches, else one irregular group.
 
     Both arrays rise and end with the same number.
     """
     i = j = 0
-    size = len(a)
+    size, out = len(a), []
     while i < size:
-        n, step = 0, 1
-        while step and a[i + n:i + n + step] == b[j + n:j + n + step]:
-            n += step
-            step = min(2 * step, size - i - n)
-        while step > 1:
-            step = (step + 1) // 2
-            if a[i + n:i + n + step] == b[j + n:j + n + step]:
+        if a[i] == b[j]:
+            n, step = 1, min(2, size - i - 1)
+            while step and a[i + n:i + n + step] == b[j + n:j + n + step]:
                 n += step
-        if n:
-            yield i, j, n, n
-            i, j = i + n, j + n
+                step = min(2 * step, size - i - n)
+            while step > 1:
+                step = (step + 1) // 2
+                if a[i + n:i + n + step] == b[j + n:j + n + step]:
+                    n += step
+            out.append((i, j, n, n))
+            i += n
+            j += n
             if i >= size:
-                return
-        p, q = i, j
-        while a[p] != b[q]:
-            if a[p] < b[q]:
+                break
+        p, q, x, y = i, j, a[i], b[j]
+        while x != y:
+            if x < y:
                 p += 1
+                x = a[p]
             else:
                 q += 1
-        yield i, j, p - i + 1, q - j + 1
+                y = b[q]
+        out.append((i, j, p - i + 1, q - j + 1))
         i, j = p + 1, q + 1
+    return out
 
 
-def walk(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
-    """End arrays -> stretches and irregular groups in order, and the linked indices of both sides."""
-    parts, left, right = list(stretches(a, b)), [], []
-    for i, j, n, m in parts:
-        if a[i] == b[j]:
-            left += range(i, i + n)
-            right += range(j, j + n)
-            continue
-        p, q, last = i, j, i + n + j + m - 2
-        left.append(p)
-        right.append(q)
-        while p + q < last:
-            p, q = (p + 1, q) if a[p] < b[q] else (p, q + 1) if a[p] > b[q] else (p + 1, q + 1)
-            left.append(p)
-            right.append(q)
-    return parts, left, right
-
-
-def digest(enc: Encoders, text: str | None) -> tuple:
+def group_ends(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Index ends of all groups on both sides, one-to-one stretches unfolded."""
+    i, j, n, m = np.array(parts, np.int64).T
+    straight = a[i] == b[j]
+    times = np.where(straight, n, 1)
+    return np.repeat(np.where(straight, 1, n), times).cumsum(), np.repeat(np.where(straight, 1, m), times).cumsum()
+
+
+def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked indices of both sides: between two neighbouring ends of either side lies one token of each."""
+    ends = np.union1d(a, b)
+    return np.searchsorted(a, ends), np.searchsorted(b, ends)
+
+
+def shown(digits: np.ndarray, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
+    """The groups as text: "a1,a2|b1;a3|b2,b3"."""
+    size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+    ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    at_a = np.arange(len(a)) + np.repeat(ends_b - size_b, size_a)
+    at_b = np.arange(len(b)) + np.repeat(ends_a, size_b)
+    ids[at_a], ids[at_b] = a, b
+    mark[at_a[ends_a - 1]] = ord("|")
+    mark[at_b[ends_b - 1]] = ord(";")
+    text = np.empty((len(ids), 6), np.uint8)
+    text[:, :5], text[:, 5] = digits[ids], mark
+    keep = np.ones(text.shape, bool)  # without leading zeros
+    for k, least in enumerate((10_000, 1_000, 100, 10)):
+        keep[:, k] = ids >= least
+    return text[keep][:-1].tobytes()
+
+
+def digest(enc: Encoders, ids: tuple[np.ndarray, np.ndarray] | None) -> tuple:
     """n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs and their numbers (both as bytes)."""
-    ids = enc.encode(text)
     if ids is None:
         return 0, 0, 0, 0, "", b"", b""
     a, b = ids
-    ends_a, ends_b = enc.size_a[a].cumsum().tolist(), enc.size_b[b].cumsum().tolist()
-    parts, left, right = walk(ends_a, ends_b)
-    names = enc.names.__getitem__
-    text_a, text_b, shown = list(map(names, a.tolist())), list(map(names, b.tolist())), []
-    for i, j, n, m in parts:
-        if ends_a[i] == ends_b[j]:
-            shown += map("|".join, zip(text_a[i:i + n], text_b[j:j + n]))
-        else:
-            shown.append(",".join(text_a[i:i + n]) + "|" + ",".join(text_b[j:j + m]))
+    ends_a, ends_b = enc.size_a[a].cumsum(), enc.size_b[b].cumsum()
+    groups = group_ends(ends_a, ends_b, stretches(ends_a.tolist(), ends_b.tolist()))
+    left, right = links(ends_a, ends_b)
     pairs, numbers = np.unique(a[left] << np.uint32(BITS) | b[right], return_counts=True)
-    return (len(a), len(b), len(shown), len(left), sha256(";".join(shown).encode()).hexdigest(),
+    return (len(a), len(b), len(groups[0]), len(left), sha256(shown(enc.digits, a, b, *groups)).hexdigest(),
             pairs.astype("<u4").tobytes(), numbers.astype("<u4").tobytes())
 
 
@@ -179,11 +219,12 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     names = StructType.fromDDL(ROW).names[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the caches hold hundreds of thousands of tuples and no cycles
         enc = encoders(path_a, path_b)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                rows = [digest(enc, t.as_py()) for t in some["text"]]
+            for lo in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(lo, TEXTS)
+                rows = [digest(enc, ids) for ids in enc.encode_all(some["text"].to_pylist())]
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [some["row"], some["doc_id"], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], ["row", "doc_id", *names])
@@ -199,21 +240,15 @@ def groups_column(path_a: str, path_b: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoders(path_a, path_b)
 
-        def one(text):
-            ids = enc.encode(text)
+        def one(ids):
             if ids is None:
                 return []
-            a, b = (x.tolist() for x in ids)
-            ends_a, ends_b = enc.size_a[ids[0]].cumsum().tolist(), enc.size_b[ids[1]].cumsum().tolist()
-            out = []
-            for i, j, n, m in stretches(ends_a, ends_b):
-                if ends_a[i] == ends_b[j]:
-                    out += [{"a": [x], "b": [y]} for x, y in zip(a[i:i + n], b[j:j + n])]
-                else:
-                    out.append({"a": a[i:i + n], "b": b[j:j + m]})
-            return out
+            a, b = ids
+            ends_a, ends_b = enc.size_a[a].cumsum(), enc.size_b[b].cumsum()
+            groups = group_ends(ends_a, ends_b, stretches(ends_a.tolist(), ends_b.tolist()))
+            return [{"a": x, "b": y} for x, y in zip(*(np.split(v.astype("i4"), g[:-1]) for v, g in zip(ids, groups)))]
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=object)
+            yield pd.Series([one(ids) for ids in enc.encode_all(texts.tolist())], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, schema).asNondeterministic()

@@ -18,6 +18,7 @@ from tidemark.functions.cols import (
     ts,
 )
 from tidemark.functions.numeric import p_chi2, p_normal, p_student, q_normal, q_student
+from tidemark.operators.replicates import smallest_sums, split_sums
 
 # The analysis plan.
 ALPHA, MIN_EFFECT, REVENUE_DAYS, MIN_UNITS = 0.05, 0.02, 90, 30
@@ -359,53 +360,36 @@ def business_translation(results: DataFrame, units: int | Column, duration_days:
 # ------------------------------------------------------------------ resampling checks
 def permutation_test(units: DataFrame, outcome: str, replicates: int, seed: int = 0
                      ) -> DataFrame:
-    """Randomisation p-value with arm sizes fixed.
-
-    Each replicate treats the n_t units with the smallest hash. The cut is found from hash-bucket
-    counts, and only the bucket holding the cut is ranked, so no replicate is sorted whole. Units
-    are grouped by (hash bucket, outcome) before anything is compared.
-    """
-    y = F.col(outcome).cast("double")
-    base = units.agg(F.count(F.lit(1)).alias("n"), F.count_if("treated").alias("n_t"),
-                     F.sum(y).alias("total"), F.sum(F.when(F.col("treated"), y)).alias("s_t"))
-    h = F.xxhash64("prospect_id", "b", F.lit(seed))
-    buckets = 1024
-    drawn = units.select("prospect_id", y.alias("y"), F.explode(F.sequence(
-        F.lit(1), F.lit(replicates))).alias("b")).withColumn("h", h).withColumn(
-        "g", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
-    per = drawn.groupBy("b", "g").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("s"))
-    w = Window.partitionBy("b").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    per = (per.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-           .withColumn("_j", F.lit(1)).join(F.broadcast(base.withColumn("_j", F.lit(1))), "_j"))
-    whole = per.groupBy("b").agg(
-        F.sum(F.when(F.col("before") + F.col("c") <= F.col("n_t"), F.col("s"))).alias("full"),
-        F.max("n").alias("n"), F.max("n_t").alias("n_t"), F.max("total").alias("total"),
-        F.max("s_t").alias("s_t"))
-    cut = per.where((F.col("before") < F.col("n_t"))
-                    & (F.col("before") + F.col("c") > F.col("n_t"))).select(
-        "b", "g", (F.col("n_t") - F.col("before")).alias("need"))
-    r = F.row_number().over(Window.partitionBy("b", "g").orderBy("h", "prospect_id"))
-    edge = drawn.join(cut, ["b", "g"]).withColumn("r", r).where("r <= need").groupBy("b").agg(
-        F.sum("y").alias("edge"))
-    j = whole.join(edge, "b", "left")
-    s = F.coalesce("full", F.lit(0.0)) + F.coalesce("edge", F.lit(0.0))
-    diff = F.abs(s / F.col("n_t") - (F.col("total") - s) / (F.col("n") - F.col("n_t")))
-    observed = F.abs(F.col("s_t") / F.col("n_t")
-                     - (F.col("total") - F.col("s_t")) / (F.col("n") - F.col("n_t")))
-    return j.agg(F.count(F.lit(1)).alias("replicates"),
-                 ((F.count_if(diff >= observed - 1e-12) + 1) / (F.count(F.lit(1)) + 1))
-                 .alias("p_value"))
+    """Randomisation p-value with arm sizes fixed: each replicate treats the units with the
+    smallest hashes (``replicates.smallest_sums``)."""
+    y = F.when(F.col(outcome).isNotNull(), F.col(outcome).cast("double"))
+    t = F.col("treated")
+    base = units.agg(F.count(y).alias("n"), F.count(F.when(t, y)).alias("n_t"), F.sum(y).alias("total"),
+                     F.sum(F.when(t, y)).alias("s_t")).first()
+    n, n_t, total = base["n"], base["n_t"], base["total"]
+    schema = "replicates long, p_value double"
+    if not 0 < n_t < n:
+        return units.sparkSession.createDataFrame([(replicates, None)], schema)
+
+    def distance(treated_sum):
+        return abs(treated_sum / n_t - (total - treated_sum) / (n - n_t))
+
+    sums = smallest_sums(units, "prospect_id", outcome, replicates, n_t, seed)
+    extreme = int((distance(sums) >= distance(base["s_t"]) - 1e-12).sum())
+    return units.sparkSession.createDataFrame(
+        [(replicates, (extreme + 1) / (replicates + 1))], schema)
 
 
 def aa_check(units: DataFrame, outcome: str, replicates: int, share: float = 0.5,
-             alpha: float = ALPHA) -> DataFrame:
+             alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """How often re-randomised arms with no effect would be called different."""
     z = NormalDist().inv_cdf(1 - alpha / 2)
-    salted = F.concat(F.lit("aa"), F.col("replicate").cast("string"))
-    drawn = units.select("prospect_id", F.col(outcome).cast("double").alias("y"), F.explode(
-        F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    drawn = drawn.withColumn("treated", bucket(salted, F.col("prospect_id")) < share)
-    est = two_proportions(arm_sums(drawn, {"y": F.col("y")}, ["replicate"]), z)
+    n, total, count, hits = split_sums(units, "prospect_id", outcome, replicates, share, seed)
+    arms = units.sparkSession.createDataFrame(
+        [(k, float(n - c), float(total - s), float(c), float(s)) for k, (c, s) in enumerate(zip(count, hits))],
+        "replicate int, n_c double, x_c double, n_t double, x_t double")  # a row per replicate
+    est = two_proportions(arms.withColumn("m_c", ratio(F.col("x_c"), F.col("n_c"), None)).withColumn(
+        "m_t", ratio(F.col("x_t"), F.col("n_t"), None)), z)
     reject = F.abs("z") > z
     rate = F.avg(flag(reject))
     half = Z95 * F.sqrt(rate * (1 - rate) / F.count(F.lit(1)))

@@ -18,6 +18,7 @@ from tidemark.operators.ranking import (
     running_totals,
     score_bounds,
 )
+from tidemark.operators.replicates import interval_table, resample
 
 Policies = Mapping[str, str]
 
@@ -342,49 +343,22 @@ def band(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
 
 
 # ------------------------------------------------------------------ resampling
-def poisson_weight(cluster: Column, replicate: Column, seed: int) -> Column:
-    """Poisson(1) resampling weight of a cluster in a replicate, from a hash (no state).
-
-    Replaces drawing clusters with replacement: the counts of a multinomial draw are close to
-    independent Poisson(1) counts, and a hash gives the same weight wherever the row lives.
-    """
-    u = (F.xxhash64(cluster, replicate, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))
-         / F.lit(float(1 << 52)))
-    out, cum, term = F.lit(0), 0.0, 0.36787944117144233  # e^-1
-    for k in range(12):
-        cum += term
-        out = out + F.when(u >= F.lit(cum), 1).otherwise(0)
-        term /= k + 1
-    return out
-
-
 def cluster_bootstrap(df: DataFrame, scores: Policies, label: str, cluster: str,
-                      replicates: int = 200, seed: int = 0) -> DataFrame:
-    """Percentile intervals of AUC and average precision and of their paired differences.
+                      replicates: int = 200, seed: int = 0, references: Sequence[str] = ()
+                      ) -> DataFrame:
+    """Percentile intervals of AUC and average precision, and of differences to the references."""
+    r = resample(df, scores, label, cluster, replicates, seed)
+    return interval_table(df.sparkSession, list(scores), {
+        "roc_auc": r.roc_auc(), "average_precision": r.average_precision()}, references)
 
-    Rows are first reduced to (cluster, score, label) counts; the replicates are a bounded
-    fan-out that is summed map-side by (replicate, model, score).
-    """
-    bounds = score_bounds(df, list(dict.fromkeys(scores.values())))
-    rows = long_scores(df, scores, [cluster, label], "model").groupBy(
-        cluster, "model", "score").agg(F.count(F.lit(1)).alias("c"), F.sum(_y(label)).alias("y"))
-    drawn = (rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-             .withColumn("w", poisson_weight(F.col(cluster), F.col("replicate"), seed))
-             .where("w > 0"))
-    keys = ["replicate", "model"]
-    g = drawn.groupBy(*keys, "score").agg(F.sum(F.col("w") * F.col("c")).alias("n"),
-                                          F.sum(F.col("w") * F.col("y")).alias("pos"))
-    stats = roc_auc_from(running_totals(g, ["pos"], keys, bounds=bounds), keys)
-    a = stats.select("replicate", F.col("model").alias("model"), "roc_auc", "average_precision")
-    b = a.select("replicate", F.col("model").alias("reference"),
-                 F.col("roc_auc").alias("_r"), F.col("average_precision").alias("_p"))
-    diffs = a.join(b, "replicate").where("model <> reference").select(
-        "replicate", F.concat_ws(" minus ", "model", "reference").alias("model"),
-        (F.col("roc_auc") - F.col("_r")).alias("roc_auc"),
-        (F.col("average_precision") - F.col("_p")).alias("average_precision"))
-    return a.unionByName(diffs).groupBy("model").agg(
-        F.count(F.lit(1)).alias("replicates"),
-        F.percentile("roc_auc", 0.025).alias("roc_auc_low"),
-        F.percentile("roc_auc", 0.975).alias("roc_auc_high"),
-        F.percentile("average_precision", 0.025).alias("average_precision_low"),
-        F.percentile("average_precision", 0.975).alias("average_precision_high"))
+
+def value_bootstrap(df: DataFrame, scores: Policies, value: str, cluster: str,
+                    replicates: int = 200, seed: int = 0, references: Sequence[str] = ()
+                    ) -> DataFrame:
+    """Percentile intervals of the value metrics, and of differences to the references."""
+    r = resample(df, {**scores, "_oracle": value}, value, cluster, replicates, seed)
+    gini = r.gini()
+    stats = {"rmse": (r.squares / r.n) ** 0.5, "mae": r.errors / r.n,
+             "normalized_gini": gini / gini[-1], "capture_top10": r.top / r.v}
+    return interval_table(df.sparkSession, list(scores),
+                          {k: x[:-1] for k, x in stats.items()}, references)

@@ -27,13 +27,17 @@ def score_bounds(df: DataFrame, cols: str | Sequence[str], buckets: int | None =
                  ) -> list[float]:
     """Ascending bucket bounds of one or several numeric columns (a bounded sketch, one scan)."""
     cols = [cols] if isinstance(cols, str) else list(cols)
+    return sorted({b for per_col in column_bounds(df, cols, buckets) for b in per_col})
+
+
+def column_bounds(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> list[list[float]]:
+    """Bucket bounds of each column, in its own list (one scan)."""
     buckets = buckets or _default_buckets(df)
     if buckets < 2:
-        return []
+        return [[] for _ in cols]
     probs = [i / buckets for i in range(1, buckets)]
-    found = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).approxQuantile(
-        cols, probs, 1.0 / (4 * buckets))
-    return sorted({b for per_col in found for b in per_col})
+    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).approxQuantile(
+        list(cols), probs, 1.0 / (4 * buckets))
 
 
 def with_bucket(df: DataFrame, col: str, bounds: Sequence[float], name: str) -> DataFrame:

@@ -197,7 +197,13 @@ def m13(spark, sf):
 @query("m14_cluster_bootstrap")
 def m14(spark, sf):
     return rounded(m.cluster_bootstrap(score_frame(spark, sf), SCORES, "label", "cluster_id",
-                                       replicates=200, seed=7), 6)
+                                       replicates=200, seed=7, references=["score_b"]), 6)
+
+
+@query("m14_value_bootstrap")
+def m14_value(spark, sf):
+    return rounded(m.value_bootstrap(score_frame(spark, sf), SCORES, "value", "cluster_id",
+                                     replicates=200, seed=7, references=["score_b"]), 6)
 
 
 @query("m16_per_run_monitoring", with_views(f"""

@@ -22,6 +22,7 @@ from tidemark.operators.churn import (
     late_rows,
     when,
 )
+from tidemark.operators.clv import CLV_COLUMNS, clv_features
 from tidemark.operators.leads import check_rows, cutoff_overlap, events_of, frame_difference, truncated
 
 HORIZON_DAYS, MIN_HISTORY_DAYS = 180, 90
@@ -33,6 +34,7 @@ ORDER_FEATURES = (
     "store_order_share", "app_order_share")
 NUMERIC = ("email_opt_in", "tenure_days", *ORDER_FEATURES, "category_count", *SESSION_FEATURES,
            *EMAIL_FEATURES, *MEMBER_FEATURES, "support_contacts_180d", "low_csat_contacts_180d")
+FEATURES = (*NUMERIC, *CLV_COLUMNS)
 MONEY = ("revenue_total", *[f"revenue_{d}d" for d in WINDOWS], "avg_order_value",
          "max_order_value", "discount_share")
 
@@ -103,7 +105,7 @@ def future_revenue(base: DataFrame, orders: DataFrame, cutoffs: Sequence[str], h
 
 
 def build_features(tables: Mapping[str, DataFrame], cutoffs: Sequence[str]) -> DataFrame:
-    """One row per (run, customer); the CLV columns are added by ``clv.clv_features``."""
+    """One row per (run, customer), without the CLV columns (see ``build_rows``)."""
     orders = tables["orders"]
     parts = {"orders": order_runs(orders, cutoffs),
              "categories": category_runs(orders, tables["order_lines"], tables["products"], cutoffs),
@@ -118,16 +120,28 @@ def build_features(tables: Mapping[str, DataFrame], cutoffs: Sequence[str]) -> D
         .alias("category_count"), *activity_columns()).select(*KEYS, *CATEGORICAL, *NUMERIC)
 
 
+def build_rows(tables: Mapping[str, DataFrame], cutoffs: Sequence[str], horizon_days: int = HORIZON_DAYS
+               ) -> DataFrame:
+    """The whole feature row: history features and the CLV columns fitted to each run's history.
+
+    A customer without purchases before the run has no CLV.
+    """
+    return build_features(tables, cutoffs).join(
+        clv_features(tables["orders"], cutoffs, horizon_days), KEYS, "left")
+
+
 def build_dataset(tables: Mapping[str, DataFrame], cutoffs: Sequence[str],
-                  horizon_days: int = HORIZON_DAYS, data_start: str | None = None) -> DataFrame:
+                  horizon_days: int = HORIZON_DAYS, data_start: str | None = None,
+                  clv: bool = True) -> DataFrame:
+    """Whole feature rows (without the fitted CLV columns if asked) with the revenue of the outcome window."""
     if data_start is not None:
         from datetime import date, timedelta
         for c in cutoffs:
             if date.fromisoformat(c) - timedelta(days=MIN_HISTORY_DAYS) < date.fromisoformat(
                     data_start):
                 raise ValueError(f"run {c} has less than {MIN_HISTORY_DAYS} days of history")
-    return future_revenue(build_features(tables, cutoffs), tables["orders"], cutoffs,
-                          horizon_days)
+    rows = build_rows(tables, cutoffs, horizon_days) if clv else build_features(tables, cutoffs)
+    return future_revenue(rows, tables["orders"], cutoffs, horizon_days)
 
 
 def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs: Sequence[str],

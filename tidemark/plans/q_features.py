@@ -511,6 +511,12 @@ def a16(spark, sf):
     return rnd(value.build_features(ad.ledger(spark, sf), RUNS), VALUE_ROUND)
 
 
+@query("a16_value_rows_with_clv")
+def a16_clv(spark, sf):
+    rows = value.build_rows(ad.ledger(spark, sf), RUNS)
+    return rounded(rnd(rows, VALUE_ROUND), 4)
+
+
 @query("a18_conversion_within", with_views("""
 SELECT p.prospect_id, coalesce(customer_since < created_at + INTERVAL 60 DAY, false) AS converted
 FROM g_prospects p LEFT JOIN g_customers c USING (prospect_id)
@@ -596,7 +602,7 @@ def a23_poisoned(spark, sf):
     "no_single_feature_suspiciously_predictive")))
 def a24(spark, sf):
     t = ad.ledger(spark, sf)
-    data = value.build_dataset(t, RUNS)
+    data = value.build_dataset(t, RUNS, clv=False)
     return value.leakage_audit(t, data, RUNS, PROBE, 180, RUNS[:1], RUNS[2:])
 
 

@@ -253,7 +253,7 @@ RULES = ac.ActionRules(at_risk_p_alive=0.7, cross_sell_max_categories=5)
 
 def action_base(spark, sf):
     from tidemark.functions.lineage import cut
-    d = vl.build_dataset(ad.ledger(spark, sf), ["2000-07-01"])
+    d = vl.build_dataset(ad.ledger(spark, sf), ["2000-07-01"], clv=False)
     d = d.withColumn("pred", F.floor(F.col("revenue_total") / 50000) * 10).withColumn(
         "p_alive", 1.0 / (1 + F.col("days_since_last_order") / 200))
     # equal spend must tie whatever order the cents were added in

@@ -88,6 +88,7 @@ class Encoders:
             raise ValueError("a piece joins a letter and a mark")
         digits = np.array([f"{i:05d}" for i in range(max(len(self.bytes_a), size))], "S5")
         self.digits = digits.view(np.uint8).reshape(-1, 5)
+        self.changed: set[str] = set()  # parts that a tokenizer does not give back
         self.parts = Memo(lambda part: self._encode([part])[0], CACHE)
 
     def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
@@ -102,7 +103,10 @@ class Encoders:
                 a = [t.id for t in model(part.encode().decode("latin-1").translate(LETTERS))]
             else:
                 a = self.first.encode(part, add_special_tokens=False).ids
-            out.append((array("I", a).tobytes(), array("I", b or space).tobytes()))
+            b = b or space
+            if any(b"".join(map(table.__getitem__, ids)) != part.encode() for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+                self.changed.add(part)
+            out.append((array("I", a).tobytes(), array("I", b).tobytes()))
         return out
 
     def _fill(self, parts: set[str]) -> None:
@@ -122,12 +126,12 @@ class Encoders:
         return [None if c is None else self._ids(" " + t, c) for t, c in zip(texts, cut)]
 
     def _ids(self, text: str, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        whole, out = text.encode(), []
-        for side, table in zip(zip(*map(self.parts.__getitem__, parts)), (self.bytes_a, self.bytes_b)):
-            out.append(np.frombuffer(b"".join(side), "<u4"))
-            if b"".join(map(table.__getitem__, out[-1].tolist())) != whole:
+        ids = tuple(np.frombuffer(b"".join(side), "<u4") for side in zip(*map(self.parts.__getitem__, parts)))
+        if not self.changed.isdisjoint(parts):  # no part changed: neither did the whole
+            whole = text.encode()
+            if any(b"".join(map(table.__getitem__, side.tolist())) != whole for table, side in zip((self.bytes_a, self.bytes_b), ids)):
                 return None
-        return tuple(out)
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -180,8 +184,10 @@ def group_ends(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int, in
 
 def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linked indices of both sides: between two neighbouring ends of either side lies one token of each."""
-    ends = np.union1d(a, b)
-    return np.searchsorted(a, ends), np.searchsorted(b, ends)
+    in_a, in_b = np.zeros(a[-1] + 1, np.int8), np.zeros(a[-1] + 1, np.int8)
+    in_a[a] = in_b[b] = 1
+    ends = np.flatnonzero(in_a | in_b)
+    return tuple(x.cumsum(dtype=np.int32)[ends] - x[ends] for x in (in_a, in_b))
 
 
 def shown(digits: np.ndarray, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:

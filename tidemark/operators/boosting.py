@@ -399,11 +399,12 @@ def fit_boosted(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
                 member: Sequence[Column] | None = None) -> list[BoostedModel]:
     """One model per membership condition (all rows if none is given), grown in shared rounds.
 
-    Bins are those of all rows of the fits. Rows without a label, and rows that no fit learns from, are left out.
+    Bins and levels are those of the rows of the first fit, so it knows nothing of the others. Rows
+    without a label, and rows that no fit learns from, are left out.
     """
     member = [F.lit(True)] if member is None else list(member)
     used = df.where(F.col(label).isNotNull() & F.greatest(*member, F.lit(False)))
-    inputs = learn_inputs(used, numeric, categorical, cfg.bins)
+    inputs = learn_inputs(used.where(member[0]), numeric, categorical, cfg.bins)
     blocks = make_blocks(used, inputs, label, member).persist()
     means = used.agg(*[F.avg(F.when(m, F.col(label).cast("double"))).alias(f"m{k}") for k, m in enumerate(member)]).first()
     growths = [Growth(cfg, cfg.start(means[f"m{k}"] or 0.0)) for k in range(len(member))]

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,26 +100,6 @@ def logistic_pipeline(numeric: Sequence[str], categorical: Sequence[str], label:
     return Pipeline(stages=stages)
 
 
-def _tree_inputs(numeric: Sequence[str], categorical: Sequence[str]) -> list:
-    return [*_encoded(categorical),
-            VectorAssembler(inputCols=[*numeric, *[f"_{x}_h" for x in categorical]],
-                            outputCol="_x", handleInvalid="keep")]
-
-
-def boosted_classifier(numeric: Sequence[str], categorical: Sequence[str], label: str,
-                       trees: int = 250, min_leaf: int = 80, seed: int = 7) -> Pipeline:
-    return Pipeline(stages=[*_tree_inputs(numeric, categorical), GBTClassifier(
-        featuresCol="_x", labelCol=label, maxIter=trees, stepSize=0.05, maxDepth=4,
-        minInstancesPerNode=min_leaf, seed=seed)])
-
-
-def boosted_regressor(numeric: Sequence[str], categorical: Sequence[str], label: str,
-                      trees: int = 300, min_leaf: int = 60, seed: int = 7) -> Pipeline:
-    return Pipeline(stages=[*_tree_inputs(numeric, categorical), GBTRegressor(
-        featuresCol="_x", labelCol=label, maxIter=trees, stepSize=0.05, maxDepth=4,
-        minInstancesPerNode=min_leaf, seed=seed)])
-
-
 def poisson_regressor(numeric: Sequence[str], categorical: Sequence[str], label: str) -> Pipeline:
     """Poisson mean model on log-scaled inputs."""
     logs = ", ".join(f"log1p(greatest({n}, 0)) AS _{n}_l" for n in numeric)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,7 +10,7 @@ from tidemark.functions.cols import rounded, ts
 from tidemark.functions.lineage import cut
 from tidemark.operators import churn, clv, leads, metrics, models, records, value
 from tidemark.operators import timewin as tw
-from tidemark.plans import churn_run
+from tidemark.plans import section_run as sr
 from tidemark.plans.q_features import CHURN_SQL, LEAD_RUNS, LEAD_SQL, RUNS, VALUE_SQL, rnd, runs_cte
 from tidemark.plans.registry import query
 from tidemark.sources import adapters as ad
@@ -140,10 +141,24 @@ def b7(spark, sf):
     return rnd(out.select("customer_id", "cell", "prediction"), {"prediction": 4})
 
 
-def trained(spark, sf, name="logistic_regression"):
+LEAD_PLAN = tw.SplitPlan(fit=("2024-01-02",), validation=("2024-01-03",), holdout=("2024-01-04", "2024-01-05"),
+                         horizon_days=1, data_end=ad.JOURNEY_END)
+VALUE_PLAN = tw.SplitPlan(fit=("1998-07-01", "1999-01-01"), validation=("1999-07-01",), holdout=("2000-01-01", "2000-07-01"),
+                          horizon_days=180, data_end=ad.LEDGER_END)
+LEDGER_INPUTS = ("customer", "orders", "lineitem", "events", "part", "supplier", "nation", "region")
+
+
+def section(spark, sf, name):
+    """The finished run of a section over these tables."""
+    spec, plan, tables = {"leads": (sr.LEADS, LEAD_PLAN, ad.journey), "churn": (sr.CHURN, PLAN, ad.ledger),
+                          "value": (sr.VALUE, VALUE_PLAN, ad.ledger)}[name]
+    return sr.stored(spark, spec, tables(spark, sf), plan, [f"{sf}/{t}.parquet" for t in LEDGER_INPUTS])
+
+
+def trained(spark, sf):
     data = cut(churn.build_dataset(ad.ledger(spark, sf), PLAN.runs, 90))
-    train = churn_run.split(data, PLAN.train)
-    return churn_run.fit_learned(train, name), train, churn_run.split(data, PLAN.holdout)
+    train = sr.split(data, PLAN.train)
+    return sr.fit_logistic(sr.CHURN, train), train, sr.split(data, PLAN.holdout)
 
 
 @query("b8_logistic_regression")
@@ -154,25 +169,19 @@ def b8(spark, sf):
 
 @query("b9_gradient_boosting")
 def b9(spark, sf):
-    model, _, hold = trained(spark, sf, "gradient_boosting")
-    return rounded(models.probability(model, hold, "p").select(*churn.KEYS, "churned", "p"), 6)
+    hold = section(spark, sf, "churn").holdout
+    return rounded(hold.select(*churn.KEYS, "churned", F.col("gradient_boosting").alias("p")), 6)
 
 
 @query("b10_value_regressors")
 def b10(spark, sf):
-    t = ad.ledger(spark, sf)
-    runs = ["1999-07-01", "2000-01-01", "2000-07-01"]
-    d = cut(value.build_dataset(t, runs).withColumn("y", F.col("future_revenue") / 1000))
-    train = d.where(F.col("run_cutoff") < ts("2000-07-01"))
-    hold = d.where(F.col("run_cutoff") == ts("2000-07-01"))
-    num = [c for c in value.NUMERIC]
-    out = hold
-    for name, pipe in (("boosted", models.boosted_regressor(num, churn.CATEGORICAL, "y")),
-                       ("poisson", models.poisson_regressor(num, churn.CATEGORICAL, "y"))):
-        out = models.prediction(pipe.fit(train), out, name)
-    out = cut(out.withColumn("run_rate", F.col("revenue_180d") / 1000))
-    return rounded(metrics.regression_metrics(
-        out, {m: m for m in ("boosted", "poisson", "run_rate")}, "y"), 4)
+    """Boosted Poisson trees, a Poisson regression and the rules on the holdout; the least RMSE is chosen."""
+    run = section(spark, sf, "value")
+    train = sr.split(run.data, VALUE_PLAN.train).withColumn("y", F.col("future_revenue") / 1000)
+    pipe = models.poisson_regressor(list(value.NUMERIC), churn.CATEGORICAL, "y")
+    out = models.prediction(pipe.fit(train), run.holdout, "_p").withColumn("poisson_regression", F.col("_p") * 1000)
+    t = metrics.regression_metrics(cut(out), {m: m for m in (*sr.VALUE.models, "poisson_regression")}, "future_revenue")
+    return rounded(t.withColumn("chosen", F.col("rmse") == F.min("rmse").over(Window.partitionBy(F.lit(0)))), 3)
 
 
 # ------------------------------------------------------------------ CLV
@@ -265,26 +274,54 @@ def b21_run_rate(spark, sf):
 
 
 # ------------------------------------------------------------------ selection, explanation
-_RUNS: dict[tuple[str, str], churn_run.ChurnRun] = {}
+def selection(spark, sf, name):
+    run = section(spark, sf, name)
+    return rounded(run.validation.withColumn("champion", F.col("model") == run.champion), 4)
+
+
+def comparison(spark, sf, name):
+    return rounded(section(spark, sf, name).comparison, 4)
 
 
-def full_run(spark, sf):
-    """The whole churn run, made once per session and input; two queries read it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _RUNS:
-        _RUNS[key] = churn_run.run(ad.ledger(spark, sf), PLAN)
-    return _RUNS[key]
+def differences(spark, sf, name):
+    """Intervals of the champion's differences to the others."""
+    run = section(spark, sf, name)
+    return rounded(run.intervals.where(F.col("model").startswith(f"{run.champion} minus ")), 4)
 
 
 @query("b16_champion_selection")
 def b16(spark, sf):
-    r = full_run(spark, sf)
-    return rounded(r.selection.withColumn("champion", F.col("model") == r.champion), 6)
+    return selection(spark, sf, "churn")
+
+
+@query("b16_lead_champion_selection")
+def b16_leads(spark, sf):
+    return selection(spark, sf, "leads")
+
+
+@query("b16_value_champion_selection")
+def b16_value(spark, sf):
+    return selection(spark, sf, "value")
 
 
 @query("m23_model_comparison")
 def m23(spark, sf):
-    return rounded(full_run(spark, sf).comparison, 6)
+    return comparison(spark, sf, "churn")
+
+
+@query("m23_lead_model_comparison")
+def m23_leads(spark, sf):
+    return comparison(spark, sf, "leads")
+
+
+@query("m23_value_model_comparison")
+def m23_value(spark, sf):
+    return comparison(spark, sf, "value")
+
+
+@query("m23_value_champion_differences")
+def m23_differences(spark, sf):
+    return differences(spark, sf, "value")
 
 
 @query("m9_calibration_slope")

@@ -59,7 +59,7 @@ ODD = [(None, "en"), ("", "en"), (" \t ", None), ("...", "fr"), ("one", ""), ("t
 
 
 @pytest.mark.parametrize("seed,cfg", [
-    (1, co.Config()), (2, co.Config(least=5, shards=3, top=7)), (3, co.Config(least=2, bits=6, shards=2)),
+    (1, co.Config()), (2, co.Config(least=5, shards=3, top=7)), (3, co.Config(least=2, bits=8, shards=2)),
     (4, co.Config(least=3, flush=50, vocabulary=5, group=20, top=5)), (5, co.Config(least=4, shards=1, longest=4, inside=50))])
 def test_against_plain_counts(spark, seed, cfg):
     rows = corpus(seed) + ODD

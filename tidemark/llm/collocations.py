@@ -9,9 +9,9 @@ scans end when no shard has such phrases. Every phrase that reaches the threshol
 are at least as frequent, and counts only grow.
 
 What reached the threshold is kept as a bitmap of `1 << Config.bits` slots of phrase hashes, fed by sums
-per slot. Slots that phrases share only make a phrase active too early, which costs work and changes
+per slot (a byte each, which stops at the threshold). Slots that phrases share only make a phrase active too early, which costs work and changes
 no result: each phrase is counted by its text, once per shard, and the threshold is applied to its exact
-count at the end. So what is broadcast and what the driver holds (two bitmaps of 2 MB) do not grow
+count at the end. So what is broadcast and what the driver holds (bitmaps of 2 MB, counters of 16 MB) do not grow
 with the data; with far more phrases than slots, more bits keep the pruning sharp. Tasks count local word numbers in arrays
 and hand sums on per few million words, so a phrase that is everywhere is a row per flush.
 
@@ -25,7 +25,7 @@ beside text and lang are not read. Very long texts are counted like others.
 
 from __future__ import annotations
 
-import re
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh, store
+from tidemark.session import scratch_dir
 
-#: A stop (which no phrase spans) or a word.
-TOKEN = re.compile(r"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
-STOPS = ".,;:!?\n\v\f\r"
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Bytes of lower-cased texts as they are split: stops (which no phrase spans) to one line end, tabs to spaces.
+STOPS = b".,;:!?\n\v\f\r"
+PLAIN = bytes.maketrans(STOPS + b"\t", b"\n" * len(STOPS) + b" ")
 MULTIPLIER, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 COUNTS = "lang string, size byte, phrase string, slot int, n long"
 
@@ -85,10 +85,10 @@ class Scanner:
 
     def clear(self) -> None:
         self.of_lang: dict[str, dict[str, int]] = {}
-        self.words, self.langs, self.hashes = [""], [""], [0]
+        self.words, self.langs, self.hashes = [b""], [""], [0]
         self.held, self.size = [], 0
 
-    def _numbers(self, lang: str) -> dict[str, int]:
+    def _numbers(self, lang: str) -> dict[bytes, int]:
         import xxhash
         words, langs, hashes = self.words, self.langs, self.hashes
         seed = xxhash.xxh64_intdigest(lang)
@@ -100,18 +100,24 @@ class Scanner:
                 hashes.append(xxhash.xxh64_intdigest(word, seed))
                 self[word] = out = len(words) - 1
                 return out
-        numbers = Numbers()
-        numbers.update(dict.fromkeys(STOPS, 0))
-        return numbers
+        return Numbers({b"\n": 0, b"": -1})  # a stop, and what lies between two spaces
 
-    def add(self, lang: str, text: str) -> Iterator[pa.RecordBatch]:
-        tokens = TOKEN.findall(text.translate(LOWER))
+    def add(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
+        tokens = text.lower().translate(PLAIN).replace(b"\n", b" \n ").split(b" ")
         for lo in range(0, len(tokens), self.cfg.flush):  # a later part repeats what its first phrases begin with
             if lang not in self.of_lang:
                 self.of_lang[lang] = self._numbers(lang)
-            part = list(map(self.of_lang[lang].__getitem__, tokens[max(0, lo - self.cfg.longest + 1):lo + self.cfg.flush]))
-            self.held.append((np.array([0, *part], np.int64), min(lo, self.cfg.longest - 1)))
-            self.size += len(part) + 1
+            start = lo
+            for _ in range(self.cfg.longest - 1 if lo else 0):
+                start -= 1
+                while start > 0 and not tokens[start]:
+                    start -= 1
+            part = tokens[start:lo + self.cfg.flush]
+            ids = np.fromiter(map(self.of_lang[lang].__getitem__, part), np.int32, len(part))
+            repeated = int((ids[:lo - start] >= 0).sum())
+            ids = ids[ids >= 0]
+            self.held.append((np.concatenate(([0], ids)), repeated))
+            self.size += len(ids) + 1
             if self.size >= self.cfg.flush or len(self.words) > self.cfg.vocabulary:
                 yield from self.flush()
 
@@ -131,7 +137,7 @@ class Scanner:
             self.clear()
 
     def _count(self, ids: np.ndarray, fresh_end: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names, langs = pa.array(self.words, pa.string()), pa.array(self.langs, pa.string())
+        names, langs = pa.array(self.words, pa.binary()).cast(pa.string()), pa.array(self.langs, pa.string())
         hashes = np.array(self.hashes, np.uint64)
         own = self.now.slots(hashes)
         if self.before is None:
@@ -169,7 +175,7 @@ class Scanner:
 
 def _distinct(ids: np.ndarray, at: np.ndarray, size: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """The first place and the number of each distinct phrase of `size` words that starts at `at`."""
-    key = ids[at]
+    key = ids[at].astype(np.int64)
     top = count
     for k in range(1, size):
         if top > (1 << 62) // count:  # number the beginnings anew, so that a key fits 64 bits
@@ -183,12 +189,14 @@ def _distinct(ids: np.ndarray, at: np.ndarray, size: int, count: int) -> tuple[n
 # ------------------------------------------------------------------ cyclic scans
 def count_phrases(docs: DataFrame, cfg: Config = Config()) -> tuple[list[DataFrame], Bitmap]:
     """docs (text, lang) -> stored counts (rows add up by lang, size and phrase) and the final bitmap."""
-    spark = docs.sparkSession
+    if not 8 <= cfg.bits <= 31 or not 1 <= cfg.least <= 255:
+        raise ValueError("bits must be 8 to 31, and the threshold 1 to 255")
     shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cfg.shards)).cast("int")
     shards = store(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
                                shard.alias("shard")), "collocation-shards", by="shard")
     counts: list[DataFrame] = []
-    now, visited, below, step = Bitmap(cfg.bits), [None] * cfg.shards, None, 0
+    now, visited, step = Bitmap(cfg.bits), [None] * cfg.shards, 0
+    sums = np.zeros(1 << cfg.bits, np.uint8)
     while True:
         if step >= cfg.shards:
             same = [np.array_equal(v.raw, now.raw) for v in visited]
@@ -197,40 +205,85 @@ def count_phrases(docs: DataFrame, cfg: Config = Config()) -> tuple[list[DataFra
             while same[step % cfg.shards]:
                 step += 1
         s = step % cfg.shards
-        counts.append(store(_scan(shards.where(F.col("shard") == s), cfg, now, visited[s]), "collocation-counts"))
+        counts.append(_store_small(_scan(shards.where(F.col("shard") == s), cfg, now, visited[s])))
         visited[s] = now
-        below, now = _reached(spark, counts[-1], below, now, cfg)
+        now = _reached(counts[-1], sums, cfg)
         step += 1
 
 
+def _store_small(counts: DataFrame) -> DataFrame:
+    """Stored once like `store`, with the stronger compression that sorted phrases reward."""
+    path = scratch_dir(counts.sparkSession, "collocation-counts")
+    counts.write.option("compression", "zstd").parquet(path)
+    return counts.sparkSession.read.schema(counts.schema).parquet(path)
+
+
 def _scan(rows: DataFrame, cfg: Config, now: Bitmap, before: Bitmap | None) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((now.raw.tobytes(), None if before is None else before.raw.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the word numbers hold no cycles
         a, b = shared.value
         scanner = Scanner(cfg, Bitmap(cfg.bits, a), None if b is None else Bitmap(cfg.bits, b))
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                yield from scanner.add(lang.as_py(), text.as_py())
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary())):
+                yield from scanner.add(lang, text.as_py())
         yield from scanner.flush()
     return rows.select("lang", "text").mapInArrow(run, COUNTS)
 
 
-def _reached(spark, new: DataFrame, below: DataFrame | None, now: Bitmap, cfg: Config) -> tuple[DataFrame, Bitmap]:
-    """Sums of the slots still below the threshold, and the bitmap with those that reached it.
+RANGE = 16  # bits of a range of slots: an offset in it fits two bytes
+
+
+def _slot_sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Sums per slot of a task's rows, up to the threshold: per range, offsets and counts as bytes."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        slots, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([n for _, n in held]))
+        ranges, start = np.unique(slots >> RANGE, return_index=True)
+        parts = list(zip(start, [*start[1:], len(slots)]))
+        offsets, counts = slots.astype("<u2"), np.minimum(sums, least).astype("u1")
+        return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array([offsets[i:j].tobytes() for i, j in parts], pa.binary()),
+                                           pa.array([counts[i:j].tobytes() for i, j in parts], pa.binary())], ["range", "offsets", "counts"])
+
+    for batch in batches:
+        held.append((batch["slot"].to_numpy(), np.minimum(batch["n"].to_numpy(), least)))
+        size += batch.num_rows
+        if size >= 4_000_000:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _range_sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The counters of whole ranges, each up to the threshold."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for r, offsets, counts in zip(*(batch[c].to_pylist() for c in ("range", "offsets", "counts"))):
+            sums = held.setdefault(r, np.zeros(1 << RANGE, np.uint8))
+            at = np.frombuffer(offsets, "<u2")
+            sums[at] = np.minimum(sums[at].astype(np.uint16) + np.frombuffer(counts, "u1"), least)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())],
+                                     ["range", "sums"])
+
+
+def _reached(new: DataFrame, sums: np.ndarray, cfg: Config) -> Bitmap:
+    """Add new rows to the counters of the slots (a byte each, up to the threshold); the slots that reached it.
 
-    Both are bounded by the number of slots, whatever the data.
+    The counters are bounded by the number of slots, whatever the data.
     """
-    sums = new.select("slot", "n")
-    if below is not None:
-        sums = sums.unionByName(below)
-    sums = store(sums.groupBy("slot").agg(F.sum("n").alias("n")), "collocation-slots")
-    word = sums.where(F.col("n") >= cfg.least).groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, slot & 63))").alias("mask")).toPandas()
-    raw = now.raw.copy()
-    view = raw.view("<u8")
-    view[word["word"].to_numpy(np.int64)] |= word["mask"].to_numpy(np.int64).view(np.uint64)
-    return sums.where(F.col("n") < cfg.least), Bitmap(cfg.bits, raw.tobytes())
+    least = cfg.least
+    parts = new.select("slot", "n").mapInArrow(lambda b: _slot_sums(b, least), "range int, offsets binary, counts binary")
+    whole = parts.repartition("range").mapInArrow(lambda b: _range_sums(b, least), "range int, sums binary")
+    for r in whole.toLocalIterator():
+        add = np.frombuffer(r["sums"], "u1")
+        at = slice(r["range"] << RANGE, (r["range"] << RANGE) + len(add))
+        mine = sums[at]
+        mine[:] = np.minimum(mine.astype(np.uint16) + add[:len(mine)], least)
+    return Bitmap(cfg.bits, np.packbits(sums >= least, bitorder="little").tobytes())
 
 
 def frequent_phrases(counts: list[DataFrame], reached: Bitmap, cfg: Config = Config()) -> DataFrame:

@@ -40,6 +40,7 @@ from tidemark.llm.common import Memo, fresh, store
 
 CAPACITY = 1024
 END = 2
+CACHE = 400_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ LETTERS = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512)))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(path: str, cache: int = CACHE):
     """text -> ids as little-endian unsigned 32-bit bytes, without special tokens.
 
     Kept for the life of a worker process: parts of texts, and below them the pieces of the pattern,
@@ -88,7 +89,7 @@ def encoder(path: str):
     def encode_piece(piece: str) -> bytes:
         return pack_ids([t.id for t in model(piece.encode().decode("latin-1").translate(LETTERS))])
 
-    pieces = Memo(encode_piece, 300_000)
+    pieces = Memo(encode_piece, cache * 3 // 4)
 
     def encode_part(part: str) -> bytes:
         if not PLAIN.fullmatch(part):
@@ -98,7 +99,7 @@ def encoder(path: str):
             return pieces[" " + word] + pieces[part[len(word):]] if len(word) < len(part) else pieces[" " + part]
         return b"".join(map(pieces.__getitem__, split(" " + part)))
 
-    parts = Memo(encode_part, 400_000)
+    parts = Memo(encode_part, cache)
 
     def one(text: str | None) -> bytes:
         if not text:
@@ -110,12 +111,12 @@ def encoder(path: str):
     return one
 
 
-def ids_column(path: str, end: int = END):
+def ids_column(path: str, end: int = END, cache: int = CACHE):
     """Column function text -> binary ids of the document, the end id last."""
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = encoder(path)
+        one = encoder(path, cache)
         for texts in batches:
             yield pd.Series([one(t) + tail for t in texts], dtype=object)
 
@@ -123,10 +124,10 @@ def ids_column(path: str, end: int = END):
     return F.pandas_udf(run, BinaryType()).asNondeterministic()
 
 
-def pieces(docs: DataFrame, path: str, cfg: Config = Config()) -> DataFrame:
+def pieces(docs: DataFrame, path: str, cfg: Config = Config(), cache: int = CACHE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, piece, start, length, ids (binary), one row per piece."""
     cap = cfg.capacity
-    rows = docs.select("doc_id", ids_column(path)("text").alias("ids"))
+    rows = docs.select("doc_id", ids_column(path, cache=cache)("text").alias("ids"))
     n = F.expr("octet_length(ids) div 4")
     count = F.ceil(n / cap).cast("int")
     first = n - (count - 1) * cap

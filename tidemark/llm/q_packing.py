@@ -15,9 +15,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def packed_digest(docs: DataFrame) -> DataFrame:
+def packed_digest(docs: DataFrame, cache: int = packing.CACHE) -> DataFrame:
     """Pieces with the checksum of their ids in place of the ids, and their places."""
-    rows = packing.pieces(docs.select("doc_id", "text"), tokenizer_path()).select(
+    rows = packing.pieces(docs.select("doc_id", "text"), tokenizer_path(), cache=cache).select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(store(rows, "pieces"))
 

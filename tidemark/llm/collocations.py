@@ -1,19 +1,19 @@
 """Phrases whose words stand together more often than apart, found by dynamic itemset counting.
 
-Counting. Rows are dealt to `Config.shards` stored shards, which are scanned in a cycle. All words
-are counted in the first cycle. A longer phrase becomes active once its first words and its last
-words (all but one) have reached the threshold, at whatever place of the cycle that happens, so
-lengths are counted side by side; it is counted until each shard was scanned once since. A shard that is
-visited again only gives the phrases that became active since its last visit. The
-scans end when no shard has such phrases. Every phrase that reaches the threshold is found: its parts
-are at least as frequent, and counts only grow.
-
-What reached the threshold is kept as a bitmap of `1 << Config.bits` slots of phrase hashes, fed by sums
-per slot (a byte each, which stops at the threshold). Slots that phrases share only make a phrase active too early, which costs work and changes
+Counting. Rows are dealt to `Config.shards` stored shards, which are scanned in a cycle. A phrase is a
+candidate once its first words and its last words (all but one) have reached the threshold, at whatever place of
+the cycle that happens, so lengths are counted side by side; words are candidates from the start. A candidate's
+hash slot is counted until each shard was scanned once since. When the slot reaches the threshold, the phrase gets
+a counter of its own, again for one whole cycle. A shard that is visited again only gives what became active since
+its last visit. The scans end when no shard has anything more to give. Every phrase that reaches the threshold is
+found: its parts and its slot count at least as much, and counts only grow.
+
+What reached the threshold is kept as a bitmap of `1 << Config.bits` slots, fed by sums per slot (a byte each, which
+stops at the threshold). Slots that phrases share only make a phrase active without need, which costs work and changes
 no result: each phrase is counted by its text, once per shard, and the threshold is applied to its exact
 count at the end. So what is broadcast and what the driver holds (bitmaps of 2 MB, counters of 16 MB) do not grow
-with the data; with far more phrases than slots, more bits keep the pruning sharp. Tasks count local word numbers in arrays
-and hand sums on per few million words, so a phrase that is everywhere is a row per flush.
+with the data; with far more phrases than slots, more bits keep the pruning sharp. Tasks number their words, count in
+arrays and hand sums on per few million words, so a phrase that is everywhere is a row per flush.
 
 Scores follow from the frequent phrases alone, by joins on (language, phrase). The best per language
 are taken in rounds over salted groups of bounded size.
@@ -44,7 +44,10 @@ from tidemark.session import scratch_dir
 STOPS = b".,;:!?\n\v\f\r"
 PLAIN = bytes.maketrans(STOPS + b"\t", b"\n" * len(STOPS) + b" ")
 MULTIPLIER, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-COUNTS = "lang string, size byte, phrase string, slot int, n long"
+COUNTS = "lang string, size byte, phrase string, slot int, n long, offsets binary, counts binary"
+NAMES = ["lang", "size", "phrase", "slot", "n", "offsets", "counts"]
+RANGE = 16      # bits of a range of slots: an offset in it fits two bytes
+JOINED = 8 << 20  # bytes of text that are split at once
 
 
 @dataclass(frozen=True)
@@ -77,100 +80,126 @@ class Bitmap:
 
 
 class Scanner:
-    """Counts of one task: the phrases active now that were not at the shard's last visit."""
+    """What one task counts of a shard: only what its last visit (with the bitmap `before`) did not count.
+
+    A phrase is a candidate once its parts are in the bitmap; then its slot is counted. Once its own slot is
+    in the bitmap too, it is counted by its text.
+    """
 
     def __init__(self, cfg: Config, now: Bitmap, before: Bitmap | None):
         self.cfg, self.now, self.before = cfg, now, before
+        self.slots, self.waiting = [], 0
         self.clear()
 
     def clear(self) -> None:
-        self.of_lang: dict[str, dict[str, int]] = {}
+        self.of_lang: dict[str, dict[bytes, int]] = {}
         self.words, self.langs, self.hashes = [b""], [""], [0]
         self.held, self.size = [], 0
 
-    def _numbers(self, lang: str) -> dict[bytes, int]:
+    def _numbers(self, lang: str, tokens: list[bytes]) -> np.ndarray:
+        """Numbers of distinct tokens: 0 for a stop, -1 for what lies between two spaces."""
         import xxhash
-        words, langs, hashes = self.words, self.langs, self.hashes
+        known = self.of_lang.setdefault(lang, {b"\n": 0, b"": -1})
         seed = xxhash.xxh64_intdigest(lang)
-
-        class Numbers(dict):
-            def __missing__(self, word):
-                words.append(word)
-                langs.append(lang)
-                hashes.append(xxhash.xxh64_intdigest(word, seed))
-                self[word] = out = len(words) - 1
-                return out
-        return Numbers({b"\n": 0, b"": -1})  # a stop, and what lies between two spaces
-
-    def add(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
-        tokens = text.lower().translate(PLAIN).replace(b"\n", b" \n ").split(b" ")
-        for lo in range(0, len(tokens), self.cfg.flush):  # a later part repeats what its first phrases begin with
-            if lang not in self.of_lang:
-                self.of_lang[lang] = self._numbers(lang)
-            start = lo
-            for _ in range(self.cfg.longest - 1 if lo else 0):
-                start -= 1
-                while start > 0 and not tokens[start]:
-                    start -= 1
-            part = tokens[start:lo + self.cfg.flush]
-            ids = np.fromiter(map(self.of_lang[lang].__getitem__, part), np.int32, len(part))
-            repeated = int((ids[:lo - start] >= 0).sum())
-            ids = ids[ids >= 0]
-            self.held.append((np.concatenate(([0], ids)), repeated))
-            self.size += len(ids) + 1
-            if self.size >= self.cfg.flush or len(self.words) > self.cfg.vocabulary:
-                yield from self.flush()
+        for word in tokens:
+            if word not in known:
+                known[word] = len(self.words)
+                self.words.append(word)
+                self.langs.append(lang)
+                self.hashes.append(xxhash.xxh64_intdigest(word, seed))
+        return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+
+    def add(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Whole texts of one language; a stop stands between them."""
+        raw = b"\n".join([b"", *texts]).lower().translate(PLAIN).replace(b"\n", b" \n ")
+        split = pc.split_pattern(pa.array([raw], pa.large_binary()), pattern=b" ").flatten().dictionary_encode()
+        ids = self._numbers(lang, split.dictionary.to_pylist())[split.indices.to_numpy()]
+        self.held.append(ids[ids >= 0])
+        self.size += len(self.held[-1])
+        if self.size >= self.cfg.flush or len(self.words) > self.cfg.vocabulary:
+            yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         """Sums of the held words; the word numbers stay while they are few."""
-        if not self.held:
-            return
-        ids = np.concatenate([x for x, _ in self.held])
-        fresh_end = np.ones(len(ids), bool)  # whether a phrase may end here: not in the repeated start of a part
-        at = 0
-        for x, repeated in self.held:
-            fresh_end[at:at + 1 + repeated] = False
-            at += len(x)
-        self.held, self.size = [], 0
-        yield from self._count(ids, fresh_end)
+        if self.held:
+            ids, self.held, self.size = np.concatenate(self.held), [], 0
+            yield from self._count(ids)
         if len(self.words) > self.cfg.vocabulary:
             self.clear()
+        if self.waiting >= 2 * self.cfg.flush:
+            yield from self.give_slots()
+
+    def give_slots(self) -> Iterator[pa.RecordBatch]:
+        if self.slots:
+            yield _slot_rows(np.concatenate([x for x, _ in self.slots]), np.concatenate([n for _, n in self.slots]), self.cfg.least)
+        self.slots, self.waiting = [], 0
 
-    def _count(self, ids: np.ndarray, fresh_end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def _slots(self, slots: np.ndarray, n: np.ndarray | None = None) -> None:
+        if n is None:
+            slots, n = np.unique(slots.astype(np.int32), return_counts=True)
+        self.slots.append((slots.astype(np.int32), np.minimum(n, self.cfg.least).astype(np.uint8)))
+        self.waiting += len(n)
+
+    def _count(self, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         names, langs = pa.array(self.words, pa.binary()).cast(pa.string()), pa.array(self.langs, pa.string())
         hashes = np.array(self.hashes, np.uint64)
-        own = self.now.slots(hashes)
+        own, n = self.now.slots(hashes), np.bincount(ids, minlength=len(hashes))
+        n[0] = 0
+        seen = n > 0
+        reached = self.now.has(own)
+        reached[0] = False
         if self.before is None:
-            n = np.bincount(ids[fresh_end], minlength=len(hashes))
-            n[0] = 0
-            seen = np.flatnonzero(n)
-            if len(seen):
-                yield self._batch(1, langs.take(pa.array(seen)), names.take(pa.array(seen)), own[seen], n[seen])
-        on = self.now.has(own)
-        on[0] = False
-        was = np.zeros_like(on) if self.before is None else self.before.has(own) & on
-        active, earlier, h = on[ids], was[ids], hashes[ids]
+            self._slots(own[seen], n[seen])
+            of = np.array(self.langs, object)[seen]
+            for lang in set(of):
+                yield _text_rows(0, pa.array([lang]), pa.array([""]), [0], [n[seen][of == lang].sum()])
+        was = np.zeros_like(reached) if self.before is None else self.before.has(own) & reached
+        new = np.flatnonzero(seen & reached & ~was)
+        if len(new):
+            yield _text_rows(1, langs.take(pa.array(new)), names.take(pa.array(new)), own[new], n[new])
+        active, earlier, h = reached[ids], was[ids], hashes[ids]
         word_hash = h
         for size in range(2, self.cfg.longest + 1):
             if len(ids) < size:
                 return
             active, earlier = active[:-1] & active[1:], earlier[:-1] & earlier[1:]
             h = h[:-1] * MULTIPLIER + word_hash[size - 1:]
-            at = np.flatnonzero(active & ~earlier & fresh_end[size - 1:])
-            slots = self.now.slots(h)
-            if len(at):
-                first, n = _distinct(ids, at, size, len(hashes))
+            at = np.flatnonzero(active)
+            if not len(at):
+                return
+            slots, had = self.now.slots(h[at]), earlier[at]
+            if not had.all():
+                self._slots(slots[~had])
+            here = self.now.has(slots)
+            there = np.zeros_like(here) if self.before is None else had & self.before.has(slots)
+            new = here & ~there
+            if new.any():
+                first, n = _distinct(ids, at[new], size, len(hashes))
                 parts = [names.take(pa.array(ids[first + k])) for k in range(size)]
-                yield self._batch(size, langs.take(pa.array(ids[first])), pc.binary_join_element_wise(*parts, " "), slots[first], n)
-            active &= self.now.has(slots)
-            if self.before is not None:
-                earlier &= self.before.has(slots)
+                yield _text_rows(size, langs.take(pa.array(ids[first])), pc.binary_join_element_wise(*parts, " "),
+                                 self.now.slots(h[first]), n)
+            active[at], earlier[at] = here, there
+
+
+def _text_rows(size: int, langs: pa.Array, phrases: pa.Array, slots, n) -> pa.RecordBatch:
+    """Counts of phrases by text; size 0 stands for all words of a language."""
+    none = pa.nulls(len(phrases), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [langs, pa.array(np.full(len(phrases), size, np.int8)), phrases, pa.array(np.asarray(slots, np.int32)),
+         pa.array(np.asarray(n, np.int64)), none, none], NAMES)
 
-    @staticmethod
-    def _batch(size, langs, phrases, slots, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [langs, pa.array(np.full(len(n), size, np.int8)), phrases, pa.array(slots.astype(np.int32)), pa.array(n.astype(np.int64))],
-            ["lang", "size", "phrase", "slot", "n"])
+
+def _slot_rows(slots: np.ndarray, n: np.ndarray, least: int) -> pa.RecordBatch:
+    """Sums per slot, up to the threshold: a row per range of slots, with offsets and counts as bytes."""
+    slots, at = np.unique(slots, return_inverse=True)
+    sums = np.bincount(at, n)
+    ranges, start = np.unique(slots >> RANGE, return_index=True)
+    parts = list(zip(start, [*start[1:], len(slots)]))
+    offsets, counts = slots.astype("<u2"), np.minimum(sums, least).astype("u1")
+    text = pa.nulls(len(ranges), pa.string())
+    return pa.RecordBatch.from_arrays(
+        [text, pa.array(np.full(len(ranges), -1, np.int8)), text, pa.array(ranges.astype(np.int32)), pa.nulls(len(ranges), pa.int64()),
+         pa.array([offsets[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([counts[i:j].tobytes() for i, j in parts], pa.binary())], NAMES)
 
 
 def _distinct(ids: np.ndarray, at: np.ndarray, size: int, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,43 +255,27 @@ def _scan(rows: DataFrame, cfg: Config, now: Bitmap, before: Bitmap | None) -> D
         a, b = shared.value
         scanner = Scanner(cfg, Bitmap(cfg.bits, a), None if b is None else Bitmap(cfg.bits, b))
         for batch in batches:
+            texts: dict[str, list[bytes]] = {}
+            size = 0
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary())):
-                yield from scanner.add(lang, text.as_py())
+                texts.setdefault(lang, []).append(text.as_py())
+                size += len(texts[lang][-1])
+                if size >= JOINED:
+                    for x, some in texts.items():
+                        yield from scanner.add(x, some)
+                    texts, size = {}, 0
+            for x, some in texts.items():
+                yield from scanner.add(x, some)
         yield from scanner.flush()
+        yield from scanner.give_slots()
     return rows.select("lang", "text").mapInArrow(run, COUNTS)
 
 
-RANGE = 16  # bits of a range of slots: an offset in it fits two bytes
-
-
-def _slot_sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sums per slot of a task's rows, up to the threshold: per range, offsets and counts as bytes."""
-    held, size = [], 0
-
-    def out() -> pa.RecordBatch:
-        slots, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        sums = np.bincount(at, np.concatenate([n for _, n in held]))
-        ranges, start = np.unique(slots >> RANGE, return_index=True)
-        parts = list(zip(start, [*start[1:], len(slots)]))
-        offsets, counts = slots.astype("<u2"), np.minimum(sums, least).astype("u1")
-        return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array([offsets[i:j].tobytes() for i, j in parts], pa.binary()),
-                                           pa.array([counts[i:j].tobytes() for i, j in parts], pa.binary())], ["range", "offsets", "counts"])
-
-    for batch in batches:
-        held.append((batch["slot"].to_numpy(), np.minimum(batch["n"].to_numpy(), least)))
-        size += batch.num_rows
-        if size >= 4_000_000:
-            yield out()
-            held, size = [], 0
-    if held:
-        yield out()
-
-
 def _range_sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The counters of whole ranges, each up to the threshold."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for r, offsets, counts in zip(*(batch[c].to_pylist() for c in ("range", "offsets", "counts"))):
+        for r, offsets, counts in zip(*(batch[c].to_pylist() for c in ("slot", "offsets", "counts"))):
             sums = held.setdefault(r, np.zeros(1 << RANGE, np.uint8))
             at = np.frombuffer(offsets, "<u2")
             sums[at] = np.minimum(sums[at].astype(np.uint16) + np.frombuffer(counts, "u1"), least)
@@ -276,8 +289,8 @@ def _reached(new: DataFrame, sums: np.ndarray, cfg: Config) -> Bitmap:
     The counters are bounded by the number of slots, whatever the data.
     """
     least = cfg.least
-    parts = new.select("slot", "n").mapInArrow(lambda b: _slot_sums(b, least), "range int, offsets binary, counts binary")
-    whole = parts.repartition("range").mapInArrow(lambda b: _range_sums(b, least), "range int, sums binary")
+    parts = new.where("size = -1").select("slot", "offsets", "counts")
+    whole = parts.repartition("slot").mapInArrow(lambda b: _range_sums(b, least), "range int, sums binary")
     for r in whole.toLocalIterator():
         add = np.frombuffer(r["sums"], "u1")
         at = slice(r["range"] << RANGE, (r["range"] << RANGE) + len(add))
@@ -288,7 +301,7 @@ def _reached(new: DataFrame, sums: np.ndarray, cfg: Config) -> Bitmap:
 
 def frequent_phrases(counts: list[DataFrame], reached: Bitmap, cfg: Config = Config()) -> DataFrame:
     """lang, size, phrase, a for all phrases that reach the threshold; others leave before the shuffle if their slot did not."""
-    rows = reduce(DataFrame.unionByName, counts)
+    rows = reduce(DataFrame.unionByName, counts).where("size >= 1").select("lang", "size", "phrase", "slot", "n")
     shared = rows.sparkSession.sparkContext.broadcast(reached.raw.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,6 +358,6 @@ def collocations(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """docs (text, lang) -> lang, rank, phrase, a, l, r, n, score."""
     counts, reached = count_phrases(docs, cfg)
     frequent = store(frequent_phrases(counts, reached, cfg), "collocation-frequent")
-    words = reduce(DataFrame.unionByName, counts).where("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    words = reduce(DataFrame.unionByName, counts).where("size = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     top = top_phrases(store(score_phrases(frequent, cfg), "collocation-scores"), cfg)
     return top.join(F.broadcast(words), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

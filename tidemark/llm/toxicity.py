@@ -225,7 +225,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(map(float, b))
 
 
-def _evidence(chain: Chain):
+WORDS = 300_000  # words a scorer remembers
+
+
+def _evidence(chain: Chain, limit: int = WORDS):
     """words -> (odds per word, largest logit, log of 1 + expected toxic words)."""
     weights, rows = chain.weights, []
 
@@ -234,7 +237,7 @@ def _evidence(chain: Chain):
                      weights.get(_after(word), 0.0)))
         return len(rows) - 1
 
-    ids = Memo(place, 300_000)
+    ids = Memo(place, limit)
 
     def of(words: list[str]):
         if not words:
@@ -242,7 +245,7 @@ def _evidence(chain: Chain):
         if len(ids) + len(words) > ids.limit:
             ids.clear()
             rows.clear()
-            ids.limit = max(300_000, 2 * len(words))
+            ids.limit = max(limit, 2 * len(words))
         at = list(map(ids.__getitem__, words))
         m = np.array([rows[k] for k in at]) if len(rows) > 8 * len(at) else np.array(rows)[at]
         e = m[:, 0].copy()
@@ -254,9 +257,9 @@ def _evidence(chain: Chain):
     return of
 
 
-def scorer(chain: Chain):
+def scorer(chain: Chain, limit: int = WORDS):
     """text -> (score, span starts, span ends, mean probability of each span), in code points."""
-    of = _evidence(chain)
+    of = _evidence(chain, limit)
 
     def one(text):
         words = WORD.findall(text) if text else []

@@ -61,8 +61,10 @@ def plain(x, y, cfg):
     return margin, sizes
 
 
-@pytest.mark.parametrize("loss", ["log", "poisson"])
-def test_trees_equal_the_plain_search(spark, loss):
+@pytest.mark.parametrize("loss,block", [("log", 200_000), ("poisson", 200_000), ("log", 60), ("poisson", 60)])
+def test_trees_equal_the_plain_search(spark, monkeypatch, loss, block):
+    """In one block, and in rounds over several."""
+    monkeypatch.setattr(bo, "BLOCK_ROWS", block)
     rows = sample(500, loss)
     cfg = bo.Boosting(loss, trees=4, min_leaf=12, rate=0.3)
     model, = bo.fit_boosted(spark.createDataFrame(rows, SCHEMA), ["a", "b"], ["c"], "y", cfg)
@@ -73,7 +75,8 @@ def test_trees_equal_the_plain_search(spark, loss):
     assert max(abs(got[i] - expected[i]) for i in range(500)) < 1e-9
 
 
-def test_shared_rounds_equal_fits_of_their_own(spark):
+def test_shared_rounds_equal_fits_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 90)
     df = spark.createDataFrame(sample(400, "log", 8), SCHEMA)
     cfg = bo.Boosting("log", trees=3, min_leaf=15)
     both, early = bo.fit_boosted(df, ["a", "b"], ["c"], "y", cfg, [F.lit(True), ~F.col("late")])

@@ -12,12 +12,14 @@ rows, trees and end.
 
 A task gets a row's margin from the trees so far. Workers keep the margins of the blocks they last saw and add the new
 trees only; a worker without them starts from the first tree and comes to the same numbers. Sums are taken in block
-order, so they do not depend on the order of arrival.
+order, so they do not depend on the order of arrival. Rows that fill no more than one block (BLOCK_ROWS) need no
+rounds: the task that holds them grows the same trees by the same steps.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator, Mapping, Sequence
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
 
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 200_000
 KEPT_BYTES = 256 << 20
 SPLIT = "fit int, node int, feature int, gain double, bin int, g double, h double, n double, gl double, hl double, nl double"
 
@@ -229,12 +231,14 @@ def _column(batch, name: str) -> np.ndarray:
     return v.to_numpy(zero_copy_only=False).astype("<i8" if name == "_m" else "<f8")
 
 
-def make_blocks(df: DataFrame, inputs: Inputs, label: str, member: Sequence[Column]) -> DataFrame:
+def make_blocks(df: DataFrame, inputs: Inputs, label: str, member: Sequence[Column], rows_in_all: int) -> DataFrame:
     """Stored blocks: binned columns, labels and, per fit, whether it learns from the row."""
     flags = F.lit(0)
     for k, m in enumerate(member):
         flags = flags + F.when(m, 1 << k).otherwise(0)
     rows = df.select(*inputs.columns, F.col(label).cast("double").alias("_y"), flags.cast("long").alias("_m"))
+    if rows_in_all <= BLOCK_ROWS:
+        rows = rows.coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size, made = TaskContext.get().partitionId(), [], 0, 0
@@ -323,6 +327,32 @@ def best_split(hist: np.ndarray, cfg: Boosting) -> tuple[tuple, tuple]:
     return tuple(total), (best, k, tuple(left[:, k]) if len(gain) else tuple(total))
 
 
+def _alone(blocks: DataFrame, cfg: Boosting, bases: Sequence[float], width: int, bins: int) -> list[list[Tree]]:
+    """The trees of all fits, grown in the task that holds the only block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                state, growths = _block(row, width, bases), [Growth(cfg, b) for b in bases]
+                while not all(g.done for g in growths):
+                    grow = {k: (g.trees, g.explored(), g.asked) for k, g in enumerate(growths) if not g.done}
+                    found: dict = {k: {} for k in grow}
+                    for fit, node, hist in _sums(state, cfg, grow, bins, width):
+                        for f in range(width):
+                            total, (gain, k, left) = best_split(hist[f], cfg)
+                            _keep(found[fit], node, total, (gain, f, k, left))
+                    for k in grow:
+                        growths[k].learn(found[k])
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([g.trees for g in growths])])], ["trees"])
+    return pickle.loads(blocks.select("block", "x", "y", "m").mapInArrow(run, "trees binary").first()["trees"])
+
+
+def _keep(found: dict, node: int, total: tuple, split: tuple) -> None:
+    """Keep the split of the largest gain, of the first feature on a tie."""
+    kept = found.get(node)
+    if kept is None or (split[0], -split[1]) > (kept[1][0], -kept[1][1]):
+        found[node] = total, split
+
+
 def _round(blocks: DataFrame, cfg: Boosting, growths: Sequence[Growth], width: int, bins: int, name: str) -> dict:
     """Best split of every asked node, over all features."""
     grow = {k: (g.trees, g.explored(), g.asked) for k, g in enumerate(growths) if not g.done}
@@ -363,9 +393,7 @@ def _round(blocks: DataFrame, cfg: Boosting, growths: Sequence[Growth], width: i
         partial, "fit int, node int, feature int, first string, hist array<double>")
     found: dict = {}
     for r in cells.repartition("fit", "node", "feature").mapInArrow(reduce, SPLIT).collect():  # a row per asked node and feature
-        kept = found.setdefault(r.fit, {}).get(r.node)
-        if kept is None or (r.gain, -r.feature) > (kept[1][0], -kept[1][1]):
-            found[r.fit][r.node] = (r.g, r.h, r.n), (r.gain, r.feature, r.bin, (r.gl, r.hl, r.nl))
+        _keep(found.setdefault(r.fit, {}), r.node, (r.g, r.h, r.n), (r.gain, r.feature, r.bin, (r.gl, r.hl, r.nl)))
     shared.destroy()
     return found
 
@@ -405,11 +433,14 @@ def fit_boosted(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     member = [F.lit(True)] if member is None else list(member)
     used = df.where(F.col(label).isNotNull() & F.greatest(*member, F.lit(False)))
     inputs = learn_inputs(used.where(member[0]), numeric, categorical, cfg.bins)
-    blocks = make_blocks(used, inputs, label, member).persist()
-    means = used.agg(*[F.avg(F.when(m, F.col(label).cast("double"))).alias(f"m{k}") for k, m in enumerate(member)]).first()
+    means = used.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.when(m, F.col(label).cast("double"))).alias(f"m{k}") for k, m in enumerate(member)]).first()
     growths = [Growth(cfg, cfg.start(means[f"m{k}"] or 0.0)) for k in range(len(member))]
+    blocks = make_blocks(used, inputs, label, member, means["n"]).persist()
     width, bins, name = len(inputs.names), cfg.bins + 2, uuid.uuid4().hex
     try:
+        if blocks.count() == 1:
+            for g, trees in zip(growths, _alone(blocks, cfg, [g.base for g in growths], width, bins)):
+                g.trees = trees
         while not all(g.done for g in growths):
             found = _round(blocks, cfg, growths, width, bins, name)
             for k, g in enumerate(growths):

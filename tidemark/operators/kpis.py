@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import flag, month_of, plus_days, ratio, true_or_false, ts
@@ -173,5 +173,7 @@ def recommended_actions(curve: DataFrame, points: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def history_tail(weekly: DataFrame, weeks: int) -> DataFrame:
-    return weekly.orderBy(F.desc("week_start")).limit(weeks)
+def history_tail(weekly: DataFrame, weeks: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The last weeks of every series (a series has one row per week)."""
+    last = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("week_start"))
+    return weekly.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= weeks).drop("_r")

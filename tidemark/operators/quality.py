@@ -59,10 +59,10 @@ def value_rules(df: DataFrame, spec: Table, start: str, end: str) -> DataFrame:
     if spec.time_column:
         t = F.col(spec.time_column)
         rules[f"{spec.time_column}: outside range"] = (t < ts(start)) | (t >= ts(end))
-    out = count_rules(df, spec.name, rules)
+    out = [count_rules(df, spec.name, rules)] if rules else []
     empty = df.agg(F.lit(spec.name).alias("table_name"), F.lit("empty").alias("rule"),
                    (F.count(F.lit(1)) == 0).cast("bigint").alias("violations"))
-    return out.unionByName(empty)
+    return union([*out, empty])
 
 
 def unexpected_values(df: DataFrame, column: str, allowed: Sequence[str], top: int = 5

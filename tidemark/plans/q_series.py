@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import rounded
+from tidemark.functions.lineage import cut
 from tidemark.operators import churn, forecast as fc, kpis, monitoring as mo
 from tidemark.operators import timewin as tw
 from tidemark.plans.q_features import CHURN_LABEL, CHURN_SQL, rnd, runs_cte
@@ -555,32 +556,105 @@ def t20w(spark, sf):
 
 
 @query("t20_live_forecast", with_views("""
-SELECT segment, horizon_week, round(forecast, 2) AS naive_4wk, round(lower_80, 2) AS lower_80,
+SELECT fv.segment, horizon_week, round(forecast, 2) AS naive_4wk, round(lower_80, 2) AS lower_80,
   round(upper_80, 2) AS upper_80, round(net_revenue, 3) AS same_week_last_year
-FROM fv LEFT JOIN swk USING (segment) WHERE week_start = origin + 7 * (horizon_week - 1) - 364
-""", SERIES + "," + FWD))
+FROM fv LEFT JOIN swk ON swk.segment = fv.segment
+  AND swk.week_start = origin + 7 * (horizon_week - 1) - 364""", SERIES + "," + FWD))
 def t20l(spark, sf):
     rows, _ = intervals(spark, sf)
     f = fc.empirical_intervals(live(spark, sf), rows, [*KEY, "horizon_week"], PLAN)
     f = f.withColumn("week_start", F.date_add("origin", 7 * (F.col("horizon_week") - 1)
                                               - fc.YEAR_DAYS))
-    j = f.join(fc.weekly_revenue(series(spark, sf), KEY), ["segment", "week_start"])
+    j = f.join(fc.weekly_revenue(series(spark, sf), KEY), ["segment", "week_start"], "left")
     return rnd(j.select("segment", "horizon_week", F.col("forecast").alias("naive_4wk"),
                         "lower_80", "upper_80", F.col("net_revenue")
                         .alias("same_week_last_year")),
                {"naive_4wk": 2, "lower_80": 2, "upper_80": 2, "same_week_last_year": 3})
 
 
+# Fixed value: the model whose intervals and totals are published.
+CHAMPION = "harmonic"
+
+
+def all_models(spark, sf):
+    """Backtest of the four models, written once: the pools and the totals read it."""
+    promos = fc.planned_promotions(ad.ledger(spark, sf)["campaigns"])
+    cal = fc.promo_calendar(promos, ad.LEDGER_START, ad.LEDGER_END)
+    d = series(spark, sf)
+    return cut(fc.baseline_backtest(d, PLAN, KEY).unionByName(
+        fc.harmonic_backtest(d, cal, PLAN, KEY, ad.LEDGER_START)))
+
+
+def live_outputs(spark, sf):
+    """The live issue of all models, with assumed promotions, and the champion's intervals."""
+    d, until = series(spark, sf), "2001-10-29"
+    promos = fc.repeat_promotions(fc.planned_promotions(ad.ledger(spark, sf)["campaigns"]), until)
+    cal = fc.promo_calendar(promos, ad.LEDGER_START, until)
+    issued = cut(fc.issue(d, cal, LIVE, PLAN, KEY, ad.LEDGER_START))
+    return fc.issued_with_intervals(issued, all_models(spark, sf), CHAMPION, PLAN, KEY, d)
+
+
+BOUNDS = {c: 2 for c in ("lower_50", "upper_50", "lower_80", "upper_80")}
+
+
+@query("t20_live_forecast_all_models")
+def t20_all(spark, sf):
+    return rounded(live_outputs(spark, sf)[0], 2)
+
+
+@query("t16_live_total_intervals")
+def t16_total(spark, sf):
+    return rounded(live_outputs(spark, sf)[1], 2)
+
+
+@query("t15_champion_intervals")
+def t15_champion(spark, sf):
+    rows = fc.weekly_pool(all_models(spark, sf).where(F.col("model") == CHAMPION))
+    return rounded(fc.empirical_intervals(rows, rows, [*KEY, "horizon_week"], PLAN), 2)
+
+
+def total_intervals(totals):
+    pool = fc.total_pool(totals, PLAN)
+    return fc.empirical_intervals(pool, pool, [*KEY, "model"], PLAN)
+
+
+@query("t15_champion_total_intervals")
+def t15_champion_total(spark, sf):
+    mine = all_models(spark, sf).where(F.col("model") == CHAMPION)
+    return rounded(total_intervals(cut(fc.horizon_totals(mine, KEY))), 2)
+
+
+@query("t15_total_intervals", with_views("""
+SELECT segment, model, origin, round(forecast, 4) AS forecast, calibration_n, calibration_last_observed,
+  round(lower_50, 2) AS lower_50, round(upper_50, 2) AS upper_50, round(lower_80, 2) AS lower_80,
+  round(upper_80, 2) AS upper_80 FROM (
+  SELECT q.segment, q.model, q.origin, q.forecast, count(p.ratio) AS calibration_n,
+    max(p.observed_at)::DATE AS calibration_last_observed,
+    CASE WHEN count(p.ratio) >= 12 THEN q.forecast * quantile_cont(p.ratio, 0.25) END AS lower_50,
+    CASE WHEN count(p.ratio) >= 12 THEN q.forecast * quantile_cont(p.ratio, 0.75) END AS upper_50,
+    CASE WHEN count(p.ratio) >= 12 THEN q.forecast * quantile_cont(p.ratio, 0.1) END AS lower_80,
+    CASE WHEN count(p.ratio) >= 12 THEN q.forecast * quantile_cont(p.ratio, 0.9) END AS upper_80
+  FROM tq q LEFT JOIN (SELECT a.*, b.origin AS asked, row_number() OVER (PARTITION BY a.segment, a.model, b.origin
+      ORDER BY a.origin DESC) AS r FROM tq a JOIN tq b ON a.segment = b.segment AND a.model = b.model
+      AND a.observed_at <= b.origin) p
+    ON p.segment = q.segment AND p.model = q.model AND p.asked = q.origin AND p.r <= 26
+  GROUP BY 1, 2, 3, 4)""", SERIES + """,
+tq AS (SELECT segment, origin, model, sum(forecast) AS forecast, sum(actual) / sum(forecast) AS ratio,
+    origin + 91 AS observed_at FROM bt GROUP BY 1, 2, 3 HAVING sum(forecast) IS NOT NULL)"""))
+def t15_total(spark, sf):
+    totals = cut(fc.horizon_totals(backtest(spark, sf), KEY))
+    return rnd(total_intervals(totals), {"forecast": 4, **BOUNDS})
+
+
 @query("g10_history_and_forecast", with_views("""
-SELECT segment, week_start, round(net_revenue, 3) AS value, 'actual' AS kind FROM (SELECT * FROM swk
-  WHERE segment = 'BUILDING' ORDER BY week_start DESC LIMIT 8)
+SELECT segment, week_start, round(net_revenue, 3) AS value, 'actual' AS kind FROM swk
+QUALIFY row_number() OVER (PARTITION BY segment ORDER BY week_start DESC) <= 8
 UNION ALL SELECT segment, CAST(origin + 7 * (horizon_week - 1) AS DATE), round(forecast, 3),
-  'forecast' FROM fv WHERE segment = 'BUILDING'""", SERIES + "," + FWD))
+  'forecast' FROM fv""", SERIES + "," + FWD))
 def g10(spark, sf):
-    w = fc.weekly_revenue(series(spark, sf), KEY).where("segment = 'BUILDING'")
-    h = kpis.history_tail(w, 8).select("segment", "week_start", F.col("net_revenue")
-                                       .alias("value"), F.lit("actual").alias("kind"))
-    f = live(spark, sf).where("segment = 'BUILDING'").select(
+    h = kpis.history_tail(fc.weekly_revenue(series(spark, sf), KEY), 8, KEY).select(
+        "segment", "week_start", F.col("net_revenue").alias("value"), F.lit("actual").alias("kind"))
+    f = live(spark, sf).select(
         "segment", F.date_add("origin", 7 * (F.col("horizon_week") - 1)).alias("week_start"),
         F.col("forecast").alias("value"), F.lit("forecast").alias("kind"))
     return rounded(h.unionByName(f), 3)

@@ -15,7 +15,7 @@ def cohort_retention(customers: DataFrame, orders: DataFrame, start: str, end: s
     """Cohort x month-since-acquisition grid; cells after the data end are null, not zero.
 
     Orders are reduced to (customer, month) before they meet the customer table, so the distinct
-    buyer count becomes a plain count.
+    buyer count becomes a plain count. An order before its customer's cohort month raises.
     """
     by = list(by)
     last = month_index(plus_days(ts(end), -1))
@@ -29,8 +29,11 @@ def cohort_retention(customers: DataFrame, orders: DataFrame, start: str, end: s
     monthly = orders.where(F.col("order_ts") < ts(end)).groupBy(
         "customer_id", month_index("order_ts").alias("_m")).agg(F.sum("net_amount")
                                                                 .alias("revenue"))
+    month = F.col("_m") - F.col("cohort_idx")
+    early = F.raise_error(F.concat(F.lit("order before the cohort month of customer "),
+                                   F.col("customer_id").cast("string")))
     activity = monthly.join(c, "customer_id").groupBy(
-        *by, "cohort_idx", (F.col("_m") - F.col("cohort_idx")).alias("months_since_acquisition")
+        *by, "cohort_idx", F.when(month < 0, early).otherwise(month).cast("bigint").alias("months_since_acquisition")
     ).agg(F.count(F.lit(1)).alias("buyers"), F.sum("revenue").alias("revenue"))
     out = grid.join(activity, [*by, "cohort_idx", "months_since_acquisition"], "left")
     for col, zero in (("buyers", F.lit(0)), ("revenue", F.lit(0.0))):
@@ -47,12 +50,6 @@ def cohort_retention(customers: DataFrame, orders: DataFrame, start: str, end: s
         .alias("cumulative_revenue_per_customer"))
 
 
-def negative_months(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """Orders placed before the customer's own cohort month (must be empty)."""
-    c = customers.select("customer_id", month_index("customer_since").alias("_c"))
-    return orders.join(c, "customer_id").where(month_index("order_ts") < F.col("_c"))
-
-
 def pooled_retention(table: DataFrame, follow_up_months: int, by: Sequence[str] = ()
                      ) -> DataFrame:
     """Retention over the fixed set of cohorts observed for at least ``follow_up_months``."""

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import plus_days, ts
@@ -97,11 +97,6 @@ def monthly_runs(first: str, last: str) -> list[str]:
     return out
 
 
-def cutoff_frame(spark: SparkSession, cutoffs: Sequence[str]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[ts(c) for c in cutoffs]))
-                                 .alias("run_cutoff"))
-
-
 def snapshot(tables: Mapping[str, DataFrame], cutoff: str) -> dict[str, DataFrame]:
     """Every table as it was known at the cutoff.
 
@@ -197,8 +192,8 @@ def nearest_rows(curve: DataFrame, col: str, target: float) -> DataFrame:
     """Rows at the saved value of ``col`` closest to the request (smaller one on a tie)."""
     best = curve.agg(F.min(F.struct(F.abs(F.col(col) - target).alias("d"), F.col(col).alias("v")))
                      .alias("b")).select(F.col("b.v").alias("_v"))
-    return curve.join(F.broadcast(best), F.col(col) == F.col("_v")).drop("_v")
+    return curve.join(F.broadcast(best), equals_within(F.col(col), F.col("_v"))).drop("_v")
 
 
-def equals_within(c: Column, value: float, tolerance: float = 1e-9) -> Column:
+def equals_within(c: Column, value: float | Column, tolerance: float = 1e-9) -> Column:
     return F.abs(c - value) < tolerance

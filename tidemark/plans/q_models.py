@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -520,6 +522,23 @@ def s1(spark, sf):
     return ad.table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
+STORED = {"orders": "g_orders", "customers": "g_customers", "order_lines": "g_lines"}
+
+
+@query("s1_load_tables", with_views("\nUNION ALL ".join(
+    f"SELECT '{n}' AS table_name, count(*) AS rows FROM {v}" for n, v in STORED.items())))
+def s1_load(spark, sf):
+    """Canonical tables written once and read back by name, in their declared types."""
+    from tidemark.schema import TABLES
+    from tidemark.session import scratch_dir
+    out, t = scratch_dir(spark, "canonical"), ad.ledger(spark, sf)
+    for n in STORED:
+        src.coerce(t[n], TABLES[n]).write.parquet(f"{out}/{n}.parquet")
+    found = src.load_tables(spark, out, list(STORED))
+    parts = [found[n].agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("rows")) for n in STORED]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("s2_type_coercion", with_views("""
 SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS customer_id, order_ts,
   order_channel, CAST(session_id AS VARCHAR) AS session_id, CAST(campaign_id AS VARCHAR)

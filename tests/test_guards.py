@@ -54,3 +54,12 @@ def test_tables_are_read_by_declared_name(spark, tmp_path):
     assert src.load_tables(spark, str(tmp_path), ["experiment_assignments"])["experiment_assignments"].count() == 1
     with pytest.raises(KeyError, match="unknown"):
         src.load_tables(spark, str(tmp_path), ["orders", "unknown"])
+
+
+def test_assumptions_are_named_and_in_range():
+    from tidemark.operators import targeting as tg
+    assert tg.assume(tg.RETENTION, save_rate=0.2)["incentive_cost"] == tg.RETENTION["incentive_cost"]
+    for bad in ({"save_rate": 1.2}, {"contact_cost": -1.0}, {"unknown": 0.5}):
+        with pytest.raises(ValueError, match="out of range"):
+            tg.assume(tg.RETENTION, **bad)
+    assert tg._perk_and_contact(tg.assume(tg.GROWTH, perk_cost=20.0)) == 10.0

@@ -272,14 +272,14 @@ def test_priority_list_is_the_global_top(spark):
 
 
 def test_daily_series_is_dense_and_weeks_are_complete(frame):
-    o = frame("order_ts timestamp_ntz, net_amount double",
-              [(day("2024-01-01T10:00:00"), 4.0), (day("2024-01-01T11:00:00"), 6.0),
-               (day("2024-01-03"), 12.0), (day("2024-01-05"), 99.0),
-               (day("2024-01-07T23:59:59"), 1.0)])
-    d = forecast.daily_revenue(o, "2024-01-01", "2024-01-05").orderBy("day").collect()
-    assert [r["net_revenue"] for r in d] == [10, 0, 12, 0]
-    w = forecast.weekly_revenue(forecast.daily_revenue(o, "2024-01-01", "2024-01-11")).collect()
-    assert [(r["week_start"], r["net_revenue"]) for r in w] == [(date(2024, 1, 1), 122.0)]
+    """Wednesday to the second Tuesday after: one whole week lies inside."""
+    sold = [("2023-10-04T08:15:00", 30.5), ("2023-10-04T21:00:00", 9.5), ("2023-10-09T00:00:00", 7.25),
+            ("2023-10-12T12:00:00", 50.0), ("2023-10-15T23:59:00", 2.75), ("2023-10-16T00:00:00", 500.0)]
+    o = frame("order_ts timestamp_ntz, net_amount double", [(day(at), amount) for at, amount in sold])
+    d = forecast.daily_revenue(o, "2023-10-04", "2023-10-10").orderBy("day").collect()
+    assert [r["net_revenue"] for r in d] == [40, 0, 0, 0, 0, 7.25]
+    w = forecast.weekly_revenue(forecast.daily_revenue(o, "2023-10-04", "2023-10-18")).collect()
+    assert [(r["week_start"], r["net_revenue"]) for r in w] == [(date(2023, 10, 9), 60.0)]
 
 
 def test_intervals_use_only_observed_errors(frame):

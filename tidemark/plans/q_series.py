@@ -145,7 +145,7 @@ def _curve(spark, sf):
     from tidemark.operators import targeting as tg
     return tg.simulate_policies(ad.score_frame(spark, sf), {"a": "score_a", "b": "score_b"},
                                 "label", "value", [0.05, 0.1, 0.2, 0.4],
-                                tg.RetentionAssumptions(save_rate=0.2), ["run_cutoff"])
+                                tg.assume(tg.RETENTION, save_rate=0.2), ["run_cutoff"])
 
 
 CURVE = """

@@ -15,8 +15,8 @@ from tidemark.plans.registry import query
 from tidemark.sources import adapters as ad
 from tidemark.sources.oracle_views import with_views
 
-RA = tg.RetentionAssumptions(save_rate=0.2, contact_cost=1.0, incentive_cost=10.0)
-GA = tg.GrowthAssumptions()
+RA = tg.assume(tg.RETENTION, save_rate=0.2)
+GA = tg.GROWTH
 RATE = 0.4
 RUN = ["run_cutoff"]
 NET = "(0.2::DOUBLE * score_a * (value - 10) - 1 - 5 * (1 - score_a))"

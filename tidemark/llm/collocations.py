@@ -54,7 +54,7 @@ JOINED = 8 << 20  # bytes of text that are split at once
 class Config:
     least: int = 30
     longest: int = 4
-    shards: int = 4
+    shards: int = 2
     bits: int = 24
     scale: int = 2_000_000
     inside: int = 80

@@ -86,8 +86,11 @@ def _encoded(categorical: Sequence[str]) -> list:
 
 def logistic_pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, rows: int,
                       c: float = 0.5) -> Pipeline:
-    """log1p + standardised numbers, one-hot levels, L2 with strength 1 / (C n)."""
-    logs = ", ".join(f"log1p({n}) AS _{n}_l" for n in numeric)
+    """log1p + standardised numbers, one-hot levels, L2 with strength 1 / (C n).
+
+    A missing number (such as the category count of a customer whose orders have no lines) counts as zero.
+    """
+    logs = ", ".join(f"coalesce(nanvl(log1p({n}), 0D), 0D) AS _{n}_l" for n in numeric)
     stages = [SQLTransformer(statement=f"SELECT *, {logs} FROM __THIS__"),
               VectorAssembler(inputCols=[f"_{n}_l" for n in numeric], outputCol="_num",
                               handleInvalid="keep"),

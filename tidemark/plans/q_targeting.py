@@ -371,7 +371,7 @@ FROM (SELECT DISTINCT customer_id FROM cu) c LEFT JOIN cfut USING (customer_id)
                                            CATS))
 def a20(spark, sf):
     t, past = _category_inputs(spark, sf)
-    base = past.select("customer_id").distinct()
+    base = ac.line_categories(past, t["order_lines"], t["products"]).select("customer_id").distinct()
     f = ac.future_categories(base, _future(t), t["order_lines"], t["products"])
     return f.select("customer_id", F.concat_ws(",", "future_categories").alias("categories"))
 

@@ -12,10 +12,10 @@ from tidemark.functions.lineage import cut
 from tidemark.functions.runs import ahead, before, join_parts, per_run, rows_of, unfold
 from tidemark.operators.leads import (
     added,
+    changed_rows,
     check_rows,
     cutoff_overlap,
     events_of,
-    frame_difference,
     recency_gaps,
     truncated,
 )
@@ -284,17 +284,14 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
              "subscription_events", "support_contacts")
     money = ("net_revenue_180d", "avg_order_value", "margin_180d", "discount_share")
 
-    def comparable(df: DataFrame) -> DataFrame:  # sums depend on addition order
-        return df.select(*[F.round(c, 4).alias(c) if c in money else F.col(c) for c in cols])
-
-    full = comparable(dataset.where(F.col("run_cutoff") == ts(probe)))
-    redo = comparable(build_features(truncated(tables, names, probe), [probe], active_days))
+    full = dataset.where(F.col("run_cutoff") == ts(probe)).select(cols)
+    redo = build_features(truncated(tables, names, probe), [probe], active_days).select(cols)
     hold = dataset.where(F.col("run_cutoff").isin([ts(r) for r in holdout_runs]))
     strong = single_feature_auc(hold, NUMERIC, "churned").agg(
         F.count_if(F.col("auc") >= auc_limit).alias("n"))
     return check_rows(
         ("features_only_from_pre_cutoff_rows", late_rows(tables, dataset)),
-        ("features_unchanged_when_future_rows_removed", frame_difference(full, redo)),
+        ("features_unchanged_when_future_rows_removed", changed_rows(full, redo, KEYS, money)),
         ("labels_only_from_prediction_window", redo_labels),
         ("every_scored_customer_active_at_cutoff", idle),
         ("every_scored_customer_acquired_before_cutoff", unborn),

@@ -23,7 +23,7 @@ from tidemark.operators.churn import (
     when,
 )
 from tidemark.operators.clv import CLV_COLUMNS, clv_features
-from tidemark.operators.leads import check_rows, cutoff_overlap, events_of, frame_difference, truncated
+from tidemark.operators.leads import changed_rows, check_rows, cutoff_overlap, events_of, truncated
 
 HORIZON_DAYS, MIN_HISTORY_DAYS = 180, 90
 WINDOWS = (90, 180, 365)
@@ -172,11 +172,8 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
     names = ("customers", "orders", "order_lines", "products", "sessions", "marketing_touches",
              "subscription_events", "support_contacts")
 
-    def comparable(df: DataFrame) -> DataFrame:
-        return df.select(*[F.round(c, 4).alias(c) if c in MONEY else F.col(c) for c in cols])
-
-    full = comparable(dataset.where(F.col("run_cutoff") == ts(probe)))
-    redo = comparable(build_features(truncated(tables, names, probe), [probe]))
+    full = dataset.where(F.col("run_cutoff") == ts(probe)).select(cols)
+    redo = build_features(truncated(tables, names, probe), [probe]).select(cols)
     hold = dataset.where(F.col("run_cutoff").isin([ts(r) for r in holdout_runs]))
     strong = None
     for f in NUMERIC:
@@ -186,7 +183,7 @@ def leakage_audit(tables: Mapping[str, DataFrame], dataset: DataFrame, cutoffs:
     strong = strong.agg(F.count_if(F.abs("spearman") >= corr_limit).alias("n"))
     return check_rows(
         ("features_only_from_pre_cutoff_rows", late_rows(tables, dataset)),
-        ("features_unchanged_when_future_rows_removed", frame_difference(full, redo)),
+        ("features_unchanged_when_future_rows_removed", changed_rows(full, redo, KEYS, MONEY)),
         ("labels_only_from_prediction_window", relabel),
         ("historical_spend_excludes_target_period", ledger),
         ("every_scored_customer_acquired_before_cutoff", unborn),

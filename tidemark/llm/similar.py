@@ -30,7 +30,8 @@ from pyspark.sql.types import DoubleType
 
 from tidemark.llm.common import fresh, store
 from tidemark.llm.components import components
-from tidemark.llm.simhash import SEED, words_of
+from tidemark.llm.simhash import SEED, fingerprint, words_of
+from tidemark.llm.simhash import links as links_of_prints
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -71,19 +72,19 @@ def _key():
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Stored: doc_id, key, fp (node), size, sketch, bands of every row."""
+    """Stored: doc_id, key, fp (node), print (SimHash fingerprint), size, sketch, bands of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(lo, TEXTS)
-                cols = zip(*map(_profile, (t.as_py() for t in some["text"])))
+                cols = zip(*(((p := _profile(t))[0], fingerprint(t), *p[1:]) for t in (x.as_py() for x in some["text"])))
                 yield pa.RecordBatch.from_arrays([some["doc_id"], some["key"], *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-                                                 ["doc_id", "key", "fp", "size", "sketch", "bands"])
+                                                 ["doc_id", "key", "fp", "print", "size", "sketch", "bands"])
     rows = docs.select("doc_id", _key().alias("key"), "text").mapInArrow(
-        run, f"doc_id {kind}, key long, fp long, size int, sketch binary, bands array<long>")
+        run, f"doc_id {kind}, key long, fp long, print long, size int, sketch binary, bands array<long>")
     return store(rows, "profiles")
 
 
@@ -143,8 +144,20 @@ def _across(members: DataFrame) -> DataFrame:
     return few.join(mixed, "band").where("root <> other").select(F.least("one", "fp").alias("a"), F.greatest("one", "fp").alias("b"))
 
 
-def classes(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """docs (doc_id, text) -> one row per row: doc_id, key, fp (of the shingle set), root, component_id."""
+def print_links(rows: DataFrame) -> DataFrame:
+    """Stored links (a, b) that join the sets of every SimHash class: of each class, its least set to all others."""
+    pairs = store(rows.select("fp", "print").distinct(), "prints")
+    roots = components(links_of_prints(pairs.select(F.col("print").alias("fp")).distinct()))
+    named = pairs.join(roots, F.col("print") == F.col("node"), "left").select(F.coalesce("root", "print").alias("class"), "fp").distinct()
+    least = named.groupBy("class").agg(F.min("fp").alias("a"))
+    return store(named.join(least, "class").where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "print-links")
+
+
+def classes(docs: DataFrame, rows: DataFrame | None = None, prints: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> one row per row: doc_id, key, fp (of the shingle set), root, component_id.
+
+    With ``prints`` the links of SimHash fingerprints count as well.
+    """
     rows = profiles(docs) if rows is None else rows
     nodes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("size").alias("size"),
                                          F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "nodes")
@@ -153,6 +166,8 @@ def classes(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     first = _plausible(met.where("a <> fp").select("a", F.col("fp").alias("b")), nodes)
     best = first.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
     links = _links(store(best, "best"), nodes, docs)
+    if prints:
+        links = links.unionByName(print_links(rows))
     members = _with_roots(met.select("band", "fp"), components(links))
     more = _plausible(_across(members), nodes)
     roots = components(links.unionByName(_links(more.select("a", "b"), nodes, docs)))
@@ -162,9 +177,9 @@ def classes(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
         "doc_id", "key", "fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, prints: bool = False) -> DataFrame:
     """One row of each class: the row with its least doc_id. Rows are found by id and key; only repeated rows are grouped."""
-    found = store(classes(docs.select("doc_id", "text")), "found")
+    found = store(classes(docs.select("doc_id", "text"), prints=prints), "found")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min(F.struct("key", "doc_id")).alias("row")).select("row.key", "row.doc_id")
     times = found.groupBy("key", "doc_id").agg(F.count("*").alias("n"))

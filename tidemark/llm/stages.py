@@ -39,8 +39,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents joined at a 5-word similarity of 0.8 or more the least doc_id stays."""
-    return similar.keep_first(docs)
+    """Of each near-duplicate class the least doc_id stays.
+
+    Documents are linked by op2's method (SimHash fingerprints at 2 or fewer differing bits, by ball hashing), and also
+    at a 5-word similarity of 0.8 or more, which finds edited copies whose fingerprints lie further apart.
+    """
+    return similar.keep_first(docs, prints=True)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,8 +109,9 @@ def prefix_counter(path: str) -> Callable[[str | None], tuple[list[int]]]:
     return one
 
 
+@lru_cache(maxsize=2)
 def total_counter(path: str) -> Callable[[str | None], tuple[int]]:
-    """text -> the count at its last position."""
+    """text -> the count at its last position. Kept for the life of a worker process, so its tasks share the counted words."""
     prefixes = vocabulary(path).prefixes
     last = Memo(lambda run: prefixes(run)[-1], WORDS)
 

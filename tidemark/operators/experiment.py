@@ -17,7 +17,9 @@ from tidemark.functions.cols import (
     true_or_false,
     ts,
 )
+from tidemark.functions.lineage import cut
 from tidemark.functions.numeric import p_chi2, p_normal, p_student, q_normal, q_student
+from tidemark.operators.ranking import by_score, running_extreme, running_totals, score_bounds
 from tidemark.operators.replicates import smallest_sums, split_sums
 
 # The analysis plan.
@@ -221,24 +223,36 @@ def decision(diff: Column, low: Column, high: Column, guardrails_pass: Column,
             .otherwise("ship_and_monitor"))
 
 
+def _adjusted(df: DataFrame, p: str, name: str, family: Sequence[str], worth: Column, descending: bool) -> DataFrame:
+    """The rows with an adjusted p-value.
+
+    ``worth`` gives the value of a distinct p from its totals in ascending order (see ``running_totals``): equal
+    p-values share the best of their ranks, so a distinct p is one row. The largest so far (from above: the least)
+    is taken inside buckets of p and carried over them, so no window holds a whole family. Missing p-values rank first.
+    """
+    rows = cut(df)  # an average made twice may differ in its last bit, and the result is joined by p
+    key = F.coalesce(F.col(p).cast("double"), F.lit(float("-inf")))
+    keyed = rows.select(*family, key.alias("_p"))
+    bounds = score_bounds(keyed.where(F.col("_p") > float("-inf")), "_p")
+    totals = running_totals(by_score(keyed, "_p", {}, family), [], family, descending=False, bounds=bounds)
+    each = totals.select(*family, "score", F.when(F.col("score") > float("-inf"), worth).alias("_w"))
+    far = running_extreme(each, "_w", F.min if descending else F.max, family, "score", descending, bounds)
+    adjusted = far.select(*[F.col(c).alias(f"_k_{c}") for c in family], F.col("score").alias("_p"), F.col("_w").alias("_a"))
+    same = key == F.col("_p")
+    for c in family:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return rows.join(adjusted, same).select(*rows.columns, F.least(F.lit(1.0), F.col("_a")).alias(name))
+
+
 def holm(df: DataFrame, p: str, name: str = "p_holm", family: Sequence[str] = ()) -> DataFrame:
-    """Step-down adjusted p-values over a family (a small result table)."""
-    fam = family or [F.lit(0)]
-    by_p = Window.partitionBy(*fam).orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*fam))
-    raw = df.withColumn("_r", (m - F.row_number().over(by_p) + 1) * F.col(p))
-    upto = by_p.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.withColumn(name, F.least(F.lit(1.0), F.max("_r").over(upto))).drop("_r")
+    """Step-down adjusted p-values over a family of any size."""
+    return _adjusted(df, p, name, family, (F.col("total_n") - F.col("before_n")) * F.col("score"), False)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, name: str = "q_bh", family: Sequence[str] = ()
                        ) -> DataFrame:
-    fam = family or [F.lit(0)]
-    by_p = Window.partitionBy(*fam).orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*fam))
-    raw = df.withColumn("_r", F.col(p) * m / F.row_number().over(by_p))
-    onward = by_p.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return raw.withColumn(name, F.least(F.lit(1.0), F.min("_r").over(onward))).drop("_r")
+    """Step-up false discovery rates over a family of any size."""
+    return _adjusted(df, p, name, family, F.col("score") * F.col("total_n") / F.col("upto_n"), True)
 
 
 def cochran_q(effects: DataFrame, by: str) -> DataFrame:

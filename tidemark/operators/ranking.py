@@ -10,7 +10,8 @@ bounds only balance the work: the totals are exact for any bounds.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -83,6 +84,21 @@ def running_totals(groups: DataFrame, sums: Sequence[str], runs: Runs = (), orde
             .drop("_bucket", *[f"_o_{x}" for x in names]))
 
 
+def running_extreme(groups: DataFrame, value: str, extreme: Callable[[str], Column], runs: Runs = (), order: str = "score",
+                    descending: bool = False, bounds: Sequence[float] = ()) -> DataFrame:
+    """``value`` replaced by its running maximum or minimum (``F.max`` or ``F.min``) in score order."""
+    g = with_bucket(groups, order, bounds, "_bucket")
+    keys = [*runs, "_bucket"]
+    way = F.desc if descending else F.asc
+    earlier = Window.partitionBy(*(runs or [F.lit(0)])).orderBy(way("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = g.groupBy(*keys).agg(extreme(value).alias("_end")).select(*keys, extreme("_end").over(earlier).alias("_carry"))
+    inside = Window.partitionBy(*keys).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = reduce(lambda a, b: a & b, [F.col(f"g.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys])
+    both = g.withColumn("_run", extreme(value).over(inside)).alias("g").join(carried.alias("c"), same)
+    pick = F.greatest if extreme is F.max else F.least
+    return both.select(*[pick("g._run", "c._carry").alias(value) if c == value else F.col(f"g.{c}") for c in groups.columns])
+
+
 def ranked_scores(df: DataFrame, score: str, sums: Mapping[str, Column], runs: Runs = (),
                   descending: bool = True, bounds: Sequence[float] | None = None) -> DataFrame:
     """``by_score`` followed by ``running_totals``."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import rounded
+from tidemark.functions.lineage import cut
 from tidemark.operators import cohorts as co
 from tidemark.operators import lifecycle as lc
 from tidemark.operators import segments as sg
@@ -470,10 +471,11 @@ SELECT unnest(['every_person_has_one_valid_state_once_created', 'every_created_p
   AS check_name, 0::BIGINT AS violations"""))
 def l26(spark, sf):
     from tidemark.operators.timewin import events_before
-    t = ad.ledger(spark, sf)
+    t = dict(ad.ledger(spark, sf))
+    t["customers"], t["prospects"] = cut(t["customers"]), cut(t["prospects"])  # read by every check
     cust = events_before(t["customers"], "customer_since", END)
-    p = panel(spark, sf)
-    table = co.cohort_retention(cust, t["orders"], "1995-01-01", END)
+    p = lc.build_panel(t["prospects"], t["customers"], t["orders"], FIRST, LAST, RULES)
+    table = cut(co.cohort_retention(cust, t["orders"], "1995-01-01", END))
     prof = sg.customer_profile(t, AS_OF, RULES)
     return lc.integrity_audit(t["prospects"], cust, t["orders"], p, table,
                               co.pooled_retention(table, 12), prof, AS_OF, FIRST, LAST, RULES)

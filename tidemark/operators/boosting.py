@@ -13,7 +13,7 @@ rows, trees and end.
 A task gets a row's margin from the trees so far. Workers keep the margins of the blocks they last saw and add the new
 trees only; a worker without them starts from the first tree and comes to the same numbers. Sums are taken in block
 order, so they do not depend on the order of arrival. Rows that fill no more than one block (BLOCK_ROWS) need no
-rounds: the task that holds them grows the same trees by the same steps.
+rounds: a task for each fit takes the block and grows the same trees by the same steps.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
 
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 400_000
 KEPT_BYTES = 256 << 20
 SPLIT = "fit int, node int, feature int, gain double, bin int, g double, h double, n double, gl double, hl double, nl double"
 
@@ -289,61 +289,90 @@ def recall(key, make) -> dict:
 def _block(row, width: int, bases: Sequence[float]) -> dict:
     x, y, m = np.frombuffer(row["x"], np.uint8), np.frombuffer(row["y"], "<f8"), np.frombuffer(row["m"], "<i8")
     return {"x": x.reshape(width, -1), "y": y, "m": m, "done": [0] * len(bases),
-            "margin": [np.full(len(y), b) for b in bases], "bytes": len(x) + 8 * len(y) * (2 + len(bases))}
+            "margin": [np.full(len(y), b) for b in bases], "slopes": {}, "nodes": {},
+            "bytes": len(x) + 8 * len(y) * (2 + 4 * len(bases))}
+
+
+def _node_rows(state: dict, fit: int, tree: Tree, count: int, asked: Sequence[int]) -> list[np.ndarray]:
+    """The rows of the asked nodes, in order; the rows of a node are parted once, however many rounds its tree takes."""
+    at, rows = state["nodes"].get(fit, (None, None))
+    if at != count:
+        rows = {0: np.flatnonzero(state["m"] >> fit & 1)}
+        state["nodes"][fit] = count, rows
+    parent = {int(k): i for i in range(len(tree.left)) if tree.left[i] != i for k in (tree.left[i], tree.right[i])}
+
+    def part(node: int) -> np.ndarray:
+        if node not in rows:
+            up = parent[node]
+            mine = part(up)
+            low = state["x"][tree.feature[up], mine] <= tree.bin[up]
+            rows[int(tree.left[up])], rows[int(tree.right[up])] = mine[low], mine[~low]
+            del rows[up]
+        return rows[node]
+    return [part(node) for node in asked]
 
 
 def _sums(state: dict, cfg: Boosting, grow, bins: int, width: int):
-    """(fit, node, histograms as features x bins x 3) of a block."""
+    """(fit, asked nodes with rows, histograms as nodes x features x 3 x bins) of a block."""
     x = state["x"]
     for fit, (trees, at_work, asked) in grow.items():
-        margin = state["margin"][fit]
-        for tree in trees[state["done"][fit]:]:
-            margin = margin + tree.value[tree.leaf(x)]
-        state["margin"][fit], state["done"][fit] = margin, len(trees)
-        mine = (state["m"] >> fit & 1).astype(bool)
-        at = at_work.leaf(x)
-        g, h = cfg.slopes(margin, state["y"])
-        for node in asked:
-            rows = np.flatnonzero(mine & (at == node))
-            if not len(rows):
-                continue
-            gr, hr, out = g[rows], h[rows], np.empty((width, 3, bins))
-            for f in range(width):
-                b = x[f, rows]
-                out[f] = np.bincount(b, gr, bins), np.bincount(b, hr, bins), np.bincount(b, minlength=bins)
-            yield fit, node, out
-
-
-def best_split(hist: np.ndarray, cfg: Boosting) -> tuple[tuple, tuple]:
-    """(sums of the node), (gain, bin, left sums) of one feature; gain 0 if no split is allowed. hist is 3 x bins."""
-    left = hist.cumsum(axis=1)
-    total, left = left[:, -1], left[:, :-1]
-    right = total[:, None] - left
-    ok = (left[2] >= cfg.min_leaf) & (right[2] >= cfg.min_leaf) & (left[1] >= cfg.min_hessian) & (right[1] >= cfg.min_hessian)
-    gain = left[0] ** 2 / (left[1] + cfg.l2) + right[0] ** 2 / (right[1] + cfg.l2) - total[0] ** 2 / (total[1] + cfg.l2)
+        if state["done"][fit] < len(trees) or fit not in state["slopes"]:
+            margin = state["margin"][fit]
+            for tree in trees[state["done"][fit]:]:
+                margin = margin + tree.value[tree.leaf(x)]
+            state["margin"][fit], state["done"][fit] = margin, len(trees)
+            state["slopes"][fit] = cfg.slopes(margin, state["y"])
+        g, h = state["slopes"][fit]
+        parts = _node_rows(state, fit, at_work, len(trees), asked)
+        nodes, parts = [n for n, p in zip(asked, parts) if len(p)], [p for p in parts if len(p)]
+        if not nodes:
+            continue
+        rows, k = np.concatenate(parts), len(nodes)
+        first = np.repeat(np.arange(k) * bins, [len(p) for p in parts])
+        gr, hr, out = g[rows], h[rows], np.empty((k, width, 3, bins))
+        for f in range(width):  # one pass for all nodes: a cell is (node, bin)
+            cell = first + x[f, rows]
+            for i, w in enumerate((gr, hr, None)):
+                out[:, f, i] = np.bincount(cell, w, k * bins).reshape(k, bins)
+        yield fit, nodes, out
+
+
+def best_splits(hist: np.ndarray, cfg: Boosting) -> tuple[np.ndarray, ...]:
+    """(sums, best gain, its bin, its left sums) of histograms (any x 3 x bins); gain 0 if no split is allowed."""
+    left = hist.cumsum(axis=-1)
+    total, left = left[..., -1], left[..., :-1]
+    right = total[..., None] - left
+    ok = ((left[:, 2] >= cfg.min_leaf) & (right[:, 2] >= cfg.min_leaf)
+          & (left[:, 1] >= cfg.min_hessian) & (right[:, 1] >= cfg.min_hessian))
+    gain = (left[:, 0] ** 2 / (left[:, 1] + cfg.l2) + right[:, 0] ** 2 / (right[:, 1] + cfg.l2)
+            - (total[:, 0] ** 2 / (total[:, 1] + cfg.l2))[:, None])
     gain = np.where(ok, gain, 0.0)
-    k = int(gain.argmax()) if len(gain) else 0
-    best = float(gain[k]) if len(gain) else 0.0
-    return tuple(total), (best, k, tuple(left[:, k]) if len(gain) else tuple(total))
+    k = gain.argmax(axis=1)
+    each = np.arange(len(k))
+    return total, gain[each, k], k, left[each, :, k]
 
 
 def _alone(blocks: DataFrame, cfg: Boosting, bases: Sequence[float], width: int, bins: int) -> list[list[Tree]]:
-    """The trees of all fits, grown in the task that holds the only block."""
+    """The trees of all fits; each fit grows in a task of its own that holds the only block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                state, growths = _block(row, width, bases), [Growth(cfg, b) for b in bases]
-                while not all(g.done for g in growths):
-                    grow = {k: (g.trees, g.explored(), g.asked) for k, g in enumerate(growths) if not g.done}
-                    found: dict = {k: {} for k in grow}
-                    for fit, node, hist in _sums(state, cfg, grow, bins, width):
-                        for f in range(width):
-                            total, (gain, k, left) = best_split(hist[f], cfg)
-                            _keep(found[fit], node, total, (gain, f, k, left))
-                    for k in grow:
-                        growths[k].learn(found[k])
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([g.trees for g in growths])])], ["trees"])
-    return pickle.loads(blocks.select("block", "x", "y", "m").mapInArrow(run, "trees binary").first()["trees"])
+                fit = row["fit"]
+                state, growth = _block(row, width, bases), Growth(cfg, bases[fit])
+                while not growth.done:
+                    found: dict = {}
+                    for _, nodes, hist in _sums(state, cfg, {fit: (growth.trees, growth.explored(), growth.asked)}, bins, width):
+                        total, gain, k, left = best_splits(hist.reshape(-1, 3, bins), cfg)
+                        best = gain.reshape(-1, width).argmax(axis=1)  # the first feature on a tie
+                        for i, (node, f) in enumerate(zip(nodes, best.tolist())):
+                            at = i * width + f
+                            found[node] = tuple(total[at].tolist()), (float(gain[at]), f, int(k[at]), tuple(left[at].tolist()))
+                    growth.learn(found)
+                yield pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), pa.array([pickle.dumps(growth.trees)])], ["fit", "trees"])
+
+    fits = blocks.select("block", "x", "y", "m", F.explode(F.array(*[F.lit(k) for k in range(len(bases))])).alias("fit"))
+    grown = fits.repartitionById(len(bases), "fit").mapInArrow(run, "fit int, trees binary").collect()  # the trees of each fit
+    return [pickle.loads(r["trees"]) for r in sorted(grown, key=lambda r: r["fit"])]
 
 
 def _keep(found: dict, node: int, total: tuple, split: tuple) -> None:
@@ -365,8 +394,9 @@ def _round(blocks: DataFrame, cfg: Boosting, growths: Sequence[Growth], width: i
             for row in batch.to_pylist():
                 first = min(first or row["block"], row["block"])
                 state = recall((name, row["block"]), lambda: _block(row, width, bases))
-                for fit, node, hist in _sums(state, cfg, shared.value, bins, width):
-                    sums[fit, node] = sums[fit, node] + hist if (fit, node) in sums else hist
+                for fit, nodes, hists in _sums(state, cfg, shared.value, bins, width):
+                    for node, hist in zip(nodes, hists):
+                        sums[fit, node] = sums[fit, node] + hist if (fit, node) in sums else hist
         keys = [(fit, node, f) for fit, node in sums for f in range(width)]
         flat = np.concatenate([h.reshape(width, -1) for h in sums.values()]) if sums else np.zeros((0, 3 * bins))
         cols = list(zip(*keys)) or [(), (), ()]
@@ -381,9 +411,10 @@ def _round(blocks: DataFrame, cfg: Boosting, growths: Sequence[Growth], width: i
             for *key, first, h in zip(*(batch[c].to_pylist() for c in ("fit", "node", "feature", "first")), hist):
                 parts.setdefault(tuple(key), []).append((first, h))
         rows = []
-        for key, hs in parts.items():
-            total, (gain, k, left) = best_split(np.sum([h for _, h in sorted(hs, key=lambda p: p[0])], axis=0), cfg)
-            rows.append((*key, gain, k, *total, *left))
+        if parts:
+            total, gain, k, left = best_splits(np.array([np.sum([h for _, h in sorted(hs, key=lambda p: p[0])], axis=0)
+                                                         for hs in parts.values()]), cfg)
+            rows = [(*key, g, i, *t, *lo) for key, g, i, t, lo in zip(parts, gain.tolist(), k.tolist(), total.tolist(), left.tolist())]
         kinds = [pa.int32()] * 3 + [pa.float64(), pa.int32()] + [pa.float64()] * 6
         cols = list(zip(*rows)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],

@@ -116,3 +116,21 @@ def test_every_word_has_bigrams_wherever_it_is_answered(spark, top):
     cfg = katz.Config(top=top, bucket_tokens=200, flush_tokens=150)
     model = same_as_brute(spark, TEXTS, TEXTS + OTHER, cfg)
     assert model.bigrams.where("rare").count() > 0
+
+
+@pytest.mark.parametrize("kind", [np.uint32, np.int64, float])
+def test_packed_numbers_come_back(kind):
+    for x in ([], [7], [0, 1, 2, 300, 70_000, 2**31]):
+        x = np.array(x, kind)
+        assert np.array_equal(katz.unpack(katz.pack(x), kind), x)
+        assert kind is float or np.array_equal(katz.unpack_rising(katz.pack_rising(x), kind), x)
+
+
+def test_bigrams_are_stored_and_moved_in_packed_rows(spark):
+    train = [" ".join(f"x{random.randrange(3000)}" for _ in range(400)) for _ in range(50)]
+    model = katz.train(spark.createDataFrame([(t,) for t in train], "text string"), katz.Config(top=0.0003))
+    pairs = Counter(p for t in train for p in zip(["<start>", *tokens(t)], tokens(t)))
+    rows = model.bigrams.collect()
+    rare = [r for r in rows if r.rare]
+    assert 0 < len(rare) <= model.buckets ** 2 and 0 < len(rows) - len(rare) <= model.buckets
+    assert sorted(n for r in rows for n in katz.unpack(r.n, np.int64).tolist()) == sorted(pairs.values())

@@ -16,10 +16,11 @@ Spark. Words that hold at least `Config.top` of the training tokens are numbered
 only where a key is answered, never the score. Counts of all training rows are summed per task first,
 then by key: words, bigrams of numbered words, and bigrams with a rare word are tables partitioned by
 bucket. The bucket of a rare bigram is that of its rare history, or else of its rare word, so the count
-and alpha of a rare history come from the rows of one bucket. Scoring adds at once what the broadcast
+and alpha of a rare history come from the rows of one bucket. Bigrams are stored and moved packed: a row holds arrays. Scoring adds at once what the broadcast
 tables hold (per-word figures of numbered words; the gain of a bigram that itself has `Config.top` of
 the tokens); other bigrams and rare words go to their bucket, packed as arrays, meet the stored counts
-there, and the sums return packed by the flush that sent them. A frequent key is never shuffled, so
+there, and the sums return packed by the flush that sent them. A rare word is sent once, with its neighbours, and stands
+for its own count and for all bigrams that its bucket answers. A frequent key is never shuffled, so
 no bucket is hot.
 
 A class model can be asked for: with `Config.share` above 0, words below that share of the tokens are
@@ -39,6 +40,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,6 +53,7 @@ END = b"\n"  # no word holds white space
 RARE_BIT = 1 << 62
 GOOD_TURING = 5
 DOCS, PAIRS, WORDS, RARES = 0, 1, 2, 3
+FAR = np.uint32(2**32 - 1)  # the word after is a rare one
 PAIR_FACTOR = np.int64(-7046029254386353131)
 
 
@@ -62,6 +65,26 @@ class Config:
     flush_tokens: int = 1_000_000
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, the first bytes of all before the second ones: high bytes are mostly equal."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    n, kind = int.from_bytes(raw[:8], "little"), np.dtype(kind)
+    planes = np.frombuffer(pa.decompress(raw[8:], n * kind.itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).reshape(n)
+
+
+def pack_rising(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_rising(raw: bytes, kind=np.int64) -> np.ndarray:
+    return np.cumsum(unpack(raw, kind), dtype=kind)
+
+
 def word_key(word: bytes) -> int:
     """62-bit hash of a word, told apart from word numbers by the bit above."""
     return xxhash.xxh64_intdigest(word, 42) & (RARE_BIT - 1) | RARE_BIT
@@ -201,8 +224,7 @@ def _counter_of_pairs(words, buckets: int, flush: int):
             keys = np.concatenate(held)
             held.clear()
             keys, n = np.unique(keys, return_counts=True)
-            # Keys of a bucket rise, so their steps compress well on the way.
-            yield pd.DataFrame([(b, np.diff(k, prepend=0).tobytes(), None, m.tobytes())
+            yield pd.DataFrame([(b, pack_rising(k), None, pack(m))
                                 for b, k, m in packed(keys % buckets, keys, n.astype(np.int32))], columns=PACKED)
             del keys, n
             if far:
@@ -210,7 +232,7 @@ def _counter_of_pairs(words, buckets: int, flush: int):
                 far.clear()
                 # On their first way rare bigrams go by a rare word before a rare history, which gives c(word).
                 h, c, n = _unique_pairs(h, c, np.ones(len(h), np.int32))
-                yield pd.DataFrame([(b, x.tobytes(), y.tobytes(), m.tobytes())
+                yield pd.DataFrame([(b, pack(x), pack(y), pack(m))
                                     for b, x, y, m in packed(_rare_key(c, h) % buckets, h, c, n.astype(np.int32))], columns=PACKED)
 
         for batch in batches:
@@ -229,28 +251,53 @@ def _counter_of_pairs(words, buckets: int, flush: int):
     return run
 
 
-def _sum_pairs(classes: int):
+def _sum_pairs(classes: int, buckets: int):
+    """Partial counts of a bucket -> packed rows of its summed bigrams; those of a rare history go to its bucket."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(frame["bucket"].iloc[0])
         rare = frame["words"].notna().to_numpy()
         out = []
-        for some, is_rare in ((frame[~rare], False), (frame[rare], True)):
-            if not len(some):
-                continue
-            n = np.concatenate([np.frombuffer(b, np.int32) for b in some["n"]]).astype(np.int64)
-            if is_rare:
-                h, c, n = _unique_pairs(*(np.concatenate([np.frombuffer(b, np.int64) for b in some[x]]) for x in ("keys", "words")), n)
-                _, place = np.unique(c, return_inverse=True)
-                total = np.where(c >= RARE_BIT, np.bincount(place, n)[place].astype(np.int64), 0)
-            else:
-                keys = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in some["keys"]])
-                order = np.argsort(keys, kind="stable")
-                keys, n = keys[order], n[order]
-                first = np.flatnonzero(np.diff(keys, prepend=-1))
-                keys, n = keys[first], np.add.reduceat(n, first)
-                h, c, total = keys // classes, keys % classes, np.zeros(len(keys), np.int64)
-            out.append(pd.DataFrame({"bucket": np.int32(frame["bucket"].iloc[0]), "rare": is_rare, "history": h, "word": c,
-                                     "n": n, "c": total}))
-        return pd.concat(out)
+        if not rare.all():
+            some = frame[~rare]
+            keys = np.concatenate([unpack_rising(b) for b in some["keys"]])
+            n = np.concatenate([unpack(b, np.int32) for b in some["n"]]).astype(np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            out.append((bucket, False, pack_rising(keys[first]), None, pack(np.add.reduceat(n, first)), None))
+        if rare.any():
+            some = frame[rare]
+            h, c, n = _unique_pairs(
+                np.concatenate([unpack(b, np.int64) for b in some["keys"]]), np.concatenate([unpack(b, np.int64) for b in some["words"]]),
+                np.concatenate([unpack(b, np.int32) for b in some["n"]]).astype(np.int64))
+            _, place = np.unique(c, return_inverse=True)
+            total = np.where(c >= RARE_BIT, np.bincount(place, n)[place].astype(np.int64), 0)
+            at = _rare_key(h, c) % buckets
+            order = np.lexsort((c, h, at))
+            at, h, c, n, total = (x[order] for x in (at, h, c, n, total))
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            for lo, hi in zip(first, [*first[1:], len(at)]):
+                out.append((int(at[lo]), True, pack_rising(h[lo:hi]), pack(c[lo:hi]), pack(n[lo:hi]), pack(total[lo:hi])))
+        return pd.DataFrame(out, columns=["bucket", "rare", "keys", "words", "n", "c"])
+    return run
+
+
+def _counts_of_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums = np.zeros(GOOD_TURING + 3, np.int64)
+    for batch in batches:
+        for raw in batch["n"]:
+            sums += np.bincount(np.minimum(unpack(raw, np.int64), GOOD_TURING + 2), minlength=len(sums))
+    yield pd.DataFrame({"r": np.arange(len(sums)), "n": sums})
+
+
+def _most_frequent(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for keys, raw in zip(batch["keys"], batch["n"]):
+                n = unpack(raw, np.int64)
+                if len(n) and n.max() >= least:
+                    at = n >= least
+                    yield pd.DataFrame({"k": unpack_rising(keys)[at], "n": n[at]})
     return run
 
 
@@ -259,7 +306,7 @@ class Model:
     """Stored count tables and the bounded tables of numbered words."""
 
     unigrams: DataFrame  # bucket, word, n
-    bigrams: DataFrame  # bucket, rare (whether one of the words is), history, word, n, c (of a rare word)
+    bigrams: DataFrame  # bucket, rare (whether one of the words is), packed keys (or histories), words, n, c (of a rare word)
     buckets: int
     words: Words
     d: np.ndarray
@@ -292,35 +339,40 @@ def train(docs: DataFrame, cfg: Config = Config()) -> Model:
     shared = spark.sparkContext.broadcast(words)
     packed = docs.mapInPandas(_counter_of_pairs(shared, buckets, cfg.flush_tokens), "bucket int, keys binary, words binary, n binary")
     bigrams = store(packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
-        _sum_pairs(words.classes), "bucket int, rare boolean, history long, word long, n long, c long"), "katz-bigrams", by="bucket")
-    counts = {r.r: r.n for r in bigrams.groupBy(F.least("n", F.lit(GOOD_TURING + 2)).alias("r")).agg(
-        F.count("*").alias("n")).collect()}
+        _sum_pairs(words.classes, buckets), BIGRAMS), "katz-bigrams")
+    counts = {r.r: r.n for r in bigrams.select("n").mapInPandas(_counts_of_counts, "r int, n long").groupBy("r").agg(
+        F.sum("n").alias("n")).where("n > 0").collect()}
     d = discounts(counts)
-    history, alpha, scale = _backoff(spark, bigrams, words, d)
-    top = bigrams.where(~F.col("rare") & (F.col("n") >= least)).select(
-        (F.col("history") * words.classes + F.col("word")).alias("k"), "n").toPandas().sort_values("k") \
+    history, alpha, scale = _backoff(bigrams, shared, words, d)
+    top = bigrams.where(~F.col("rare")).select("keys", "n").mapInPandas(_most_frequent(least), "k long, n long").toPandas().sort_values("k") \
         if floor >= 1 else pd.DataFrame({"k": [], "n": []})
     return Model(unigrams, bigrams, buckets, words, d, history, alpha, scale,
                  top["k"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
 
 
-def _backoff(spark, bigrams: DataFrame, words: Words, d: np.ndarray):
+def _backoff(bigrams: DataFrame, shared, words: Words, d: np.ndarray):
     """Per numbered history: count, alpha, and scale; one row each comes to the driver."""
-    p1 = words.unigram()
-    table = spark.createDataFrame(pd.DataFrame({"word": np.arange(len(p1)), "p": p1}))
-
-    def kept(d: np.ndarray, n: str):
-        cut = F.lit(1.0)
-        for r in range(1, GOOD_TURING + 1):
-            cut = F.when(F.col(n) == r, F.lit(float(d[r]))).otherwise(cut)
-        return cut * F.col(n)
-
-    ended = bigrams.where("not rare").join(F.broadcast(table), "word").select("history", "n", "p").unionByName(
-        bigrams.where(F.col("rare") & (F.col("history") < RARE_BIT)).select(
-            "history", "n", (kept(words.d1, "c") / (words.tokens + 1.0)).alias("p")))
-    rows = ended.groupBy("history").agg(
-        F.sum("n").alias("c"), F.sum(kept(d, "n")).alias("kept"), F.sum("p").alias("p"),
-        F.count("*").alias("seen")).toPandas()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = shared.value
+        p1, sums = w.unigram(), np.zeros((4, w.classes))
+        for batch in batches:
+            for rare, keys, others, raw, totals in batch.itertuples(index=False):
+                h, n = unpack_rising(keys), unpack(raw, np.int64)
+                if rare:
+                    here = h < RARE_BIT
+                    if not here.any():
+                        continue
+                    h, n, p = h[here], n[here], w.word_p(unpack(totals, np.int64)[here])
+                else:
+                    h, p = h // w.classes, p1[h % w.classes]
+                for k, x in enumerate((n, discount(d, n) * n, p, None)):
+                    sums[k] += np.bincount(h, x, w.classes)
+        at = np.flatnonzero(sums[3])
+        yield pd.DataFrame({"history": at, **dict(zip(("c", "kept", "p", "seen"), sums[:, at]))})
+
+    parts = bigrams.select("rare", "keys", "words", "n", "c").mapInPandas(
+        run, "history long, c double, kept double, p double, seen double")
+    rows = parts.groupBy("history").agg(*(F.sum(x).alias(x) for x in ("c", "kept", "p", "seen"))).toPandas()
     history, alpha, scale = np.zeros(words.classes), np.ones(words.classes), np.ones(words.classes)
     at, c = rows["history"].to_numpy(np.int64), rows["c"].to_numpy(float)
     mass = rows["kept"].to_numpy(float) / (c + 1)
@@ -343,6 +395,7 @@ class Tables:
     scale: np.ndarray
     frequent: np.ndarray
     frequent_n: np.ndarray
+    floor: float  # bigrams from this count on are in the table of frequent ones
 
     def gain(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
         """What a seen bigram adds to the back-off value of its token."""
@@ -352,7 +405,20 @@ class Tables:
 
 
 PACKED = ["bucket", "keys", "words", "n"]
-OUT = ["kind", "bucket", "grp", "base", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "keys", "docs"]
+BIGRAMS = "bucket int, rare boolean, keys binary, words binary, n binary, c binary"
+OUT = ["kind", "bucket", "grp", "base", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score",
+       "keys", "docs", "before", "after", "far"]
+
+
+def _neighbours(a: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rare words of a text: the history one more, or 0 if it is rare (its own row has this bigram); and the word
+    after one more, its key if it is rare, or 0 where the text ends. No neighbours where rare words are folded."""
+    here = a >= RARE_BIT
+    if w.fold:
+        return np.zeros(here.sum(), np.uint32), np.zeros(here.sum(), np.int64)
+    before = np.concatenate([[w.start], a[:-1]])[here]
+    after = np.where(a < RARE_BIT, a + 1, a)
+    return np.where(before < RARE_BIT, before + 1, 0).astype(np.uint32), np.append(after[1:], 0)[here]
 
 
 def _send(tables, flush: int):
@@ -367,20 +433,28 @@ def _send(tables, flush: int):
         log_c = np.log10(w.counts + 0.1) - floor
         gains = t.gain(t.frequent, t.frequent_n) if len(t.frequent) else np.zeros(0)
         base = uid = TaskContext.get().partitionId() << 36
-        held, size, docs = {PAIRS: [], WORDS: [], RARES: []}, 0, []
+        held, size, docs = {PAIRS: [], WORDS: []}, 0, []
 
         def requests():
             rows = []
             for kind, some in held.items():
                 if some:
-                    keys = np.concatenate([k for _, k, _ in some])
-                    at = np.repeat(np.array([d for d, _, _ in some], np.int32), [len(k) for _, k, _ in some])
-                    bucket = (np.concatenate([k for _, _, k in some]) if kind == RARES else keys) % t.buckets
-                    order = np.argsort(bucket.astype(np.int32), kind="stable")
-                    keys, at = keys[order], at[order]
+                    columns = [np.concatenate(x) for x in list(zip(*some))[1:]]
+                    at = np.repeat(np.array([x[0] for x in some], np.uint32), [len(x[1]) for x in some])
+                    bucket = (columns[0] % t.buckets).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    columns, at = [x[order] for x in columns], at[order]
                     edges = np.searchsorted(bucket[order], np.arange(t.buckets + 1))
-                    rows += [(kind, b, base, base, None, None, 0, 0, 0.0, 0.0, keys[lo:hi].tobytes(), at[lo:hi].tobytes())
-                             for b, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+                    for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                        if hi == lo:
+                            continue
+                        keys, more = columns[0][lo:hi], (None, None, None)
+                        if kind == WORDS:
+                            after = columns[2][lo:hi]
+                            far = after >= RARE_BIT
+                            more = (pack(columns[1][lo:hi]), pack(np.where(far, FAR, after).astype(np.uint32)), pack(after[far]))
+                        rows.append((kind, b, base, base, None, None, 0, 0, 0.0, 0.0,
+                                     pack(keys if kind == WORDS else keys // t.buckets), pack_rising(at[lo:hi]), *more))
                 some.clear()
             return pd.DataFrame(rows, columns=OUT)
 
@@ -398,13 +472,10 @@ def _send(tables, flush: int):
                     score += gains[at[hit]].sum()
                     pairs = pairs[~hit]
                 docs.append((DOCS, uid % t.buckets, base, uid, doc_id, held_out, len(a), int(known.sum()),
-                             float(log_c[a[known]].sum()), float(score), None, None))
-                held[PAIRS].append((uid - base, pairs, pairs))
+                             float(log_c[a[known]].sum()), float(score), *[None] * 5))
+                held[PAIRS].append((uid - base, pairs))
                 if not known.all():
-                    held[WORDS].append((uid - base, a[~known], a[~known]))
-                if rare.any():
-                    h, c = h[rare], c[rare]
-                    held[RARES].append((uid - base, _pair_key(h, c), _rare_key(h, c)))
+                    held[WORDS].append((uid - base, a[~known], *_neighbours(a, w)))
                 uid += 1
                 size += len(a)
                 if size >= flush:
@@ -417,12 +488,18 @@ def _send(tables, flush: int):
     return run
 
 
+def _joined(parts) -> np.ndarray:
+    parts = list(parts)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 class _Rares:
     """The rare bigrams of a bucket: their gains, and log alpha of its rare histories."""
 
     def __init__(self, t: Tables, rows: pd.DataFrame):
         w = t.words
-        h, c, n, total = (rows[x].to_numpy(np.int64) for x in ("key", "other", "n", "c"))
+        h, c, n, total = (_joined(of(b, np.int64) for b in rows[x]) for x, of in (
+            ("keys", unpack_rising), ("words", unpack), ("n", unpack), ("c", unpack)))
         p = w.word_p(total)
         p[c < RARE_BIT] = w.unigram()[c[c < RARE_BIT]]
         kept = discount(t.d, n) * n
@@ -465,38 +542,49 @@ def _meet(tables):
         out = [own.rename(columns={"base": "uid"}).assign(uids=none, sums=none)]
         floor = np.log10(w.tokens + 0.1 * (w.distinct + 1))
         rares = _Rares(t, stored[stored["kind"] == RARES])
-        for kind in (PAIRS, WORDS, RARES):
+        sums = []  # documents, words seen, base and score to add
+        for kind in (PAIRS, WORDS):
             rows, have = asked[asked["kind"] == kind], stored[stored["kind"] == kind]
             if not len(rows):
                 continue
-            keys = np.concatenate([np.frombuffer(b, np.int64) for b in rows["keys"]])
-            docs = np.concatenate([np.frombuffer(b, np.int32).astype(np.int64) + base for b, base in zip(rows["docs"], rows["base"])])
-            known, n = have["key"].to_numpy(np.int64), have["n"].to_numpy(np.int64)
+            keys = np.concatenate([unpack(b, np.int64) for b in rows["keys"]])
+            docs = np.concatenate([unpack_rising(b, np.uint32).astype(np.int64) + base for b, base in zip(rows["docs"], rows["base"])])
+            if kind == PAIRS:
+                keys = keys * t.buckets + int(rows["bucket"].iloc[0])
+                known, n = _joined(map(unpack_rising, have["keys"])), _joined(unpack(b, np.int64) for b in have["n"])
+            else:
+                known, n = have["word"].to_numpy(np.int64), have["m"].to_numpy(np.int64)
             order = np.argsort(known)
             known, n = known[order], n[order]
             at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
             hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-            if kind == RARES:
-                hit, add = rares.gains(keys)
-                keys, docs, add = keys[hit], docs[hit], add[hit]
-                base, seen = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-            elif kind == PAIRS:
-                keys, docs, c = keys[hit], docs[hit], n[at[hit]]
-                add, base, seen = t.gain(keys, c), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+            if kind == PAIRS:
+                hit[hit] = n[at[hit]] < t.floor  # the others were answered from the broadcast table
+                sums.append((docs[hit], None, None, t.gain(keys[hit], n[at[hit]])))
+                continue
+            c = np.where(hit, n[at], 0) if len(known) else np.zeros(len(keys), np.int64)
+            if w.fold:
+                add = np.log10(np.where(hit, c, w.hapaxes + 1) / w.rare_total())
             else:
-                c = np.where(hit, n[at], 0) if len(known) else np.zeros(len(keys), np.int64)
-                if w.fold:
-                    add = np.log10(np.where(hit, c, w.hapaxes + 1) / w.rare_total())
-                else:
-                    add = np.log10(np.where(hit, w.word_p(c), w.rest)) + rares.alphas(keys)
-                base, seen = np.log10(c + 0.1) - floor, hit.astype(np.int64)
-            uid, place = np.unique(docs, return_inverse=True)
-            sums = np.array([np.bincount(place, x, len(uid)) for x in (seen, base, add)])
-            groups = np.unique(rows["grp"])
+                before = np.concatenate([unpack(b, np.uint32) for b in rows["before"]]).astype(np.int64)
+                after = np.concatenate([unpack(b, np.uint32) for b in rows["after"]])
+                far, after = after == FAR, after.astype(np.int64) - 1
+                after[far] = np.concatenate([unpack(b, np.int64) for b in rows["far"]])
+                add = np.log10(np.where(hit, w.word_p(c), w.rest)) + np.where(after >= 0, rares.alphas(keys), 0.0)
+                some = before > 0
+                add[some] += rares.gains(_pair_key(before[some] - 1, keys[some]))[1]
+                some = after >= 0
+                add[some] += rares.gains(_pair_key(keys[some], after[some]))[1]
+            sums.append((docs, hit, np.log10(c + 0.1) - floor, add))
+        if sums:
+            uid, place = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+            total = np.array([np.bincount(place, np.concatenate([np.zeros(len(x[0])) if x[k] is None else x[k] for x in sums]), len(uid))
+                              for k in (1, 2, 3)])
+            groups = np.unique(asked.loc[asked["kind"] != DOCS, "grp"])
             # The documents of a flush are numbered from its own number on, up to the next flush.
             edges = [*np.searchsorted(uid, groups), len(uid)]
             out.append(pd.DataFrame(
-                [(g, g, None, None, 0, 0, 0.0, 0.0, uid[lo:hi].tobytes(), sums[:, lo:hi].tobytes())
+                [(g, g, None, None, 0, 0, 0.0, 0.0, pack_rising(uid[lo:hi] - g), pack(total[:, lo:hi].ravel()))
                  for g, lo, hi in zip(groups, edges, edges[1:]) if hi > lo], columns=out[0].columns))
         return pd.concat([x.astype(object) for x in out if len(x)] or out[:1])
     return run
@@ -508,8 +596,8 @@ def _add(frame: pd.DataFrame) -> pd.DataFrame:
     docs = frame[~packed].sort_values("uid")
     total = docs[["n_known", "base_score", "score"]].to_numpy(float).T.copy()
     at = docs["uid"].to_numpy(np.int64)
-    for uids, sums in zip(frame.loc[packed, "uids"], frame.loc[packed, "sums"]):
-        total[:, np.searchsorted(at, np.frombuffer(uids, np.int64))] += np.frombuffer(sums).reshape(3, -1)
+    for grp, uids, sums in zip(frame.loc[packed, "grp"], frame.loc[packed, "uids"], frame.loc[packed, "sums"]):
+        total[:, np.searchsorted(at, unpack_rising(uids) + grp)] += unpack(sums, float).reshape(3, -1)
     return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": docs["n_tokens"],
                          "n_known": total[0].astype(np.int64), "base_score": total[1], "score": total[2]})
 
@@ -518,27 +606,21 @@ def score(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
     """docs (doc_id, held_out, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, w = docs.sparkSession, model.words
     kind = dict(docs.dtypes)["doc_id"]
-    shared = spark.sparkContext.broadcast(Tables(w, model.buckets, model.d, model.history, model.alpha, model.scale,
-                                                 model.frequent, model.frequent_n))
+    floor = (cfg.share or cfg.top) * w.tokens
+    shared = spark.sparkContext.broadcast(Tables(w, model.buckets, model.d, model.history, model.alpha, model.scale, model.frequent,
+                                                 model.frequent_n, floor if len(model.frequent) else float("inf")))
     # Ids travel as text: pandas would turn a nullable long into a double.
     counts = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text").mapInPandas(
-        _send(shared, cfg.flush_tokens), f"kind int, bucket int, grp long, base long, {counts}, keys binary, docs binary")
-    floor = (cfg.share or cfg.top) * w.tokens
-    none = [F.lit(0).cast("long").alias(x) for x in ("other", "c")]
-    pairs = model.bigrams.where("not rare").select(
-        "bucket", F.lit(PAIRS).alias("kind"), (F.col("history") * w.classes + F.col("word")).alias("key"), "n", *none)
-    words = model.unigrams.select(F.pmod("word", F.lit(model.buckets)).cast("int").alias("bucket"),
-                                  F.lit(WORDS).alias("kind"), F.col("word").alias("key"), "n", *none)
-    rares = model.bigrams.where("rare").select(
-        F.pmod(F.when(F.col("history") >= RARE_BIT, F.col("history")).otherwise(F.col("word")), F.lit(model.buckets))
-        .cast("int").alias("bucket"), F.lit(RARES).alias("kind"), F.col("history").alias("key"), "n",
-        F.col("word").alias("other"), "c")
+        _send(shared, cfg.flush_tokens), f"kind int, bucket int, grp long, base long, {counts}, keys binary, docs binary, before binary, after binary, far binary")
+    bigrams = model.bigrams.select("bucket", F.when(F.col("rare"), RARES).otherwise(PAIRS).alias("kind"), "keys", "words", "n", "c",
+                                   *[F.lit(0).cast("long").alias(x) for x in ("word", "m")])
+    words = model.unigrams.select(F.pmod("word", F.lit(model.buckets)).cast("int").alias("bucket"), F.lit(WORDS).alias("kind"),
+                                  *[F.lit(None).cast("binary").alias(x) for x in ("keys", "words", "n", "c")],
+                                  "word", F.col("n").alias("m"))
     if len(w.keys):
-        words = words.where(F.col("n") < max(1.0, floor))
-    if len(model.frequent):
-        pairs = pairs.where(F.col("n") < floor)
-    stored = pairs.unionByName(words).unionByName(rares)
+        words = words.where(F.col("m") < max(1.0, floor))
+    stored = bigrams.unionByName(words)
     met = asked.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInPandas(
         _meet(shared), f"grp long, uid long, {counts}, uids binary, sums binary")
     return met.groupBy("grp").applyInPandas(_add, counts).select(

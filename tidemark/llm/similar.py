@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.llm.common import fresh, store
+from tidemark.llm.common import fresh, settle, store
 from tidemark.llm.components import components
 from tidemark.llm.simhash import SEED, fingerprint, words_of
 from tidemark.llm.simhash import links as links_of_prints
@@ -83,6 +83,8 @@ def profiles(docs: DataFrame) -> DataFrame:
                 cols = zip(*(((p := _profile(t))[0], fingerprint(t), *p[1:]) for t in (x.as_py() for x in some["text"])))
                 yield pa.RecordBatch.from_arrays([some["doc_id"], some["key"], *[pa.array(c, k) for c, k in zip(cols, kinds)]],
                                                  ["doc_id", "key", "fp", "print", "size", "sketch", "bands"])
+        batch = some = cols = None
+        settle()
     rows = docs.select("doc_id", _key().alias("key"), "text").mapInArrow(
         run, f"doc_id {kind}, key long, fp long, print long, size int, sketch binary, bands array<long>")
     return store(rows, "profiles")
@@ -122,6 +124,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 part = some.slice(lo, TEXTS)
                 sets = [shingles(t.as_py()).view(np.int64) for t in part["text"]]
                 yield pa.RecordBatch.from_arrays([part["key"], pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
+        batch = some = part = sets = None
+        settle()
 
     made = docs.select(_key().alias("key"), "text").mapInArrow(run, "key long, set array<long>")
     sets = store(made.join(wanted, "key").groupBy("fp").agg(F.first("set").alias("set")), "sets")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, secrets, similar, toxicity
-from tidemark.llm.common import fresh, id_bucket, table
+from tidemark.llm.common import fresh, id_bucket, settle, table
 from tidemark.llm.q_packing import packed_digest
 
 
@@ -35,6 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for lo in range(0, batch.num_rows, TEXTS):  # few texts at a time are held as Python strings
                 some = batch.slice(lo, TEXTS)
                 yield some.filter(pa.array([one(t.as_py())[0] < 0.5 for t in some["text"]], pa.bool_()))
+        one = batch = some = None
+        settle()
     return docs.mapInArrow(run, docs.schema)
 
 

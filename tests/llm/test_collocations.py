@@ -109,3 +109,16 @@ def test_big_scores_are_exact(spark):
     frequent = spark.createDataFrame([("en", 1, "a", big + 1), ("en", 1, "b", big), ("en", 2, "a b", big)],
                                      "lang string, size byte, phrase string, a long")
     assert [r.score for r in co.score_phrases(frequent).collect()] == [2_000_000 * big // (2 * big + 1)]
+
+
+def test_counts_are_stored_packed(spark):
+    """A row per language, length and group of slots, whatever the number of phrases."""
+    rng = random.Random(11)
+    rows = [(" ".join(f"w{rng.randrange(60)}" for _ in range(400)), "en") for _ in range(200)]
+    cfg = co.Config(least=2, shards=1, pending=500)
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    tables, reached = co.count_phrases(docs, cfg)
+    assert max(t.where("size >= 1").count() for t in tables.packed) <= 4 << co.GROUP
+    assert sum(t.count() for t in tables) > 5000
+    got = {(r.lang, tuple(r.phrase.split(" "))): r.a for r in co.frequent_phrases(tables, reached, cfg).collect()}
+    assert got == {x: a for x, a in counts(rows).items() if a >= 2}

@@ -122,3 +122,12 @@ def test_counts_are_stored_packed(spark):
     assert sum(t.count() for t in tables) > 5000
     got = {(r.lang, tuple(r.phrase.split(" "))): r.a for r in co.frequent_phrases(tables, reached, cfg).collect()}
     assert got == {x: a for x, a in counts(rows).items() if a >= 2}
+
+
+def test_packed_rows_of_a_task_are_added_up_before_they_move():
+    """A row for each group, with sorted phrases and summed counts; groups keep language and length apart."""
+    langs = co.pa.array(["en", "fr", "en"]).dictionary_encode()
+    part = lambda n: co._packed(2, langs, co.pa.array(["b é", "b é", "a b"]), np.array([3, 3, 3]), n)
+    rows = [r for b in co._combine(iter([part([1, 2, 3]), part([10, 20, 30])])) for r in b.to_pylist()]
+    got = {(r["lang"], r["size"], r["slot"]): co._lines(r["keys"], r["counts"]).to_pydict() for r in rows}
+    assert len(rows) == 2 and got == {("en", 2, 3): {"line": ["a b\n", "b é\n"], "n": [33, 11]}, ("fr", 2, 3): {"line": ["b é\n"], "n": [22]}}

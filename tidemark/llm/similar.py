@@ -149,12 +149,16 @@ def _across(members: DataFrame) -> DataFrame:
 
 
 def print_links(rows: DataFrame) -> DataFrame:
-    """Stored links (a, b) that join the sets of every SimHash class: of each class, its least set to all others."""
+    """Stored links (a, b) that join the sets of every SimHash class: of each fingerprint, its least set to its others
+    and to the least set of each fingerprint that it links to."""
     pairs = store(rows.select("fp", "print").distinct(), "prints")
-    roots = components(links_of_prints(pairs.select(F.col("print").alias("fp")).distinct()))
-    named = pairs.join(roots, F.col("print") == F.col("node"), "left").select(F.coalesce("root", "print").alias("class"), "fp").distinct()
-    least = named.groupBy("class").agg(F.min("fp").alias("a"))
-    return store(named.join(least, "class").where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "print-links")
+    least = store(pairs.groupBy("print").agg(F.min("fp").alias("least")), "least-sets")
+    own = pairs.join(least, "print").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    side = lambda c: least.select(F.col("print").alias(c), F.col("least").alias(f"{c}_set"))
+    near = links_of_prints(least.select(F.col("print").alias("fp"))).join(side("a"), "a").join(side("b"), "b").select(
+        F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+    return store(own.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                 "print-links")
 
 
 def classes(docs: DataFrame, rows: DataFrame | None = None, prints: bool = False) -> DataFrame:

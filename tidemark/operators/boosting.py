@@ -36,6 +36,8 @@ from tidemark.functions.lineage import cut
 
 BLOCK_ROWS = 400_000
 KEPT_BYTES = 256 << 20
+#: Cells of features counted together, and bins of a feature that can be one of them.
+CELLS, NARROW = 1024, 32
 SPLIT = "fit int, node int, feature int, gain double, bin int, g double, h double, n double, gl double, hl double, nl double"
 
 
@@ -97,12 +99,12 @@ class Tree:
 class Growth:
     """One fit: its finished trees, and the nodes explored for the tree at work."""
 
-    def __init__(self, cfg: Boosting, base: float):
-        self.cfg, self.base, self.trees = cfg, base, []
+    def __init__(self, cfg: Boosting, base: float, ahead: bool = True):
+        self.cfg, self.base, self.trees, self.ahead = cfg, base, [], ahead
         self.restart()
 
     def restart(self) -> None:
-        self.nodes, self.asked = [Node(0, 0, 0)], [0]
+        self.nodes, self.asked, self.hists = [Node(0, 0, 0)], [0], {}
 
     @property
     def done(self) -> bool:
@@ -124,6 +126,39 @@ class Growth:
                     pick(lambda n: n.right, k), np.array([-self.cfg.rate * n.g / (n.h + self.cfg.l2) for n in nodes]),
                     int(depth.max()))
 
+    def _pairs(self) -> list[tuple[int, int, int]]:
+        """(parent, child with fewer rows, other child) of the asked children; children are asked in pairs."""
+        pairs, asked = [], set(self.asked)
+        for i, n in enumerate(self.nodes):
+            if n.left in asked:
+                few, other = sorted((n.left, n.right), key=lambda k: (self.nodes[k].n, k))
+                pairs.append((i, few, other))
+        return pairs
+
+    def counted(self) -> list[int]:
+        """The asked nodes whose rows are added up: the root, or of two children the one with fewer rows."""
+        return sorted(few for _, few, _ in self._pairs()) or self.asked
+
+    def take(self, hists: Mapping[int, np.ndarray], sizes: np.ndarray) -> None:
+        """Take the histograms (features x 3 x bins) of the counted nodes; the other child has what its parent's leave."""
+        pairs = self._pairs()
+        self.hists.update(hists)
+        for parent, few, other in pairs:
+            rest = self.hists.pop(parent)
+            if few in self.hists:
+                rest = rest - self.hists[few]
+                rest *= rest[:, 2:] != 0  # a cell without rows has no sums, not what rounding leaves
+            self.hists[other] = rest
+        known = [i for i in self.asked if i in self.hists]
+        if not known:
+            return self.learn({})
+        width = len(sizes)
+        total, gain, k, left = best_of_sizes(np.array([self.hists[i] for i in known]), sizes, self.cfg)
+        best = gain.reshape(-1, width).argmax(axis=1)  # the first feature on a tie
+        at = np.arange(len(known)) * width + best
+        self.learn({i: (tuple(t), (g, f, b, tuple(lo))) for i, t, g, f, b, lo in zip(
+            known, total[at].tolist(), gain[at].tolist(), best.tolist(), k[at].tolist(), left[at].tolist())})
+
     def learn(self, best: Mapping[int, tuple]) -> None:
         """Take the answers for the asked nodes; then choose splits as far as they are certain."""
         for i in self.asked:
@@ -155,6 +190,8 @@ class Growth:
         if len(leaves) >= self.cfg.leaves:
             return leaves, []
         ask = [i for i in leaves if not nodes[i].known]
+        if not self.ahead:
+            return leaves, sorted(ask)
         ready = sorted((i for i in leaves if nodes[i].split), key=lambda k: -nodes[k].split[0])
         for i in ready[:self.cfg.leaves - len(leaves)]:  # no other leaf can be chosen before these
             self._expand(i)
@@ -188,6 +225,11 @@ class Inputs:
         """Source feature of each binned column."""
         return [*self.numeric, *[c for c, ls in zip(self.categorical, self.levels) for _ in ls]]
 
+    @property
+    def sizes(self) -> np.ndarray:
+        """Number of bins of each binned column."""
+        return np.array([*[len(e) + 2 for e in self.edges], *[2 for ls in self.levels for _ in ls]], int)
+
     def binned(self, get) -> np.ndarray:
         """Bins (features x rows) of columns given by position; a missing number is above all others."""
         rows = []
@@ -200,27 +242,39 @@ class Inputs:
         return np.array(rows, np.uint8) if rows else np.zeros((0, 0), np.uint8)
 
 
+def few_values(df: DataFrame, cols: Sequence[str], most: int) -> dict[str, list[float]]:
+    """The values of each column that has at most ``most``, without missing ones; a task keeps no more than that of any column."""
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {c: np.zeros(0) for c in cols}
+        for batch in batches:
+            for c in [c for c, v in seen.items() if len(v) <= most]:
+                v = _column(batch, c)
+                seen[c] = np.union1d(seen[c], v[~np.isnan(v)])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[:most + 1] for v in seen.values()], pa.list_(pa.float64()))], ["c", "v"])
+
+    if not cols:
+        return {}
+    union = F.slice(F.array_distinct(F.flatten(F.collect_list("v"))), 1, most + 1)
+    found = df.select(*cols).mapInArrow(distinct, "c string, v array<double>").groupBy("c").agg(union.alias("v")).collect()  # a row per column
+    values = {r.c: r.v for r in found}
+    return {c: values.get(c, []) for c in cols if len(values.get(c, [])) <= most}
+
+
 def learn_inputs(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bins: int = 255) -> Inputs:
     """Edges halfway between neighbouring values where they are few, else between quantiles (one aggregate each)."""
     inputs = Inputs(numeric, categorical)
     src = cut(df.select(*inputs.columns))
     cols = [f"_f{i}" for i in range(len(numeric))]
-    value = {c: F.when(~F.isnan(c), F.col(c)) for c in cols}
-    few = src.agg(*[F.approx_count_distinct(value[c], 0.02).alias(c) for c in cols]).first() if cols else {}
-    exact = [c for c in cols if few[c] <= bins - 20]
-    got = {}
-    if exact:  # at most about `bins` values each
-        got |= src.agg(*[F.array_sort(F.collect_set(value[c])).alias(c) for c in exact]).first().asDict()
-    many = [c for c in cols if c not in exact]
+    got = few_values(src, cols, bins - 20)
+    exact, many = list(got), [c for c in cols if c not in got]
     if many:
         shares = [i / bins for i in range(1, bins)]
-        got |= src.agg(*[F.percentile_approx(value[c], shares, 20_000).alias(c) for c in many]).first().asDict()
+        got |= dict(zip(many, src.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in many]).approxQuantile(many, shares, 1 / 20_000)))
     for c in cols:
-        v = np.unique(np.array(got[c] or [], float))
+        v = np.unique(np.array(got[c], float))
         inputs.edges.append((v[1:] + v[:-1]) / 2 if c in exact else v)
-    for i in range(len(categorical)):
-        inputs.levels.append([r[0] for r in src.select(f"_c{i}").where(F.col(f"_c{i}").isNotNull()).distinct().orderBy(
-            f"_c{i}").collect()])  # one row per level of a declared domain
+    if categorical:  # one value per level of a declared domain
+        inputs.levels += src.agg(*[F.array_sort(F.collect_set(f"_c{i}")) for i in range(len(categorical))]).first()
     return inputs
 
 
@@ -286,11 +340,43 @@ def recall(key, make) -> dict:
     return _KEPT.get(key, make)
 
 
+def _bundles(x: np.ndarray) -> list[tuple]:
+    """(features, code per row, cells, marginals) of features that share one code: one pass over rows counts them together."""
+    sizes = [int(v.max()) + 1 if len(v) else 1 for v in x]
+    groups: list[list] = []
+    for f in sorted(range(len(sizes)), key=lambda f: (-sizes[f], f)):
+        group = next((g for g in groups if sizes[g[1]] <= NARROW and g[0] * sizes[f] <= CELLS), None)
+        if group is None:
+            groups.append([sizes[f], f])
+        else:
+            group[0] *= sizes[f]
+            group.append(f)
+    out = []
+    for cells, *features in groups:
+        code, at, parts = np.zeros(x.shape[1], np.uint16), np.arange(cells), []
+        for f in features:
+            code = code * np.uint16(sizes[f]) + x[f]
+        for f in reversed(features):  # the bin of every feature in every cell
+            parts.append((at % sizes[f])[:, None] == np.arange(sizes[f]))
+            at = at // sizes[f]
+        marginals = np.concatenate(parts[::-1], axis=1).astype(float) if len(features) > 1 else None
+        out.append(([(f, sizes[f]) for f in features], code, cells, marginals))
+    return out
+
+
 def _block(row, width: int, bases: Sequence[float]) -> dict:
     x, y, m = np.frombuffer(row["x"], np.uint8), np.frombuffer(row["y"], "<f8"), np.frombuffer(row["m"], "<i8")
-    return {"x": x.reshape(width, -1), "y": y, "m": m, "done": [0] * len(bases),
+    x = x.reshape(width, -1)
+    bundles = _bundles(x)
+    return {"x": x, "y": y, "m": m, "done": [0] * len(bases), "bundles": bundles,
             "margin": [np.full(len(y), b) for b in bases], "slopes": {}, "nodes": {},
-            "bytes": len(x) + 8 * len(y) * (2 + 4 * len(bases))}
+            "bytes": x.size + len(y) * (2 * len(bundles) + 8 * (2 + 4 * len(bases)))}
+
+
+def _rows_under(rows: dict, node: int) -> np.ndarray:
+    """The rows of a node; a parted node has those of its children."""
+    mine = rows[node]
+    return np.concatenate([_rows_under(rows, k) for k in mine]) if isinstance(mine, tuple) else mine
 
 
 def _node_rows(state: dict, fit: int, tree: Tree, count: int, asked: Sequence[int]) -> list[np.ndarray]:
@@ -305,35 +391,47 @@ def _node_rows(state: dict, fit: int, tree: Tree, count: int, asked: Sequence[in
         if node not in rows:
             up = parent[node]
             mine = part(up)
-            low = state["x"][tree.feature[up], mine] <= tree.bin[up]
-            rows[int(tree.left[up])], rows[int(tree.right[up])] = mine[low], mine[~low]
-            del rows[up]
-        return rows[node]
+            low = state["x"][tree.feature[up]].take(mine) <= tree.bin[up]
+            left, right = int(tree.left[up]), int(tree.right[up])
+            rows[left], rows[right] = mine.take(np.flatnonzero(low)), mine.take(np.flatnonzero(~low))
+            rows[up] = left, right
+        return _rows_under(rows, node)
     return [part(node) for node in asked]
 
 
+def _add_tree(state: dict, fit: int, tree: Tree, count: int) -> None:
+    """Add the tree of this number to the margins of the fit's rows."""
+    inner = np.flatnonzero(tree.left != np.arange(len(tree.left)))
+    leaves = sorted({0, *tree.left[inner].tolist(), *tree.right[inner].tolist()} - set(inner.tolist()))
+    for leaf, mine in zip(leaves, _node_rows(state, fit, tree, count, leaves)):
+        state["margin"][fit][mine] += tree.value[leaf]
+
+
 def _sums(state: dict, cfg: Boosting, grow, bins: int, width: int):
     """(fit, asked nodes with rows, histograms as nodes x features x 3 x bins) of a block."""
-    x = state["x"]
     for fit, (trees, at_work, asked) in grow.items():
         if state["done"][fit] < len(trees) or fit not in state["slopes"]:
-            margin = state["margin"][fit]
-            for tree in trees[state["done"][fit]:]:
-                margin = margin + tree.value[tree.leaf(x)]
-            state["margin"][fit], state["done"][fit] = margin, len(trees)
-            state["slopes"][fit] = cfg.slopes(margin, state["y"])
+            for count in range(state["done"][fit], len(trees)):
+                _add_tree(state, fit, trees[count], count)
+            state["done"][fit] = len(trees)
+            state["slopes"][fit] = cfg.slopes(state["margin"][fit], state["y"])
         g, h = state["slopes"][fit]
         parts = _node_rows(state, fit, at_work, len(trees), asked)
         nodes, parts = [n for n, p in zip(asked, parts) if len(p)], [p for p in parts if len(p)]
         if not nodes:
             continue
-        rows, k = np.concatenate(parts), len(nodes)
-        first = np.repeat(np.arange(k) * bins, [len(p) for p in parts])
-        gr, hr, out = g[rows], h[rows], np.empty((k, width, 3, bins))
-        for f in range(width):  # one pass for all nodes: a cell is (node, bin)
-            cell = first + x[f, rows]
-            for i, w in enumerate((gr, hr, None)):
-                out[:, f, i] = np.bincount(cell, w, k * bins).reshape(k, bins)
+        out = np.zeros((len(nodes), width, 3, bins))
+        for hist, rows in zip(out, parts):
+            weights = g.take(rows), h.take(rows), None
+            for features, code, cells, marginals in state["bundles"]:
+                cell = code.take(rows).astype(np.intp)
+                sums = np.array([np.bincount(cell, w, cells) for w in weights], float)
+                if marginals is not None:
+                    sums = sums @ marginals
+                at = 0
+                for f, size in features:
+                    hist[f, :, :size] = sums[:, at:at + size]
+                    at += size
         yield fit, nodes, out
 
 
@@ -352,22 +450,29 @@ def best_splits(hist: np.ndarray, cfg: Boosting) -> tuple[np.ndarray, ...]:
     return total, gain[each, k], k, left[each, :, k]
 
 
-def _alone(blocks: DataFrame, cfg: Boosting, bases: Sequence[float], width: int, bins: int) -> list[list[Tree]]:
+def best_of_sizes(hists: np.ndarray, sizes: np.ndarray, cfg: Boosting) -> tuple[np.ndarray, ...]:
+    """``best_splits`` of (nodes x features x 3 x bins), in (node, feature) order; features with few bins are not searched to the end."""
+    k, width = hists.shape[:2]
+    total, gain, at, left = np.empty((k, width, 3)), np.empty((k, width)), np.empty((k, width), int), np.empty((k, width, 3))
+    for of, most in ((np.flatnonzero(sizes <= NARROW), NARROW), (np.flatnonzero(sizes > NARROW), hists.shape[-1])):
+        if len(of):
+            found = best_splits(hists[:, of, :, :most].reshape(k * len(of), 3, -1), cfg)
+            total[:, of], gain[:, of], at[:, of], left[:, of] = (v.reshape(k, len(of), *v.shape[1:]) for v in found)
+    return total.reshape(-1, 3), gain.ravel(), at.ravel(), left.reshape(-1, 3)
+
+
+def _alone(blocks: DataFrame, cfg: Boosting, bases: Sequence[float], width: int, bins: int, sizes: np.ndarray) -> list[list[Tree]]:
     """The trees of all fits; each fit grows in a task of its own that holds the only block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 fit = row["fit"]
-                state, growth = _block(row, width, bases), Growth(cfg, bases[fit])
+                state, growth = _block(row, width, bases), Growth(cfg, bases[fit], ahead=False)
                 while not growth.done:
                     found: dict = {}
-                    for _, nodes, hist in _sums(state, cfg, {fit: (growth.trees, growth.explored(), growth.asked)}, bins, width):
-                        total, gain, k, left = best_splits(hist.reshape(-1, 3, bins), cfg)
-                        best = gain.reshape(-1, width).argmax(axis=1)  # the first feature on a tie
-                        for i, (node, f) in enumerate(zip(nodes, best.tolist())):
-                            at = i * width + f
-                            found[node] = tuple(total[at].tolist()), (float(gain[at]), f, int(k[at]), tuple(left[at].tolist()))
-                    growth.learn(found)
+                    for _, nodes, hists in _sums(state, cfg, {fit: (growth.trees, growth.explored(), growth.counted())}, bins, width):
+                        found = dict(zip(nodes, hists))
+                    growth.take(found, sizes)
                 yield pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), pa.array([pickle.dumps(growth.trees)])], ["fit", "trees"])
 
     fits = blocks.select("block", "x", "y", "m", F.explode(F.array(*[F.lit(k) for k in range(len(bases))])).alias("fit"))
@@ -470,7 +575,7 @@ def fit_boosted(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     width, bins, name = len(inputs.names), cfg.bins + 2, uuid.uuid4().hex
     try:
         if blocks.count() == 1:
-            for g, trees in zip(growths, _alone(blocks, cfg, [g.base for g in growths], width, bins)):
+            for g, trees in zip(growths, _alone(blocks, cfg, [g.base for g in growths], width, bins, inputs.sizes)):
                 g.trees = trees
         while not all(g.done for g in growths):
             found = _round(blocks, cfg, growths, width, bins, name)

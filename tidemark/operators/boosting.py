@@ -1,9 +1,10 @@
 """Histogram gradient boosting on Spark: log or Poisson loss, best-first trees with a leaf cap, L2.
 
 Rows are binned once and stored as blocks of columns. One job per round sums gradients, Hessians and
-rows per (fit, node, feature, bin): each task adds its blocks up, the sums of a (fit, node, feature)
-meet in one reducer, and only the best split of each comes back. What is shuffled or held by the driver
-so depends on nodes, features and bins, not on rows.
+rows per (fit, node, feature, bin): each task adds its blocks up and only these sums leave it. What is moved or held by
+the driver so depends on nodes, features and bins, not on rows; beyond DIRECT tasks, reducers add the sums up first.
+Of two children only the one with fewer rows is counted, the other has what the parent's sums leave. Features with few
+bins share a code, so one pass over the rows counts several.
 
 Trees grow best-first: of all leaves the one with the largest gain is split next. A round
 asks for every node whose split the selection may still need, so a tree takes about as many rounds as it is
@@ -11,9 +12,11 @@ deep. Several fits (for example with and without the validation runs) share the
 rows, trees and end.
 
 A task gets a row's margin from the trees so far. Workers keep the margins of the blocks they last saw and add the new
-trees only; a worker without them starts from the first tree and comes to the same numbers. Sums are taken in block
-order, so they do not depend on the order of arrival. Rows that fill no more than one block (BLOCK_ROWS) need no
-rounds: a task for each fit takes the block and grows the same trees by the same steps.
+trees only; every SETTLE trees the margins are stored with the blocks, and a worker without them starts from there and
+comes to the same numbers. Sums are taken in block order, so they do not depend on the order of arrival. Rows that fill
+no more than ALONE_BLOCKS blocks of BLOCK_ROWS rows (about 0.5 GB in a task) need no rounds: a task for each fit takes
+them and grows the same trees, and asks for no node before it is needed. A job and its exchange take longer than
+counting the rows up to there.
 """
 
 from __future__ import annotations
@@ -28,17 +31,22 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, Broadcast, StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
 
-BLOCK_ROWS = 400_000
-KEPT_BYTES = 256 << 20
+BLOCK_ROWS = 750_000
+KEPT_BYTES = 512 << 20
+#: Blocks whose rows a task may hold to grow a fit by itself, and rows it counts in one pass (they stay in the processor's cache).
+ALONE_BLOCKS, PASS_ROWS = 4, 1 << 16
+#: Gains this close, as a share of what they are differences of, are equal.
+TIE = 1e-11
+#: Trees between two stores of the margins, and tasks whose sums the driver adds up itself.
+SETTLE, DIRECT = 20, 32
 #: Cells of features counted together, and bins of a feature that can be one of them.
 CELLS, NARROW = 1024, 32
-SPLIT = "fit int, node int, feature int, gain double, bin int, g double, h double, n double, gl double, hl double, nl double"
 
 
 @dataclass(frozen=True)
@@ -95,6 +103,17 @@ class Tree:
             at = np.where(x[self.feature[at], row] <= self.bin[at], self.left[at], self.right[at])
         return at
 
+    def add(self, x: np.ndarray, margin: np.ndarray) -> None:
+        """Add every row's value to its margin; a node looks at its own rows only."""
+        open_ = [(0, np.arange(x.shape[1]))]
+        while open_:
+            i, rows = open_.pop()
+            if self.left[i] == i:
+                margin[rows] += self.value[i]
+            elif len(rows):
+                low = x[self.feature[i]].take(rows) <= self.bin[i]
+                open_ += [(self.left[i], rows.compress(low)), (self.right[i], rows.compress(~low))]
+
 
 class Growth:
     """One fit: its finished trees, and the nodes explored for the tree at work."""
@@ -154,7 +173,10 @@ class Growth:
             return self.learn({})
         width = len(sizes)
         total, gain, k, left = best_of_sizes(np.array([self.hists[i] for i in known]), sizes, self.cfg)
-        best = gain.reshape(-1, width).argmax(axis=1)  # the first feature on a tie
+        # The first feature on a tie: equal partings of a node differ by rounding only.
+        near = TIE * (total[:, 0] ** 2 / (total[:, 1] + self.cfg.l2) + gain).reshape(-1, width)
+        gains = gain.reshape(-1, width)
+        best = (gains >= gains.max(axis=1, keepdims=True) - near).argmax(axis=1)
         at = np.arange(len(known)) * width + best
         self.learn({i: (tuple(t), (g, f, b, tuple(lo))) for i, t, g, f, b, lo in zip(
             known, total[at].tolist(), gain[at].tolist(), best.tolist(), k[at].tolist(), left[at].tolist())})
@@ -291,8 +313,9 @@ def make_blocks(df: DataFrame, inputs: Inputs, label: str, member: Sequence[Colu
     for k, m in enumerate(member):
         flags = flags + F.when(m, 1 << k).otherwise(0)
     rows = df.select(*inputs.columns, F.col(label).cast("double").alias("_y"), flags.cast("long").alias("_m"))
-    if rows_in_all <= BLOCK_ROWS:
-        rows = rows.coalesce(1)
+    most = BLOCK_ROWS
+    if rows_in_all > ALONE_BLOCKS * most:  # several for each task of a round, so that they can be dealt evenly
+        most = min(most, max(20_000, rows_in_all // (3 * df.sparkSession.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size, made = TaskContext.get().partitionId(), [], 0, 0
@@ -305,7 +328,7 @@ def make_blocks(df: DataFrame, inputs: Inputs, label: str, member: Sequence[Colu
             if batch.num_rows:
                 held.append((inputs.binned(lambda c: _column(batch, c)), _column(batch, "_y"), _column(batch, "_m")))
                 size += batch.num_rows
-            if size >= BLOCK_ROWS:
+            if size >= most:
                 yield out()
                 held, size, made = [], 0, made + 1
         if held:
@@ -369,7 +392,7 @@ def _block(row, width: int, bases: Sequence[float]) -> dict:
     x = x.reshape(width, -1)
     bundles = _bundles(x)
     return {"x": x, "y": y, "m": m, "done": [0] * len(bases), "bundles": bundles,
-            "margin": [np.full(len(y), b) for b in bases], "slopes": {}, "nodes": {},
+            "margin": [np.full(len(y), b) for b in bases], "slopes": {}, "nodes": {}, "counts": {},
             "bytes": x.size + len(y) * (2 * len(bundles) + 8 * (2 + 4 * len(bases)))}
 
 
@@ -399,39 +422,58 @@ def _node_rows(state: dict, fit: int, tree: Tree, count: int, asked: Sequence[in
     return [part(node) for node in asked]
 
 
-def _add_tree(state: dict, fit: int, tree: Tree, count: int) -> None:
+def _add_tree(state: dict, fit: int, tree: Tree, count: int, margin: np.ndarray) -> None:
     """Add the tree of this number to the margins of the fit's rows."""
     inner = np.flatnonzero(tree.left != np.arange(len(tree.left)))
     leaves = sorted({0, *tree.left[inner].tolist(), *tree.right[inner].tolist()} - set(inner.tolist()))
     for leaf, mine in zip(leaves, _node_rows(state, fit, tree, count, leaves)):
-        state["margin"][fit][mine] += tree.value[leaf]
+        margin[mine] += tree.value[leaf]
+
+
+def _catch_up(state: dict, cfg: Boosting, fit: int, trees: Sequence[Tree]) -> None:
+    if state["done"][fit] < len(trees) or fit not in state["slopes"]:
+        margin, done = state["margin"][fit].copy(), state["done"][fit]
+        for count in range(done, len(trees)):
+            _add_tree(state, fit, trees[count], count, margin)
+        state["margin"][fit], state["done"][fit] = margin, max(done, len(trees))
+        state["slopes"][fit] = cfg.slopes(state["margin"][fit], state["y"])
+
+
+def _count(state: dict, whole: int | None, rows: np.ndarray, g: np.ndarray, h: np.ndarray, hist: np.ndarray) -> None:
+    """Add the rows to a histogram, PASS_ROWS at a time; the number of all rows of a fit (``whole``) in a cell is counted once."""
+    bundles, known = state["bundles"], state["counts"].get(whole)
+    sums = [np.zeros((3, cells)) for _, _, cells, _ in bundles]
+    for start in range(0, len(rows), PASS_ROWS):
+        some = rows[start:start + PASS_ROWS]
+        weights = [g.take(some), h.take(some), None][:2 if known else 3]
+        for (_, code, cells, _), total in zip(bundles, sums):
+            cell = code.take(some).astype(np.intp)
+            for i, w in enumerate(weights):
+                total[i] += np.bincount(cell, w, cells)
+    if known:
+        for total, n in zip(sums, known):
+            total[2] = n
+    elif whole is not None:
+        state["counts"][whole] = [total[2].copy() for total in sums]
+    for (features, _, _, marginals), total in zip(bundles, sums):
+        total, at = total if marginals is None else total @ marginals, 0
+        for f, size in features:
+            hist[f, :, :size] = total[:, at:at + size]
+            at += size
 
 
 def _sums(state: dict, cfg: Boosting, grow, bins: int, width: int):
     """(fit, asked nodes with rows, histograms as nodes x features x 3 x bins) of a block."""
     for fit, (trees, at_work, asked) in grow.items():
-        if state["done"][fit] < len(trees) or fit not in state["slopes"]:
-            for count in range(state["done"][fit], len(trees)):
-                _add_tree(state, fit, trees[count], count)
-            state["done"][fit] = len(trees)
-            state["slopes"][fit] = cfg.slopes(state["margin"][fit], state["y"])
+        _catch_up(state, cfg, fit, trees)
         g, h = state["slopes"][fit]
         parts = _node_rows(state, fit, at_work, len(trees), asked)
         nodes, parts = [n for n, p in zip(asked, parts) if len(p)], [p for p in parts if len(p)]
         if not nodes:
             continue
         out = np.zeros((len(nodes), width, 3, bins))
-        for hist, rows in zip(out, parts):
-            weights = g.take(rows), h.take(rows), None
-            for features, code, cells, marginals in state["bundles"]:
-                cell = code.take(rows).astype(np.intp)
-                sums = np.array([np.bincount(cell, w, cells) for w in weights], float)
-                if marginals is not None:
-                    sums = sums @ marginals
-                at = 0
-                for f, size in features:
-                    hist[f, :, :size] = sums[:, at:at + size]
-                    at += size
+        for node, hist, rows in zip(nodes, out, parts):
+            _count(state, fit if node == 0 else None, rows, g, h, hist)
         yield fit, nodes, out
 
 
@@ -462,76 +504,143 @@ def best_of_sizes(hists: np.ndarray, sizes: np.ndarray, cfg: Boosting) -> tuple[
 
 
 def _alone(blocks: DataFrame, cfg: Boosting, bases: Sequence[float], width: int, bins: int, sizes: np.ndarray) -> list[list[Tree]]:
-    """The trees of all fits; each fit grows in a task of its own that holds the only block."""
+    """The trees of all fits; each fit grows in a task of its own that holds its rows of the few blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for batch in batches:
             for row in batch.to_pylist():
-                fit = row["fit"]
-                state, growth = _block(row, width, bases), Growth(cfg, bases[fit], ahead=False)
-                while not growth.done:
-                    found: dict = {}
-                    for _, nodes, hists in _sums(state, cfg, {fit: (growth.trees, growth.explored(), growth.counted())}, bins, width):
-                        found = dict(zip(nodes, hists))
-                    growth.take(found, sizes)
-                yield pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), pa.array([pickle.dumps(growth.trees)])], ["fit", "trees"])
+                mine = np.frombuffer(row["m"], "<i8") >> row["fit"] & 1 == 1
+                held.setdefault(row["fit"], []).append((row["block"], np.frombuffer(row["x"], np.uint8).reshape(width, -1)[:, mine],
+                                                        np.frombuffer(row["y"], "<f8")[mine]))
+        for fit in sorted(held):
+            _, *columns = zip(*sorted(held.pop(fit), key=lambda b: b[0]))
+            x, y = (np.ascontiguousarray(np.concatenate(v, axis=-1)) for v in columns)
+            state = _block({"x": x, "y": y, "m": np.ones(len(y), "<i8")}, width, [bases[fit]])
+            growth = Growth(cfg, bases[fit], ahead=False)
+            while not growth.done:
+                found: dict = {}
+                for _, nodes, hists in _sums(state, cfg, {0: (growth.trees, growth.explored(), growth.counted())}, bins, width):
+                    found = dict(zip(nodes, hists))
+                growth.take(found, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), pa.array([pickle.dumps(growth.trees)])], ["fit", "trees"])
 
     fits = blocks.select("block", "x", "y", "m", F.explode(F.array(*[F.lit(k) for k in range(len(bases))])).alias("fit"))
     grown = fits.repartitionById(len(bases), "fit").mapInArrow(run, "fit int, trees binary").collect()  # the trees of each fit
     return [pickle.loads(r["trees"]) for r in sorted(grown, key=lambda r: r["fit"])]
 
 
-def _keep(found: dict, node: int, total: tuple, split: tuple) -> None:
-    """Keep the split of the largest gain, of the first feature on a tie."""
-    kept = found.get(node)
-    if kept is None or (split[0], -split[1]) > (kept[1][0], -kept[1][1]):
-        found[node] = total, split
+def _spread(blocks: DataFrame) -> RDD:
+    """Kept (block, x, y, m, trees added, margins) of all blocks, dealt evenly to as many tasks as run at once."""
+    sizes = {r.block: r.n for r in blocks.select("block", F.octet_length("y").alias("n")).collect()}  # a number per block
+    loads, task = [0] * max(1, min(len(sizes), blocks.sparkSession.sparkContext.defaultParallelism)), {}
+    for block in sorted(sizes, key=lambda b: (-sizes[b], b)):
+        task[block] = loads.index(min(loads))
+        loads[task[block]] += sizes[block]
+    rows = blocks.select("block", "x", "y", "m").rdd.map(lambda r: (task[r.block], (r.block, bytes(r.x), bytes(r.y), bytes(r.m), None, None)))
+    return rows.partitionBy(len(loads), int).values().persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _state(row: tuple, name: str, width: int, bases: Sequence[float]) -> dict:
+    """What this worker knows of a block: as it saw it last, or else with the margins that came with it."""
+    block, x, y, m, done, margins = row
+
+    def make() -> dict:
+        state = _block({"x": x, "y": y, "m": m}, width, bases)
+        if margins is not None:
+            state["margin"] = list(np.frombuffer(margins, "<f8").reshape(len(bases), -1).copy())
+            state["done"] = list(done)
+        return state
+    return recall((name, block), make)
+
+
+def _settle(spread: RDD, trees: Broadcast, cfg: Boosting, bases: Sequence[float], width: int, name: str) -> RDD:
+    """The blocks with margins up to these trees at least, so that a worker without them starts from there."""
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for row in rows:
+            state = _state(row, name, width, bases)
+            for fit, grown in enumerate(trees.value):
+                _catch_up(state, cfg, fit, grown)
+            yield (*row[:4], list(state["done"]), np.array(state["margin"], "<f8").tobytes())
+
+    new = spread.mapPartitions(run, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+    new.count()
+    spread.unpersist()
+    return new
+
+
+def _round(spread: RDD, cfg: Boosting, growths: Sequence[Growth], width: int, bins: int, sizes: np.ndarray, name: str,
+           settled: Broadcast) -> dict:
+    """(fit, node) -> histogram of every counted node, over all blocks."""
+    grow = {k: (g.trees[len(settled.value[k]):], g.explored(), g.counted()) for k, g in enumerate(growths) if not g.done}
+    bases, used = [g.base for g in growths], np.repeat((np.arange(bins) < sizes[:, None])[:, None], 3, axis=1)
+
+    def partial(rows: Iterator[tuple]) -> Iterator[tuple]:
+        sums, first = {}, None
+        for row in rows:
+            first = min(first or row[0], row[0])
+            state, old = _state(row, name, width, bases), settled.value
+            whole = {fit: (Joined(old[fit], new), tree, asked) for fit, (new, tree, asked) in grow.items()}
+            for fit, nodes, hists in _sums(state, cfg, whole, bins, width):
+                for node, hist in zip(nodes, hists):
+                    sums[fit, node] = sums[fit, node] + hist if (fit, node) in sums else hist
+        for key, hist in sums.items():
+            yield key, (first, hist[used])
+
+    parts = spread.mapPartitions(partial)
+    if spread.getNumPartitions() > DIRECT:  # many tasks: their sums meet before they reach the driver
+        parts = parts.groupByKey(min(DIRECT, spread.getNumPartitions())).mapValues(lambda ps: [(None, _in_order(ps))])
+    else:
+        parts = parts.map(lambda p: (p[0], [p[1]]))
+    met: dict = {}
+    for key, part in parts.collect():  # a histogram per counted node, from at most DIRECT tasks each
+        met.setdefault(key, []).extend(part)
+    out = {}
+    for key, ps in met.items():
+        out[key] = np.zeros((width, 3, bins))
+        out[key][used] = _in_order(ps)
+    return out
 
 
-def _round(blocks: DataFrame, cfg: Boosting, growths: Sequence[Growth], width: int, bins: int, name: str) -> dict:
-    """Best split of every asked node, over all features."""
-    grow = {k: (g.trees, g.explored(), g.asked) for k, g in enumerate(growths) if not g.done}
-    bases = [g.base for g in growths]
-    shared = blocks.sparkSession.sparkContext.broadcast(grow)  # at most trees x leaves nodes per fit
+def _grow_in_rounds(blocks: DataFrame, cfg: Boosting, growths: Sequence[Growth], width: int, bins: int, sizes: np.ndarray) -> None:
+    sc, bases, name = blocks.sparkSession.sparkContext, [g.base for g in growths], uuid.uuid4().hex
+    spread, settled = _spread(blocks), sc.broadcast([[] for _ in growths])
+    shared = [settled]  # the stored margins are made again from these if they are lost
+    try:
+        while not all(g.done for g in growths):
+            met = _round(spread, cfg, growths, width, bins, sizes, name, settled)
+            for k, g in enumerate(growths):
+                if not g.done:
+                    g.take({node: hist for (fit, node), hist in met.items() if fit == k}, sizes)
+            count = min(len(g.trees) for g in growths)
+            if count >= len(settled.value[0]) + SETTLE:  # fits may differ in their rounds; all are settled to the same tree
+                settled = sc.broadcast([g.trees[:count] for g in growths])
+                shared.append(settled)
+                spread = _settle(spread, settled, cfg, bases, width, name)
+    finally:
+        spread.unpersist()
+        for trees in shared:
+            trees.destroy()
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, first = {}, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                first = min(first or row["block"], row["block"])
-                state = recall((name, row["block"]), lambda: _block(row, width, bases))
-                for fit, nodes, hists in _sums(state, cfg, shared.value, bins, width):
-                    for node, hist in zip(nodes, hists):
-                        sums[fit, node] = sums[fit, node] + hist if (fit, node) in sums else hist
-        keys = [(fit, node, f) for fit, node in sums for f in range(width)]
-        flat = np.concatenate([h.reshape(width, -1) for h in sums.values()]) if sums else np.zeros((0, 3 * bins))
-        cols = list(zip(*keys)) or [(), (), ()]
-        hist = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * 3 * bins), pa.array(flat.ravel()))
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in cols], pa.array([first] * len(keys), pa.string()), hist],
-                                         ["fit", "node", "feature", "first", "hist"])
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[tuple, list] = {}
-        for batch in batches:
-            hist = batch["hist"].flatten().to_numpy().reshape(-1, 3, bins)
-            for *key, first, h in zip(*(batch[c].to_pylist() for c in ("fit", "node", "feature", "first")), hist):
-                parts.setdefault(tuple(key), []).append((first, h))
-        rows = []
-        if parts:
-            total, gain, k, left = best_splits(np.array([np.sum([h for _, h in sorted(hs, key=lambda p: p[0])], axis=0)
-                                                         for hs in parts.values()]), cfg)
-            rows = [(*key, g, i, *t, *lo) for key, g, i, t, lo in zip(parts, gain.tolist(), k.tolist(), total.tolist(), left.tolist())]
-        kinds = [pa.int32()] * 3 + [pa.float64(), pa.int32()] + [pa.float64()] * 6
-        cols = list(zip(*rows)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                         [x.split()[0] for x in SPLIT.split(", ")])
-
-    cells = blocks.select("block", "x", "y", "m").mapInArrow(
-        partial, "fit int, node int, feature int, first string, hist array<double>")
-    found: dict = {}
-    for r in cells.repartition("fit", "node", "feature").mapInArrow(reduce, SPLIT).collect():  # a row per asked node and feature
-        _keep(found.setdefault(r.fit, {}), r.node, (r.g, r.h, r.n), (r.gain, r.feature, r.bin, (r.gl, r.hl, r.nl)))
-    shared.destroy()
-    return found
+
+def _in_order(parts) -> np.ndarray:
+    """The sum of (first block, histogram), in block order."""
+    total = None
+    for _, hist in sorted(parts, key=lambda p: p[0] or ""):
+        total = hist if total is None else total + hist
+    return total
+
+
+class Joined(Sequence):
+    """Settled trees and those grown since, by number."""
+
+    def __init__(self, old: Sequence[Tree], new: Sequence[Tree]):
+        self.old, self.new = old, new
+
+    def __len__(self) -> int:
+        return len(self.old) + len(self.new)
+
+    def __getitem__(self, i):
+        return self.old[i] if i < len(self.old) else self.new[i - len(self.old)]
 
 
 # ------------------------------------------------------------------ fits and models
@@ -553,7 +662,7 @@ class BoostedModel:
                 x = inputs.binned(lambda c: frame[c].to_numpy(float) if c.startswith("_f") else frame[c].to_numpy(object))
                 margin = np.full(len(frame), start)
                 for tree in grown:
-                    margin += tree.value[tree.leaf(x)]
+                    tree.add(x, margin)
                 yield pd.Series(cfg.mean(margin))
         run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
         return df.withColumn(name, F.pandas_udf(run, "double")(F.struct(*inputs.columns)))
@@ -572,16 +681,13 @@ def fit_boosted(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     means = used.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.when(m, F.col(label).cast("double"))).alias(f"m{k}") for k, m in enumerate(member)]).first()
     growths = [Growth(cfg, cfg.start(means[f"m{k}"] or 0.0)) for k in range(len(member))]
     blocks = make_blocks(used, inputs, label, member, means["n"]).persist()
-    width, bins, name = len(inputs.names), cfg.bins + 2, uuid.uuid4().hex
+    width, bins = len(inputs.names), cfg.bins + 2
     try:
-        if blocks.count() == 1:
+        if means["n"] <= ALONE_BLOCKS * BLOCK_ROWS:
             for g, trees in zip(growths, _alone(blocks, cfg, [g.base for g in growths], width, bins, inputs.sizes)):
                 g.trees = trees
-        while not all(g.done for g in growths):
-            found = _round(blocks, cfg, growths, width, bins, name)
-            for k, g in enumerate(growths):
-                if not g.done:
-                    g.learn(found.get(k, {}))
+        if not all(g.done for g in growths):
+            _grow_in_rounds(blocks, cfg, growths, width, bins, inputs.sizes)
     finally:
         blocks.unpersist()
     return [BoostedModel(cfg, inputs, g.base, g.trees) for g in growths]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
@@ -234,39 +237,104 @@ def reason_codes(contributions: DataFrame, entity: str, top: int = 3, runs: Sequ
     return contributions.groupBy(*runs, entity).agg(F.concat_ws("; ", codes).alias("drivers"))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str],
-                           label: str, entity: str, repeats: int = 5, seed: int = 7
-                           ) -> DataFrame:
-    """AUC drop when one feature is shuffled, for every feature and repeat in one scoring pass.
+def permutation_importance(model: PipelineModel, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+                           label: str, entity: str, repeats: int = 5, seed: int = 7) -> DataFrame:
+    """AUC drop of a linear model when one feature is shuffled, for every feature and repeat.
 
     A shuffle is a bijection of rows: two hash orders of the same rows are matched rank by rank,
-    with ranks built per hash bucket so that no task sorts everything. Each matched row stands once
-    per feature, with that feature taken from its donor.
+    with ranks built per hash bucket so that no task sorts everything. Replacing a feature by its donor's changes
+    the margin by the difference of their contributions, so a matched row carries one number per feature and is
+    neither copied nor scored again. A task packs the margins by (repeat, feature, bucket) before they are moved.
     """
     from tidemark.functions.lineage import cut
     from tidemark.operators.ranking import row_ranks
-    base = cut(df.select(entity, label, *features))
-    home = cut(row_ranks(base.withColumn("_h", hash01(F.col(entity), seed)), "_h", entity, [],
-                         "_r").drop("_h", "_r_n"))
-    both = None
+    terms = term_names(model, numeric, categorical)
+    coef = [float(v) for v in model.stages[-1].coefficients]
+    features = list(dict.fromkeys(f for _, f in terms))
+    x = PipelineModel(model.stages[:-1]).transform(df).select(entity, F.col(label).cast("double").alias("_y"), vector_to_array("_x").alias("v"))
+    parts = [reduce(lambda a, b: a + b, [F.lit(c) * F.col("v")[i] for i, (c, (_, g)) in enumerate(zip(coef, terms)) if g == f])
+             for f in features]
+    base = cut(x.select(entity, "_y", F.array(*parts).alias("_c")))
+    home = cut(row_ranks(base.withColumn("_h", hash01(F.col(entity), seed)), "_h", entity, [], "_r").select("_r", "_y", "_c"))
+    bounds = _margin_bounds(base, home.count())
+    packed = base.select("_y", "_c", F.lit(None).cast("array<double>").alias("_d")).mapInArrow(_packer(-1, len(features), bounds), PACKED)
     for b in range(repeats):
-        donor = row_ranks(base.select(entity, *features, hash01(F.col(entity), seed + 1 + b)
-                                      .alias("_h")), "_h", entity, [], "_r").select(
-            "_r", *[F.col(f).alias(f"_d_{f}") for f in features])
-        one = home.join(donor, "_r").withColumn("repeat", F.lit(b))
-        both = one if both is None else both.unionByName(one)
-    each = both.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
-    shuffled = cut(each.select(
-        entity, label, "repeat", "feature",
-        *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features]))
-    auc = discrimination(cut(probability(model, shuffled, "p").select("feature", "repeat", label, "p")),
-                         {"p": "p"}, label, ["feature", "repeat"])
-    auc0 = discrimination(cut(probability(model, base, "p").select(label, "p")), {"p": "p"}, label).select(
-        F.lit(1).alias("_j"), F.col("roc_auc").alias("_base"))
-    drop = F.col("_base") - F.col("roc_auc")
-    return auc.withColumn("_j", F.lit(1)).join(F.broadcast(auc0), "_j").groupBy("feature").agg(
+        donor = row_ranks(base.select(entity, "_c", hash01(F.col(entity), seed + 1 + b).alias("_h")), "_h", entity, [], "_r").select(
+            "_r", F.col("_c").alias("_d"))
+        one = home.join(donor, "_r").select("_y", "_c", "_d")
+        packed = packed.unionByName(one.mapInArrow(_packer(b, len(features), bounds), PACKED))
+    pieces = packed.groupBy("repeat", "feature", "bucket").applyInPandas(_piece, "repeat int, feature int, bucket int, pos double, neg double, area double")
+    earlier = Window.partitionBy("repeat", "feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # A pair of a row of each kind counts in the bucket of both, or else by the kinds of lower buckets.
+    won = F.col("area") + F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0.0))
+    auc = pieces.withColumn("won", won).groupBy("repeat", "feature").agg(
+        (F.sum("won") / F.when(F.sum("pos") * F.sum("neg") > 0, F.sum("pos") * F.sum("neg"))).alias("auc"))
+    auc = cut(auc)  # a row per feature and repeat
+    whole = auc.where("repeat < 0").select(F.lit(1).alias("_j"), F.col("auc").alias("_base"))
+    drop = F.col("_base") - F.col("auc")
+    names = F.array(*[F.lit(f) for f in features])
+    return auc.where("repeat >= 0").withColumn("_j", F.lit(1)).join(F.broadcast(whole), "_j").groupBy(
+        F.element_at(names, F.col("feature") + 1).alias("feature")).agg(
         F.avg(drop).alias("auc_drop"), F.stddev_pop(drop).alias("auc_drop_std"))
 
 
+PACKED = "repeat int, feature int, bucket int, rows binary"
+#: Rows of a bucket of margins (about), and digits after which equal inputs differ by rounding only.
+BUCKET_ROWS, DIGITS = 200_000, 10
+
+
+def _margin_bounds(base: DataFrame, rows: int) -> np.ndarray:
+    """Bounds that cut the margins into buckets; they balance the work and do not change a result."""
+    buckets = -(-rows // BUCKET_ROWS)
+    if buckets < 2:
+        return np.zeros(0)
+    margin = F.aggregate("_c", F.lit(0.0), lambda a, v: a + v)
+    return np.unique(base.select(margin.alias("m")).approxQuantile("m", [i / buckets for i in range(1, buckets)], 0.25 / buckets))
+
+
+def _packer(repeat: int, width: int, bounds: np.ndarray):
+    """Margins and labels of a task's rows, packed by feature and bucket; without donors the one margin of every row (feature 0)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out():
+            c, d, y = (np.concatenate(v) for v in zip(*held))
+            margin, parts = c.sum(axis=1), {}
+            for f in range(1 if repeat < 0 else width):
+                m = np.round(margin if repeat < 0 else margin - c[:, f] + d[:, f], DIGITS) + 0.0
+                at = np.searchsorted(bounds, m, "right")
+                order = np.argsort(at, kind="stable")
+                ends = np.searchsorted(at[order], np.arange(len(bounds) + 2))
+                for k in np.unique(at).tolist():
+                    mine = order[ends[k]:ends[k + 1]]
+                    parts[f, k] = m[mine].astype("<f8").tobytes() + (y[mine] > 0).astype(np.uint8).tobytes()
+            f, k = zip(*parts)
+            return pa.RecordBatch.from_arrays([pa.array([repeat] * len(f), pa.int32()), pa.array(f, pa.int32()), pa.array(k, pa.int32()),
+                                               pa.array(list(parts.values()), pa.binary())], ["repeat", "feature", "bucket", "rows"])
+        for batch in batches:
+            if batch.num_rows:
+                c = batch["_c"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+                d = c if repeat < 0 else batch["_d"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+                held.append((c, d, batch["_y"].to_numpy(zero_copy_only=False)))
+                size += batch.num_rows
+            if size >= BUCKET_ROWS:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+    return run
+
+
+def _piece(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows of each kind in a bucket, and the pairs inside it that are in order (a tie is half a pair)."""
+    n = [len(r) // 9 for r in frame["rows"]]
+    margin = np.concatenate([np.frombuffer(r, "<f8", k) for r, k in zip(frame["rows"], n)])
+    y = np.concatenate([np.frombuffer(r, np.uint8, k, 8 * k) for r, k in zip(frame["rows"], n)]) > 0
+    low = np.sort(margin[~y])
+    own = margin[y]
+    area = (np.searchsorted(low, own, "left").sum() + np.searchsorted(low, own, "right").sum()) / 2
+    return pd.DataFrame([(*key, float(len(own)), float(len(low)), float(area))], columns=["repeat", "feature", "bucket", "pos", "neg", "area"])
+
+
 def hash01(c: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
